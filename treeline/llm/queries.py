@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, repetition, secrets
+from treeline.llm import chat, html, repetition, secrets
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -17,6 +17,10 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(table(spark, sf_dir, "documents"))
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
@@ -107,6 +111,6 @@ FROM c GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_repetition, op6_chat_format, op7_markov_secrets)
+    f.__name__: f for f in (op1_suffix_repetition, op3_page_differencing, op6_chat_format, op7_markov_secrets)
 }
 SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op6_chat_format": OP6_SQL}
