@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, html, repetition, secrets
+from treeline.llm import chat, decontam, html, packing, repetition, secrets
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -21,6 +21,10 @@ def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
@@ -48,6 +52,10 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -111,6 +119,7 @@ FROM c GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_repetition, op3_page_differencing, op6_chat_format, op7_markov_secrets)
+    f.__name__: f for f in (op1_suffix_repetition, op3_page_differencing, op4_qgram_decontamination, op6_chat_format,
+    op7_markov_secrets, op10_bucket_packing)
 }
 SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op6_chat_format": OP6_SQL}
