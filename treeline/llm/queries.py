@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, decontam, html, neardup, packing, repetition, secrets
+from treeline.llm import chat, decontam, html, lm, neardup, packing, repetition, secrets
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -57,6 +57,10 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -145,6 +149,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_repetition, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
-    op6_chat_format, op7_markov_secrets, op10_bucket_packing)
+    op6_chat_format, op7_markov_secrets, op9_gated_lm, op10_bucket_packing)
 }
 SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL}
