@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, decontam, html, lm, neardup, packing, repetition, secrets
+from treeline.llm import chat, decontam, html, lm, neardup, packing, phrases, repetition, secrets, suffixes
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -17,6 +17,11 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(table(spark, sf_dir, "documents"))
 
 
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrases.remove(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,11 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -127,6 +137,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {phrases.WINDOW - 2})) AS i FROM d WHERE len(w) >= {phrases.WINDOW}),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + {phrases.WINDOW - 1}], ' ') ORDER BY doc_id, i) AS n FROM s),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM g, (SELECT unnest(range(0, {phrases.WINDOW})) AS j) WHERE n > 1
+), word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
@@ -148,7 +172,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_repetition, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
-    op6_chat_format, op7_markov_secrets, op9_gated_lm, op10_bucket_packing)
+    f.__name__: f for f in (op1_suffix_repetition, op2_phrase_automata, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
+    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing)
 }
-SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL}
+SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL}
