@@ -26,7 +26,7 @@ from treeline.llm import common as C
 from treeline.llm.graph import components
 
 #: Production parameters.  With 40 bands of 6 samples, a pair at similarity 0.8 is missed with probability 5e-6.
-SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS = 2, 80, 40, 6, 1024
+SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS = 5, 80, 40, 6, 1024
 #: A sketch's estimate rules a pair out only this far below the threshold (5 standard deviations at 0.8).
 MARGIN = 0.14
 #: Members of a cluster that one task compares, and members that all blocks of a larger cluster share.

@@ -31,7 +31,7 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.classes(table(spark, sf_dir, "documents"))
+    found = neardup.classes(table(spark, sf_dir, "documents"), shingle=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
