@@ -21,7 +21,7 @@ from treeline.llm import anchors as A
 from treeline.llm import common as C
 
 #: Production parameters: words of a window and of an anchor, bytes of text of a part.
-WINDOW, ANCHOR, PART_BYTES = 20, 6, 16 << 20
+WINDOW, ANCHOR, PART_BYTES = 20, 6, 4 << 20
 _BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
 
@@ -32,44 +32,44 @@ def cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, C.hash_grams(h, ANCHOR), np.concatenate([[0], np.cumsum(counts)])
 
 
-def remove_part(docs: list[tuple[int, str]], passages: list[tuple[int, int, int, int, int]], shared: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, int, int, str]]:
+def remove_part(
+    docs: list[tuple[int, str]], passages: list[tuple[int, int, int, int, int]], shared: list[tuple[int, int, int]], window: int
+) -> Iterator[tuple[int, int, int, str]]:
     """Row, words, words removed and kept text of each document of a part.
 
     ``passages`` are exemplars (row, at, windows, first_row, first_at); ``shared`` are ranges (row, lo, hi)
-    to be removed besides.
+    to be removed besides.  Words are numbered within the part.
     """
     place = {r: i for i, (r, _) in enumerate(docs)}
-    numbers: dict[bytes, int] = {}
     texts = [text.encode() for _, text in docs]
-    sequences = []
-    for text in texts:
-        words = [x for x in text.translate(_BLANK).split(b" ") if x]
-        sequences.append((words, tuple([numbers.setdefault(x, len(numbers)) for x in words])))
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    starts, ends, owner = C.words(buf, off)
+    first = np.searchsorted(owner, np.arange(len(docs) + 1))
+    numbers = np.unique(C.hash_words(buf, starts, ends), return_inverse=True)[1].astype(np.int32)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for row, at, m, first_row, first_at in passages:
-        n = m + window - 1
-        automaton.add_word(sequences[place[row]][1][at : at + n], (n, first_row, first_at))
+        n, lo = m + window - 1, first[place[row]] + at
+        automaton.add_word(tuple(numbers[lo : lo + n].tolist()), (n, first_row, first_at))
     found = len(passages) > 0
     if found:
         automaton.make_automaton()
     more: dict[int, list[tuple[int, int]]] = {}
     for row, lo, hi in shared:
         more.setdefault(row, []).append((lo, hi))
-    for (row, _), (words, sequence) in zip(docs, sequences):
+    for i, (row, _) in enumerate(docs):
+        lo, hi = int(first[i]), int(first[i + 1])
         spans = list(more.get(row, ()))
-        if found and len(sequence) >= window:
-            for end, (n, first_row, first_at) in automaton.iter(sequence):
+        if found and hi - lo >= window:
+            for end, (n, first_row, first_at) in automaton.iter(tuple(numbers[lo:hi].tolist())):
                 at = end - n + 1
                 if (row, at) > (first_row, first_at):  # an earlier place lies in a longer segment
                     spans.append((at, end + 1))
+        kept = [x for x in texts[i].translate(_BLANK).split(b" ") if x]
         if spans:
-            lo, hi = np.array(spans).T
-            gone = A.covered(len(words), lo, hi)
-            kept = [x for x, g in zip(words, gone.tolist()) if not g]
-        else:
-            kept = words
-        yield row, len(words), len(words) - len(kept), b" ".join(kept).decode()
-
+            gone = A.covered(hi - lo, *np.array(spans).T)
+            kept = [x for x, g in zip(kept, gone.tolist()) if not g]
+        yield row, hi - lo, hi - lo - len(kept), b" ".join(kept).decode()
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -78,7 +78,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     Each word covered by a window of ``window`` words whose sequence also starts earlier is removed.  Earlier is
     a smaller id, or a smaller place in the document; rows of one id are ordered by text, and a null id is
     before all.  A null or empty text has no words; a document shorter than a window stays whole; of repeated
-    rows the first stays.  Hashes of 128 bits tell candidates; passages are located by their words.
+    rows the first stays.  Candidates are told by hashes of 128 bits, words within a part by 64.
     """
     rows, same = A.numbered(docs, key, text)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
