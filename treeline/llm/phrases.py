@@ -22,7 +22,6 @@ from treeline.llm import common as C
 
 #: Production parameters: words of a window and of an anchor, bytes of text of a part.
 WINDOW, ANCHOR, PART_BYTES = 20, 6, 4 << 20
-_BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
 
 def cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,6 +31,22 @@ def cut_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, C.hash_grams(h, ANCHOR), np.concatenate([[0], np.cumsum(counts)])
 
 
+def spelled(words: np.ndarray) -> tuple[str, int]:
+    """Words as fixed numbers of characters, and how many each has.
+
+    A word's number within the part is written in base 64, with other characters for each digit's place, so
+    matches start and end with words, and no node of an automaton has more than 64 children.
+    """
+    unique, numbers = np.unique(words, return_inverse=True)
+    digits = 1
+    while 64**digits < len(unique):
+        digits += 1
+    out = np.empty((len(words), digits), dtype=np.uint32)
+    for d in range(digits):
+        out[:, d] = (numbers >> (6 * (digits - 1 - d)) & 63) + 64 * d
+    return out.astype(np.uint8).tobytes().decode("latin-1") if digits <= 4 else out.tobytes().decode("utf-32-le"), digits
+
+
 def remove_part(
     docs: list[tuple[int, str]], passages: list[tuple[int, int, int, int, int]], shared: list[tuple[int, int, int]], window: int
 ) -> Iterator[tuple[int, int, int, str]]:
@@ -46,11 +61,11 @@ def remove_part(
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     starts, ends, owner = C.words(buf, off)
     first = np.searchsorted(owner, np.arange(len(docs) + 1))
-    numbers = np.unique(C.hash_words(buf, starts, ends), return_inverse=True)[1].astype(np.int32)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    coded, digits = spelled(C.hash_words(buf, starts, ends))
+    automaton = ahocorasick.Automaton()
     for row, at, m, first_row, first_at in passages:
-        n, lo = m + window - 1, first[place[row]] + at
-        automaton.add_word(tuple(numbers[lo : lo + n].tolist()), (n, first_row, first_at))
+        n, lo = m + window - 1, int(first[place[row]]) + at
+        automaton.add_word(coded[digits * lo : digits * (lo + n)], (n, first_row, first_at))
     found = len(passages) > 0
     if found:
         automaton.make_automaton()
@@ -61,11 +76,11 @@ def remove_part(
         lo, hi = int(first[i]), int(first[i + 1])
         spans = list(more.get(row, ()))
         if found and hi - lo >= window:
-            for end, (n, first_row, first_at) in automaton.iter(tuple(numbers[lo:hi].tolist())):
-                at = end - n + 1
-                if (row, at) > (first_row, first_at):  # an earlier place lies in a longer segment
-                    spans.append((at, end + 1))
-        kept = [x for x in texts[i].translate(_BLANK).split(b" ") if x]
+            for last, (n, first_row, first_at) in automaton.iter(coded[digits * lo : digits * hi]):
+                end = (last + 1) // digits
+                if (row, end - n) > (first_row, first_at):  # an earlier place lies in a longer segment
+                    spans.append((end - n, end))
+        kept = texts[i].split()
         if spans:
             gone = A.covered(hi - lo, *np.array(spans).T)
             kept = [x for x, g in zip(kept, gone.tolist()) if not g]
