@@ -34,8 +34,9 @@ def js_candidates(raw: Column, path: Column) -> Column:
 
 def resolve(imports: DataFrame, files: DataFrame, keys: list[str], candidates: str = "candidates") -> DataFrame:
     """``imports`` with ``resolved``: the first of its candidate paths that is a file; null if none is."""
-    tried = imports.select(*keys, F.posexplode(candidates).alias("pos", "path"))
-    hits = tried.join(files.select("path").distinct(), "path").groupBy(*keys).agg(F.min_by("path", "pos").alias("resolved"))
+    tried = imports.select(*keys, F.posexplode(candidates).alias("__try", "__path"))
+    there = files.select(F.col("path").alias("__path")).distinct()
+    hits = tried.join(there, "__path").groupBy(*keys).agg(F.min_by("__path", "__try").alias("resolved"))
     return imports.join(hits, keys, "left")
 
 

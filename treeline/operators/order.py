@@ -50,7 +50,8 @@ def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         order = waves(sorted(tie), needs, tie)
         return pd.DataFrame({"chapter": [key[0]] * len(order), "node": order, "ordinal": range(1, len(order) + 1)})
 
-    both = nodes.groupBy("chapter").cogroup(edges.groupBy("chapter"))
+    own = lambda df, *more: df.select(F.concat("chapter", F.lit("")).alias("chapter"), *more)  # noqa: E731  new columns, as both may stem from one table
+    both = own(nodes, "node", "tie").groupBy("chapter").cogroup(own(edges, "from", "to").groupBy("chapter"))
     return both.applyInPandas(run, "chapter string, node string, ordinal long").filter("node IS NOT NULL")
 
 
