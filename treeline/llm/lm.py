@@ -280,7 +280,7 @@ def log_probability(net: Network, flat: np.ndarray, at: np.ndarray, block: int =
     return result
 
 
-def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, rate: float = RATE) -> Network:
+def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, streams: int = STREAMS, rate: float = RATE) -> Network:
     """Trains on ``texts`` (``id``, ``text``): each round, one in ``share`` rows, by a hash of the id."""
     net = Network.fresh(HIDDEN, CLASSES, PER_CLASS, short.counts)
     bucket = F.pmod(F.xxhash64("id"), F.lit(share))
@@ -299,10 +299,10 @@ def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, rate: float
                     docs += [number[at[i] : at[i + 1]] for i in range(len(off) - 1)]
                     held += len(number)
                     if held > 4_000_000:
-                        seen += train(own, docs, WINDOW, STREAMS, PIECE, rate)
+                        seen += train(own, docs, WINDOW, streams, PIECE, rate)
                         docs, held = [], 0
             if docs:
-                seen += train(own, docs, WINDOW, STREAMS, PIECE, rate)
+                seen += train(own, docs, WINDOW, streams, PIECE, rate)
             if seen:
                 value = own.weights.astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays(
@@ -319,7 +319,8 @@ def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, rate: float
 
 
 def score(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE, broadcast_words: int = BROADCAST_WORDS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE, streams: int = STREAMS,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """One row per document: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -331,7 +332,7 @@ def score(
     counts = C.cut(count_tokens(training))
     total, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = shortlist(counts, CLASSES * PER_CLASS, total, words)
-    net = fit(training, short, rounds, share)
+    net = fit(training, short, rounds, share, streams)
     weights = net.weights
     kind = docs.schema[key].dataType.simpleString()
     scale = total + SMOOTH * (words + 1)

@@ -294,15 +294,17 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Repeated rows count as copies, of which one stays; documents without words all stay.  Where an id occurs
     on rows of different texts, each row is told by its set as well.
     """
-    found = classes(docs, key, text, shingle, **options)
-    stays = found.filter("first OR n_shingles = 0")
-    ids = found.groupBy("id").agg(F.count("*").alias("n"))
-    repeated = C.cut(ids.filter("n > 1").select("id"))
-    same = docs[key].eqNullSafe(F.col("id"))
+    found = classes(docs, key, text, shingle, **options).withColumnsRenamed({c: f"__{c}" for c in ("id", "one", "two")})
+    stays = found.filter("first OR n_shingles = 0").select("__id").distinct()
+    ids = found.groupBy("__id").agg(F.count("*").alias("n"))
+    repeated = C.cut(ids.filter("n > 1").select("__id"))
+    same = F.col(key).eqNullSafe(F.col("__id"))
     if not repeated.limit(1).count():
-        return docs.join(stays.select("id"), same, "left_semi")
-    single = docs.join(stays.join(repeated, stays["id"].eqNullSafe(repeated["id"]), "left_anti").select("id"), same, "left_semi")
-    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n", "__one", "__two"))])
+        return docs.join(stays, same, "left_semi")
+    again = repeated.withColumnRenamed("__id", "__again")
+    single = docs.join(stays.join(again, F.col("__id").eqNullSafe(F.col("__again")), "left_anti"), same, "left_semi")
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__n", "__f", "__g"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,11 +312,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
                 values, cut = shingle_sets(buf, off, shingle)
                 one, two = fingerprint(values, cut)
                 part = batch.slice(lo, hi - lo).append_column("__n", pa.array(np.diff(cut).astype(np.int64)))
-                yield part.append_column("__one", pa.array(C.signed(one))).append_column("__two", pa.array(C.signed(two)))
+                yield part.append_column("__f", pa.array(C.signed(one))).append_column("__g", pa.array(C.signed(two)))
 
     marked = docs.join(repeated, same, "left_semi").mapInArrow(run, schema)
-    first = found.filter("first").select("id", "one", "two")
-    match = marked[key].eqNullSafe(F.col("id")) & (F.col("__one") == F.col("one")) & (F.col("__two") == F.col("two"))
-    order = W.partitionBy(key, "__one", "__two").orderBy(F.xxhash64(text))
+    first = found.filter("first").select("__id", "__one", "__two")
+    match = same & (F.col("__f") == F.col("__one")) & (F.col("__g") == F.col("__two"))
+    order = W.partitionBy(key, "__f", "__g").orderBy(F.xxhash64(text))
     once = marked.filter("__n > 0").join(first, match, "left_semi").withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at")
-    return single.unionByName(once.unionByName(marked.filter("__n = 0")).drop("__n", "__one", "__two"))
+    return single.unionByName(once.unionByName(marked.filter("__n = 0")).drop("__n", "__f", "__g"))
