@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from treeline.plans.session import kept
+
 #: Weights of churn, in-degree and size; the deep slice's share and least score.
 CHURN, DEGREE, SIZE = 0.45, 0.35, 0.20
 SLICE, LEAST_SCORE = 0.15, 0.30
@@ -41,17 +43,28 @@ def score(files: DataFrame, churn: DataFrame, degree: DataFrame) -> DataFrame:
     return out.withColumn("score", F.least(F.lit(1.0), total))
 
 
-def deep_slice(ranked: DataFrame, key: str = "path") -> DataFrame:
-    """Rows of score above 0: the first 15 %, and all of 0.30 or more, with their rank.
+def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their global position from 1, without a window over all of them.
 
-    The cut is found from two counts; only then are the rows that pass numbered.  The rank is global, so the
-    numbering of the survivors meets in one task, of which they are the report.
+    Rows are range-sorted and kept; a row's place is its partition's offset, from one count per partition,
+    plus its place inside.
     """
+    held = kept(rows.sort(*order)).withColumn("__id", F.monotonically_increasing_id())
+    held = held.withColumn("__part", F.shiftright("__id", 33))
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return held.join(F.broadcast(offsets), "__part").withColumn(name, place.cast("long")).drop("__id", "__part", "__before")
+
+
+def deep_slice(ranked: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of score above 0: the first 15 %, and all of 0.30 or more, with their rank."""
     alive = ranked.filter("score > 0")
     sums = alive.agg(F.count("*").alias("n"), F.count_if(F.col("score") >= LEAST_SCORE).alias("hits"))
     cut = sums.select(F.greatest(F.ceil(F.col("n") * SLICE), F.col("hits")).alias("keep"))
-    order = W.orderBy(F.col("score").desc(), F.col(key))
-    return alive.withColumn("rank", F.row_number().over(order).cast("long")).join(F.broadcast(cut)).filter("rank <= keep").drop("keep")
+    placed = numbered(alive, [F.col("score").desc(), F.col(key)])
+    return placed.join(F.broadcast(cut)).filter("rank <= keep").drop("keep")
 
 
 def why(churn: Column, degree: Column, loc: Column, kind: Column) -> Column:

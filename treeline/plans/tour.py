@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from treeline.functions import paths as P
 from treeline.functions import text as T
 from treeline.operators import intervals as IV
+from treeline.operators import rank as R
 from treeline.operators import windows as WN
 
 #: Files of a tour and headline symbols of a file.
@@ -21,8 +22,7 @@ def code_tour(relations: dict[str, DataFrame], files: int = FILES, symbols: int
     ranked, every = relations["ranked"], relations["symbols"]
     with_symbols = every.select("path").distinct()
     candidates = ranked.filter("score > 0 AND NOT binary AND loc > 0").join(with_symbols, "path", "left_semi")
-    order = W.orderBy(F.col("score").desc(), F.col("path"))
-    candidates = candidates.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("dir", P.dirname(F.col("path")))
+    candidates = R.numbered(candidates, [F.col("score").desc(), F.col("path")]).withColumn("dir", P.dirname(F.col("path")))
     stops = WN.quota(candidates, "path", "dir", "rank", "in_degree", files).select(F.col("ordinal").alias("stop"), "path", "loc", "class", "in_degree")
     first = every.groupBy("path").agg(F.min("line").alias("first"))
     says = F.concat_ws(" · ", F.col("class"), T.plural(F.col("loc"), "line"), F.when(F.col("in_degree") > 0, T.plural(F.col("in_degree"), "importer")))

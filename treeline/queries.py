@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.functions import keys as K
@@ -105,7 +104,7 @@ SELECT ordinal, path, p_brand, rank FROM (
   SELECT *, row_number() OVER (ORDER BY pass, coalesce(seed, 9), rank) AS ordinal FROM q) WHERE ordinal <= 12""")
 def quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = part_ranks(spark, sf_dir).withColumn("score", F.round("score", 9)).filter("score > 0")
-    best = ranked.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "path")).cast("long"))
+    best = R.numbered(ranked, [F.col("score").desc(), F.col("path")])
     return WN.quota(best, "path", "p_brand", "rank", "in_degree", 12).select("ordinal", "path", "p_brand", "rank")
 
 
