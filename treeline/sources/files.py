@@ -160,7 +160,8 @@ def attribute_rules(text: str) -> list[tuple[int, str, str]]:
 def attribute_marks(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, mark) by the first rule that matches.  ``rules`` (pos, pattern, mark) are one attributes file's,
     limited to a megabyte, so every file may meet all of them."""
-    met = files.select("path").join(F.broadcast(rules), F.expr("path RLIKE regex"))
+    compiled = rules.withColumn("regex", CL.attribute_pattern(F.col("pattern")))
+    met = files.select("path").join(F.broadcast(compiled), F.regexp(F.col("path"), F.col("regex")))
     return met.groupBy("path").agg(F.min_by("mark", "pos").alias("mark"))
 
 

@@ -31,6 +31,18 @@ def facts(repo: str) -> dict:
     return {"head": head and head.strip(), "branch": branch and branch.strip(), "commit_count": int(count or 0)}
 
 
+def fingerprint(repo: str, own: str = ".treeline") -> str | None:
+    """24 hex digits from the head and what differs from it, the digest's own folder aside; None without git."""
+    import hashlib
+
+    head, dirty = git(repo, "rev-parse", "HEAD"), git(repo, "status", "--porcelain", "--", ".", f":(exclude){own}")
+    return hashlib.sha256(f"{head}{dirty}".encode()).hexdigest()[:24] if head is not None and dirty is not None else None
+
+
+def is_dirty(repo: str) -> bool:
+    return bool(git(repo, "status", "--porcelain"))
+
+
 def name_status(raw: str) -> Iterator[tuple[str, str, str | None]]:
     """(status, path, old path) from ``--name-status -z``; copies are dropped."""
     parts = iter(raw.split("\0"))
