@@ -424,7 +424,15 @@ def contained_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IV.strictly_containing(ranges, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "contains")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (
+  SELECT l_orderkey, l_linenumber::BIGINT AS pos, (l_linenumber * 10)::BIGINT AS s, (l_linenumber * 10 + l_quantity::BIGINT)::BIGINT AS e,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_quantity::BIGINT, l_linenumber) AS k FROM lineitem
+), f(l_orderkey, k, taken) AS (
+  SELECT DISTINCT l_orderkey, 0::BIGINT, []::STRUCT(pos BIGINT, s BIGINT, e BIGINT)[] FROM lineitem
+  UNION ALL SELECT f.l_orderkey, o.k, CASE WHEN len(taken) >= 5 OR len(list_filter(taken, lambda t: t.s <= o.e AND o.s <= t.e)) > 0 THEN taken
+    ELSE list_append(taken, {'pos': o.pos, 's': o.s, 'e': o.e}) END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.k = f.k + 1
+), z AS (SELECT l_orderkey, max_by(taken, k) AS taken FROM f GROUP BY l_orderkey)
+SELECT l_orderkey, t.pos AS pos, t.s AS start, t.e AS "end" FROM (SELECT l_orderkey, unnest(taken) AS t FROM z)""")
 def greedy_non_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     start = F.col("l_linenumber").cast("long") * 10
@@ -490,7 +498,14 @@ def chat_window_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (
+  SELECT source, doc_id, strlen(coalesce(text, ''))::BIGINT AS size, doc_id % 50 = 0 AS free,
+    row_number() OVER (PARTITION BY source ORDER BY strlen(coalesce(text, '')), doc_id) AS k FROM documents
+), f(source, k, used, doc_id, size, took) AS (
+  SELECT DISTINCT source, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, false FROM documents
+  UNION ALL SELECT f.source, o.k, CASE WHEN o.free OR used + o.size > 50000 THEN used ELSE used + o.size END, o.doc_id, o.size, o.free OR used + o.size <= 50000
+  FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1
+) SELECT source, doc_id, size FROM f WHERE took""")
 def page_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), (F.col("doc_id") % 50 == 0).alias("free"))
     return IV.budgeted(d, ["source"], [F.col("size"), F.col("doc_id")], "size", 50_000, "free").select("source", "doc_id", "size")
@@ -623,7 +638,9 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(d, "Heonnt")
 
 
-@query()
+@query("""SELECT page_id AS id, 0::BIGINT AS n, 'src/page' || page_id || '.html:12' AS token, 'src/page' || page_id || '.html' AS path, 12::BIGINT AS line, 'unshown' AS verdict FROM pages
+UNION ALL SELECT page_id, 1, 'lib/none.py', 'lib/none.py', NULL, 'unknown' FROM pages
+UNION ALL SELECT page_id, 2, 'page' || (page_id + 1) || '.html', 'src/page' || (page_id + 1) || '.html', NULL, 'supplied' FROM pages""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     told = F.concat(F.lit("see src/page"), text_of("page_id"), F.lit(".html:12 and lib/none.py, page"), (F.col("page_id") + 1).cast("string"), F.lit(".html; version 1.2.3 of Node.js"))
