@@ -227,8 +227,12 @@ def classes(
     reps = full.join(lead.select("rep"), F.col("row") == F.col("rep"), "left_semi")
     keyed = reps.select("row", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
-    stars = keyed.join(shared, "band").filter("row != least").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(stars).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    # A document's bands have one least row each: it is tied to the least of them, and that one to the others,
+    # so the members of a large group share these ties instead of having one for each band.
+    tied = keyed.join(shared, "band").groupBy("row").agg(F.min("least").alias("label"), F.collect_set("least").alias("leasts"))
+    across = tied.select("label", F.explode("leasts").alias("least")).filter("label <> least").distinct()
+    ties = tied.filter("row <> label").select(F.col("row").alias("a"), F.col("label").alias("b")).unionAll(across)
+    clusters = components(ties).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "cluster")
     wanted = placed.join(lead.withColumnRenamed("rep", "row"), "row")
