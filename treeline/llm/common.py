@@ -1,6 +1,6 @@
 """Shared pieces of the training-data operators: table access, numpy tokenising and hashing.
 
-Text functions work on the UTF-8 bytes of an Arrow batch, cut into slices of a few megabytes, so that
+Text functions work on the UTF-8 bytes of an Arrow batch, cut into slices of about a megabyte, so that
 memory stays bounded whatever a partition holds.  A word is a run of bytes outside ``\\x20\\x09-\\x0D``.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

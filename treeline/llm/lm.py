@@ -57,7 +57,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(C.signed(word)), pa.array(n)], names=["word", "n"])
 
         for batch in batches:
-            for _, _, buf, off in C.slices(batch.column(0)):
+            for _, _, buf, off in C.slices(batch.column(0), 4 * C.SLICE_BYTES):
                 more, times = np.unique(tokens(buf, off)[0], return_counts=True)
                 both, at = np.unique(np.concatenate([word, more]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n, times]), len(both)).astype(np.int64)
