@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from treeline.llm import common as C
 
 #: Production parameters: q, bytes of a window and its step, edits per byte, step of the diagonal bands.
-Q, WINDOW, STRIDE, EDIT_RATE, BAND = 12, 120, 60, 0.06, 16
+Q, WINDOW, STRIDE, EDIT_RATE, BAND = 12, 80, 40, 0.0625, 16
 #: Bytes of benchmark text that go to the workers at once; a larger benchmark is run in blocks.
 BLOCK_BYTES = 8 << 20
 _BITS = 24
