@@ -228,6 +228,14 @@ def test_page_differencing(spark):
     assert split.count() == 6
 
 
+def test_blocks_beside_an_article(spark):
+    """A teaser in an article must not take the main text outside it along; only shared blocks go."""
+    page = lambda i: f"<body><div>Home</div><article>teaser {i}</article><div><p>story {i}</p></div><div>Follow</div></body>"
+    rows = [(i, f"http://h/en/{i}", page(i)) for i in range(4)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: (r["text"], r["n_shared_lines"]) for r in got} == {i: (f"teaser {i}\n\nstory {i}", 2) for i in range(4)}
+
+
 def test_markup():
     text = '<html><head><title>t</title><body><nav>n</nav><header>h</header><aside>s</aside><div class="cookie-notice">c</div><form>f</form><article><h1>A &amp; B</h1><p>one\n two<br>three<script>x<y</script><p>four</article><section id=comments>r</section><footer>z'
     lines, kinds = html.blocks(text)

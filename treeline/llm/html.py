@@ -6,7 +6,8 @@ their blocks are aligned by a longest common subsequence (LCS), and shared block
 
 On pages whose menus and footers differ from page to page while articles share whole lines (licences,
 quotations), differencing alone errs both ways.  So flagged blocks always go, and a block inside an explicit
-``article`` or ``main`` element stays even when shared; differencing decides on all others.
+``article`` or ``main`` element stays even when shared; differencing decides on all others, with such an
+element on the page or without.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 FOLDER_PAGES = 500
 #: Rows up to which the table of large folders is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 50_000
-#: A neighbour that shares more of a page's undecided text than this is a copy, and deletes nothing.
+#: A neighbour that shares more of a page's article (without one: of its undecided text) is a copy, and deletes nothing.
 COPY_SHARE = 0.5
 
 FLAGGED, OPEN, ARTICLE = 0, 1, 2
@@ -171,13 +172,13 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
 def decide(lines: list[str], kinds: list[int], other: list[str] | None) -> tuple[list[str], int]:
     """The lines kept, given the neighbour's lines, and how many were deleted as shared."""
     alike = shared(lines, other) if other else [False] * len(lines)
-    article = ARTICLE in kinds  # then what lies outside it isn't the main text
-    size = sum(len(x) for x, k in zip(lines, kinds) if k == OPEN)
-    common = sum(len(x) for x, k, s in zip(lines, kinds, alike) if k == OPEN and s)
-    copy = common > COPY_SHARE * size and not article
+    told = ARTICLE if ARTICLE in kinds else OPEN  # what tells a copy: the article's text, or else all undecided text
+    size = sum(len(x) for x, k in zip(lines, kinds) if k == told)
+    common = sum(len(x) for x, k, s in zip(lines, kinds, alike) if k == told and s)
+    copy = common > COPY_SHARE * size
     kept, gone = [], 0
     for x, k, s in zip(lines, kinds, alike):
-        if k == ARTICLE or (k == OPEN and not article and (copy or not s)):
+        if k == ARTICLE or (k == OPEN and (copy or not s)):
             kept.append(x)
         elif s and not copy:
             gone += 1
