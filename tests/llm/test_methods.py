@@ -236,6 +236,17 @@ def test_blocks_beside_an_article(spark):
     assert {r["page_id"]: (r["text"], r["n_shared_lines"]) for r in got} == {i: (f"teaser {i}\n\nstory {i}", 2) for i in range(4)}
 
 
+def test_nearest_page_of_the_host(spark):
+    """Pages alone in their folders have partners on their host, and the size of parts changes nothing."""
+    page = lambda i: f"<body><div>Home</div><p>story {i} {'word ' * 30}</p><div>Follow</div></body>"
+    rows = [(i, f"http://h/{i:02d}/post", page(i)) for i in range(12)] + [(99, "http://other/00/post", page(99))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (500, 3, 1):
+        got = {r["page_id"]: (r["text"], r["n_shared_lines"]) for r in html.extract(df, folder_pages=size).collect()}
+        assert got.pop(99)[1] == 0 and len(got) == 12
+        assert all(got[i] == (f"story {i} {('word ' * 30).strip()}", 2) for i in got)
+
+
 def test_markup():
     text = '<html><head><title>t</title><body><nav>n</nav><header>h</header><aside>s</aside><div class="cookie-notice">c</div><form>f</form><article><h1>A &amp; B</h1><p>one\n two<br>three<script>x<y</script><p>four</article><section id=comments>r</section><footer>z'
     lines, kinds = html.blocks(text)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -22,8 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from treeline.llm.common import cut
-
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")
@@ -49,10 +48,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-#: Pages of one folder that are compared with each other; larger folders are split by a hash of the leaf.
-FOLDER_PAGES = 500
-#: Rows up to which the table of large folders is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Pages of a part of the order by URL, and the most parts; the neighbours of pages at an edge are carried over.
+FOLDER_PAGES, MOST_PARTS = 500, 4096
 #: A neighbour that shares more of a page's article (without one: of its undecided text) is a copy, and deletes nothing.
 COPY_SHARE = 0.5
 
@@ -185,53 +182,69 @@ def decide(lines: list[str], kinds: list[int], other: list[str] | None) -> tuple
     return kept, gone
 
 
-def url_parts(url: Column) -> tuple[Column, Column, Column]:
-    """Host, folder and leaf of a URL; a null or odd URL gives empty strings."""
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL; a null or odd URL gives empty strings."""
     url = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    leaf = F.regexp_extract(path, r"([^/]*)$", 1)
-    return host, F.substring(path, F.lit(1), F.length(path) - F.length(leaf)), leaf
+    return host, F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+
+
+def edges(spots: DataFrame, rows: int) -> tuple[list[str], list[str]]:
+    """First and last ``spot`` of each part, when all are ordered and cut into parts of about ``rows``."""
+    n = max(1, min(-(-spots.count() // rows), MOST_PARTS))
+    dealt = spots.repartitionByRange(n, "spot").groupBy(F.spark_partition_id().alias("part"))
+    ends = sorted((r["lo"], r["hi"]) for r in dealt.agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).collect())
+    return [lo for lo, _ in ends], [hi for _, hi in ends]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", folder_pages: int = FOLDER_PAGES) -> DataFrame:
     """One row per page: key, url, ``text`` (blocks joined by an empty line), ``n_chars``, ``n_shared_lines``.
 
     A null or empty page has an empty text; a null URL is compared with others of none; repeated rows are
-    compared with each other, and as copies delete nothing.  Pages are sorted by URL within host and folder,
-    and each is compared with the neighbour whose URL shares the longer prefix (the earlier at a tie).
-    Folders of over ``folder_pages`` pages are split by a hash of the leaf, so no task holds a host's pages;
-    a task holds three pages at a time.  Columns not named aren't read.
+    compared with each other, and as copies delete nothing.  Pages are sorted by URL path within their host,
+    and each is compared with the neighbour whose path shares the longer prefix (the earlier at a tie).
+    The order is cut into parts of about ``folder_pages`` pages, and the pages at a cut go to both sides, so
+    no task holds a host's pages and the result doesn't depend on the cuts; a task holds three pages at a time.
+    Columns not named aren't read.
     """
     kind, id_type = pages.schema[key].dataType.simpleString(), to_arrow_type(pages.schema[key].dataType)
-    host, folder, leaf = url_parts(F.col("url"))
-    light = pages.select(F.col(url).alias("url")).select(host.alias("host"), folder.alias("folder"))
-    large = light.groupBy("host", "folder").count().filter(F.col("count") > folder_pages)
-    large = cut(large)
-    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    host, path = url_parts(F.col("url"))
+    spot = F.concat_ws("\0", host, path, F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    firsts, lasts = edges(pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).select(spot.alias("spot")), folder_pages)
+
+    def parts(spot: str) -> list[int]:
+        """The part of a page, and at its edge the part next to it."""
+        p = max(bisect_right(firsts, spot) - 1, 0)
+        return [p] + [p - 1] * (p > 0 and spot == firsts[p]) + [p + 1] * (p + 1 < len(firsts) and spot == lasts[p])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, size = 0, 0
-            got: list[tuple[list[str], list[int]]] = []
-            for i, page in enumerate(batch.column("html")):
-                got.append(blocks(page.as_py()))
-                size += sum(map(len, got[-1][0]))
-                if size > 4 << 20 or i + 1 == batch.num_rows:
-                    part = batch.slice(at, len(got)).drop_columns(["html"])
-                    part = part.append_column("lines", pa.array([x for x, _ in got], pa.list_(pa.string())))
-                    yield part.append_column("kinds", pa.array([k for _, k in got], pa.list_(pa.int32())))
-                    at, size, got = i + 1, 0, []
+            got: list[tuple] = []
+            size = 0
+
+            def out(got: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at, part, guest, lines, kinds = zip(*got)
+                rows = batch.drop_columns(["html"]).take(pa.array(at))
+                rows = rows.append_column("part", pa.array(part, pa.int64())).append_column("guest", pa.array(guest, pa.bool_()))
+                rows = rows.append_column("lines", pa.array(lines, pa.list_(pa.string())))
+                return rows.append_column("kinds", pa.array(kinds, pa.list_(pa.int32())))
+
+            for i, (page, spot) in enumerate(zip(batch.column("html"), batch.column("spot"))):
+                lines, kinds = blocks(page.as_py())
+                for k, part in enumerate(parts(spot.as_py())):
+                    got.append((i, part, k > 0, lines, kinds))
+                    size += sum(map(len, lines))
+                if size > 4 << 20:
+                    yield out(got)
+                    got, size = [], 0
+            if got:
+                yield out(got)
 
     keyed = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    keyed = keyed.withColumns({"host": host, "folder": folder, "leaf": leaf})
-    split = F.pmod(F.xxhash64("leaf"), F.ceil(F.col("count") / folder_pages))
-    keyed = keyed.join(F.broadcast(large) if few else large, ["host", "folder"], "left")
-    keyed = keyed.withColumn("part", F.coalesce(split, F.lit(0)).cast("long")).select("page_id", "url", "host", "folder", "part", "leaf", "html")
-    schema = f"page_id {kind}, url string, host string, folder string, part long, leaf string, lines array<string>, kinds array<int>"
+    keyed = keyed.select("page_id", "url", spot.alias("spot"), "html")
+    schema = f"page_id {kind}, url string, spot string, part long, guest boolean, lines array<string>, kinds array<int>"
     parsed = keyed.mapInArrow(parse, schema)
-    group = ["host", "folder", "part"]
-    ordered = parsed.repartition(*group).sortWithinPartitions(*group, "leaf", "url", "page_id")
+    ordered = parsed.repartition("part").sortWithinPartitions("part", "spot")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -240,8 +253,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
 
         def nearest(before: dict | None, row: dict, after: dict | None) -> dict | None:
-            near = [x for x in (before, after) if x and all(x[g] == row[g] for g in group)]
-            return max(near, key=lambda x: len(commonprefix([x["leaf"], row["leaf"]])), default=None)
+            host, path = row["spot"].split("\0")[:2]
+            near = [x for x in (before, after) if x and x["part"] == row["part"] and x["spot"].split("\0")[0] == host]
+            return max(near, key=lambda x: len(commonprefix([x["spot"].split("\0")[1], path])), default=None)
 
         def result(before: dict | None, row: dict, after: dict | None) -> tuple:
             other = nearest(before, row, after)
@@ -258,14 +272,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         out: list[tuple] = []
         size, before, row = 0, None, None
         for after in rows():
-            if row is not None:
+            if row is not None and not row["guest"]:
                 out.append(result(before, row, after))
                 size += out[-1][3]
                 if size > 4 << 20 or len(out) >= 2000:
                     yield batched(out)
                     out, size = [], 0
             before, row = row, after
-        if row is not None:
+        if row is not None and not row["guest"]:
             out.append(result(before, row, None))
         if out:
             yield batched(out)
