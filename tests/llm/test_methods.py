@@ -374,6 +374,25 @@ def test_lm_learns_and_counts(spark):
     assert all(abs(joined[r["id"]]["score"] - r["score"]) < 1e-6 and joined[r["id"]]["n_known"] == r["n_known"] for r in got)
 
 
+def test_lm_tells_rare_words_apart(spark):
+    """Words outside the shortlist reach the network as buckets that grow with the vocabulary."""
+    net = lambda short: lm.Network.fresh(4, len(short.counts) // 32, 32, short.counts)
+    sizes = []
+    for kinds in (3000, 30000):
+        rows = [(int(w), 1 + i % 5) for i, w in enumerate(np.random.default_rng(4).integers(-(2**63), 2**63 - 1, kinds))]
+        short = lm.shortlist(spark.createDataFrame(rows, "word long, n long"), 32, 32, kinds)
+        word, n = np.array([r[0] for r in rows]).view(np.uint64), np.array([r[1] for r in rows])
+        number = short.number(word)
+        sizes.append(len(set(number[number >= 1024].tolist())))
+        mass = short.rare_mass(number)
+        p = np.exp(net(short).output(np.full((kinds, 4), 0.3, dtype=np.float32), number)[0])
+        p *= np.where(mass > 0, (n + lm.SMOOTH) / np.where(mass > 0, mass, 1), 1)
+        buckets = np.arange(1024, len(short.counts))
+        unknown = np.exp(net(short).output(np.full((len(buckets), 4), 0.3, dtype=np.float32), buckets)[0]) * lm.SMOOTH / short.rare_mass(buckets)
+        assert abs(p.sum() + unknown.sum() - 1) < 1e-4
+    assert sizes == [64, 192]
+
+
 def test_pipeline(spark, sf):
     """The whole pipeline against its stages in plain Python."""
     import corpus_pipeline

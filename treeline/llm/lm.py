@@ -2,8 +2,9 @@
 
 Tokens are words with A-Z lowered, and one end per document.  The network predicts, from the state after all
 earlier tokens of the document, the class of the next token and then the token within its class (a
-class-factored softmax); classes hold words of like frequency.  Words outside the shortlist share one token
-and are told apart by their smoothed counts, so every text has a probability.  Training is by truncated
+class-factored softmax); classes hold words of like frequency.  Words outside the shortlist enter and are
+predicted as one of many buckets, by their hash; a bucket's words are told apart by their smoothed counts, so
+every text has a probability.  Buckets grow with the vocabulary, by its square root.  Training is by truncated
 backpropagation: the state is carried from window to window, gradients stay inside one.  Every task trains a
 replica on its documents, and replicas are averaged by tokens seen, for each of a few rounds.  Scoring
 carries the state through the whole document.
@@ -11,6 +12,7 @@ carries the state through the whole document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 from treeline.llm import common as C
 
-#: Production parameters: hidden units, classes and tokens of a class, window, documents trained at once,
-#: tokens after which a training document starts a new stream, learning rate, rounds of averaging.
-HIDDEN, CLASSES, PER_CLASS, WINDOW, STREAMS, PIECE, RATE, ROUNDS = 16, 32, 32, 16, 512, 1024, 0.1, 2
+#: Production parameters: hidden units, classes of the shortlist and tokens of a class, window, documents trained
+#: at once, learning rate, rounds of averaging.
+HIDDEN, CLASSES, PER_CLASS, WINDOW, STREAMS, RATE, ROUNDS = 16, 32, 32, 16, 512, 0.1, 2
 #: Each round trains on one in so many training documents, chosen by a hash of the id: with as many rounds, on each once.
 SHARE = 2
 #: Words up to which the count table goes to the workers whole (16 bytes each); beyond, it is joined.
@@ -72,28 +74,43 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Shortlist:
-    """The most frequent tokens; number 0 stands for all others."""
+    """The most frequent tokens, by number; the numbers from ``size`` on are the buckets of all others."""
 
     words: np.ndarray  # sorted hashes
     numbers: np.ndarray
+    size: int
     counts: np.ndarray  # by number
-    other_mass: float  # of the words that number 0 stands for, smoothed
+    mass: np.ndarray  # of each bucket's words and one unknown word, smoothed
 
     def number(self, unique: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, unique), max(len(self.words) - 1, 0))
+        bucket = self.size + ((unique >> np.uint64(32)) % np.uint64(len(self.mass))).astype(np.int32)
         if not len(self.words):
-            return np.zeros(len(unique), dtype=np.int16)
-        return np.where(self.words[at] == unique, self.numbers[at], 0).astype(np.int16)
+            return bucket
+        at = np.minimum(np.searchsorted(self.words, unique), len(self.words) - 1)
+        return np.where(self.words[at] == unique, self.numbers[at], bucket).astype(np.int32)
 
+    def rare_mass(self, number: np.ndarray) -> np.ndarray:
+        """The mass of each number's bucket; 0 for tokens of the shortlist."""
+        return np.where(number >= self.size, self.mass[np.maximum(number - self.size, 0)], 0.0)
 
-def shortlist(counts: DataFrame, size: int, total: int, words: int) -> Shortlist:
-    rows = counts.orderBy(F.col("n").desc(), "word").limit(size - 1).collect()
+
+def shortlist(counts: DataFrame, classes: int, per_class: int, words: int) -> Shortlist:
+    """``classes`` classes of the most frequent tokens, and about ``sqrt(words)`` buckets in classes of their own."""
+    size = classes * per_class
+    n_buckets = per_class * max(1, -(-math.isqrt(words) // per_class))
+    rows = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
     word = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
     n = np.array([r["n"] for r in rows], dtype=np.int64)
-    rest, kinds = total - int(n.sum()), words - len(rows)
+    bucket = F.pmod(F.shiftrightunsigned("word", 32), F.lit(n_buckets)).cast("int").alias("bucket")
+    rest, kinds = np.zeros(n_buckets, dtype=np.int64), np.zeros(n_buckets, dtype=np.int64)
+    for r in counts.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        rest[r["bucket"]], kinds[r["bucket"]] = r["n"], r["kinds"]
+    own = ((word >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+    np.subtract.at(rest, own, n)
+    np.subtract.at(kinds, own, 1)
     order = np.argsort(word)
-    by_number = np.concatenate([[max(rest, 1)], n, np.zeros(max(size - 1 - len(n), 0), dtype=np.int64)])
-    return Shortlist(word[order], (np.arange(len(word)) + 1)[order].astype(np.int16), by_number, rest + SMOOTH * (kinds + 1))
+    by_number = np.concatenate([n, np.zeros(size - len(n), dtype=np.int64), rest])
+    return Shortlist(word[order], np.arange(len(word))[order].astype(np.int32), size, by_number, rest + SMOOTH * (kinds + 1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -220,20 +237,19 @@ class Network:
         return out
 
 
-def train(net: Network, docs: list[np.ndarray], window: int, streams: int, piece: int, rate: float) -> int:
+def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate: float) -> int:
     """Trains ``net`` in place on token numbers of documents with AdaGrad; returns the tokens seen.
 
-    Documents are cut into pieces of ``piece`` tokens, whose states start anew, and trained side by side.
+    Documents of like length are trained side by side; the state runs through the whole of each.
     """
-    pieces = [d[i : i + piece] for d in docs for i in range(0, len(d), piece)]
-    pieces.sort(key=len, reverse=True)
-    groups = [pieces[i : i + streams] for i in range(0, len(pieces), streams)]
+    docs = sorted(docs, key=len, reverse=True)
+    groups = [docs[i : i + streams] for i in range(0, len(docs), streams)]
     square = np.full_like(net.weights, 1e-3)
     seen = 0
     for g in np.random.default_rng(len(groups)).permutation(len(groups)):
         group = groups[g]
         size = np.array([len(p) for p in group])
-        x = np.zeros((size[0], len(group)), dtype=np.int16)
+        x = np.zeros((size[0], len(group)), dtype=np.int32)
         for i, p in enumerate(group):
             x[: len(p), i] = p
         h = np.zeros((len(group), net.hidden), dtype=np.float32)
@@ -282,13 +298,14 @@ def log_probability(net: Network, flat: np.ndarray, at: np.ndarray, block: int =
 
 def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, streams: int = STREAMS, rate: float = RATE) -> Network:
     """Trains on ``texts`` (``id``, ``text``): each round, one in ``share`` rows, by a hash of the id."""
-    net = Network.fresh(HIDDEN, CLASSES, PER_CLASS, short.counts)
+    classes = len(short.counts) // PER_CLASS
+    net = Network.fresh(HIDDEN, classes, PER_CLASS, short.counts)
     bucket = F.pmod(F.xxhash64("id"), F.lit(share))
     for k in range(rounds):
         start = net.weights.copy()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own = Network(HIDDEN, CLASSES, PER_CLASS, start.copy())
+            own = Network(HIDDEN, classes, PER_CLASS, start.copy())
             docs: list[np.ndarray] = []
             held = seen = 0
             for batch in batches:
@@ -299,10 +316,10 @@ def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, streams: in
                     docs += [number[at[i] : at[i + 1]] for i in range(len(off) - 1)]
                     held += len(number)
                     if held > 4_000_000:
-                        seen += train(own, docs, WINDOW, streams, PIECE, rate)
+                        seen += train(own, docs, WINDOW, streams, rate)
                         docs, held = [], 0
             if docs:
-                seen += train(own, docs, WINDOW, streams, PIECE, rate)
+                seen += train(own, docs, WINDOW, streams, rate)
             if seen:
                 value = own.weights.astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays(
@@ -314,7 +331,7 @@ def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, streams: in
         if rows.num_rows:
             weights = np.zeros(len(start), dtype=np.float32)
             weights[rows["k"].to_numpy()] = rows["x"].to_numpy()
-            net = Network(HIDDEN, CLASSES, PER_CLASS, weights)
+            net = Network(HIDDEN, classes, PER_CLASS, weights)
     return net
 
 
@@ -331,7 +348,7 @@ def score(
     training = plain.filter(~held_out(F.col("id")))
     counts = C.cut(count_tokens(training))
     total, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = shortlist(counts, CLASSES * PER_CLASS, total, words)
+    short = shortlist(counts, CLASSES, PER_CLASS, words)
     net = fit(training, short, rounds, share, streams)
     weights = net.weights
     kind = docs.schema[key].dataType.simpleString()
@@ -345,7 +362,7 @@ def score(
         known = docs.sparkSession.sparkContext.broadcast((word[order], n[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network(HIDDEN, CLASSES, PER_CLASS, weights)
+        model = Network(HIDDEN, len(short.counts) // PER_CLASS, PER_CLASS, weights)
         ids, number, size, columns = [], [], [], []
         held = 0
 
@@ -369,7 +386,8 @@ def score(
                     count = lookup(*known.value, unique)
                     n_known = np.add.reduceat((count > 0)[where].astype(np.int64), at[:-1])
                     base = np.add.reduceat(np.log10((count + SMOOTH) / scale)[where], at[:-1])
-                    rare = np.where(short_number == 0, np.log10((count + SMOOTH) / short.other_mass), 0.0)
+                    mass = short.rare_mass(short_number)
+                    rare = np.where(mass > 0, np.log10((count + SMOOTH) / np.where(mass > 0, mass, 1.0)), 0.0)
                     other = np.add.reduceat(rare[where], at[:-1])
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 number.append(short_number[where])
@@ -407,22 +425,22 @@ def _joined(plain: DataFrame, counts: DataFrame, run, kind: str, schema: str, sh
                 pair, times = np.unique(np.repeat(np.arange(hi - lo), np.diff(at)) * len(unique) + where, return_counts=True)
                 cuts = np.searchsorted(pair // len(unique), np.arange(hi - lo + 1)).astype(np.int32)
                 w = unique[pair % len(unique)]
-                rare = short.number(w) == 0
+                mass = short.rare_mass(short.number(w))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)]
-                    + [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (C.signed(w), times.astype(np.int64), rare)],
-                    names=["id", "row", "words", "times", "rare"],
+                    + [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (C.signed(w), times.astype(np.int64), mass)],
+                    names=["id", "row", "words", "times", "mass"],
                 )
 
     marked = plain.withColumn("row", F.monotonically_increasing_id())
     scored = C.cut(
         marked.select("id", "text", "row").mapInArrow(_with_row(run), f"id {kind}, {schema}, row long")
     )
-    bag = marked.select("id", "text", "row").mapInArrow(bags, f"id {kind}, row long, words array<long>, times array<long>, rare array<boolean>")
-    flat = bag.select("row", F.explode(F.arrays_zip("words", "times", "rare")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.rare").alias("rare"))
+    bag = marked.select("id", "text", "row").mapInArrow(bags, f"id {kind}, row long, words array<long>, times array<long>, mass array<double>")
+    flat = bag.select("row", F.explode(F.arrays_zip("words", "times", "mass")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.mass").alias("mass"))
     met = flat.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     log = F.log10((F.col("n") + SMOOTH) / scale) * F.col("times")
-    rare = F.when(F.col("rare"), F.log10((F.col("n") + SMOOTH) / short.other_mass) * F.col("times")).otherwise(0.0)
+    rare = F.when(F.col("mass") > 0, F.log10((F.col("n") + SMOOTH) / F.col("mass")) * F.col("times")).otherwise(0.0)
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(log).alias("base"), F.sum(rare).alias("other")
     )
