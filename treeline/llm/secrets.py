@@ -125,7 +125,8 @@ def scan(
     """All columns of ``docs`` and ``spans array<struct<start, end, kind>>``, by start and then kind.
 
     Positions are code points of the whole text, ends exclusive.  A null or empty text has no spans (an empty
-    array).  Spans of the fixed patterns always stay; a model's span is added where it overlaps none of them.
+    array).  Spans of the fixed patterns always stay; a model's span is added unless
+    one of them holds it whole, so the two may overlap.
     No shuffle; each regular expression runs only on texts that a cheap test lets through.
     """
     if "spans" in docs.columns:
@@ -147,7 +148,7 @@ def scan(
     names = [f"__{k}" for k in KINDS]
     out = docs.select("*", *[v.alias(f"__{k}") for k, v in found.items()], F.when(body.rlike(token), looks).otherwise(none).alias("__markov"))
     base = F.concat("__assign", "__access", "__hex")
-    extra = F.filter("__markov", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    extra = F.filter("__markov", lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
