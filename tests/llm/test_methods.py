@@ -201,6 +201,19 @@ def test_decontamination(spark):
         assert text[r["doc_id"]].encode()[r["start"] : r["end"]].decode().lower()[:5] in text[r["doc_id"]].lower()
 
 
+def test_decontamination_of_replaced_words(spark):
+    """Passages with one word in ten replaced are found, and unrelated texts aren't."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(100)]
+    rows = []
+    for i, text in items:
+        near = [word() if rng.random() < 0.1 else w for w in text.split()]
+        rows += [(i, " ".join([word() for _ in range(20)] + near + [word() for _ in range(20)])), (1000 + i, " ".join(word() for _ in range(80)))]
+    got = decontam.findings(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in got) and len(got) >= 97
+
+
 def test_shared_lines_are_longest():
     rng = random.Random(1)
     for _ in range(400):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from treeline.llm import common as C
 
 #: Production parameters: q, bytes of a window and its step, edits per byte, step of the diagonal bands.
-Q, WINDOW, STRIDE, EDIT_RATE, BAND = 12, 80, 40, 0.0625, 16
+Q, WINDOW, STRIDE, EDIT_RATE, BAND = 8, 80, 8, 0.1, 16
 #: Bytes of benchmark text that go to the workers at once; a larger benchmark is run in blocks.
 BLOCK_BYTES = 8 << 20
 _BITS = 24
@@ -74,79 +74,116 @@ def gram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
     return C.mix(out)
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, lo: int, hi: int, edits: int) -> tuple[int, int, int] | None:
-    """Least edits between ``pattern`` and a part of ``text`` that starts on a diagonal from lo to hi.
+def banded_distances(
+    patterns: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, lo: np.ndarray, width: int, edits: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits between each row of ``patterns`` and a part of ``text[first:last]`` that starts on one of
+    ``width`` diagonals from ``lo``, side by side.
 
-    Returns edits, start and end of the part, or None beyond ``edits``.  Row i of the alignment holds text
-    positions i + lo - edits to i + hi + edits.
+    Returns the rows within ``edits``, their edits, and start and end of the part from ``first``.  Step i of the
+    alignment holds text positions i + lo - edits to i + lo + width - 1 + edits.
     """
-    n, m = len(pattern), len(text)
-    width, base = hi - lo + 2 * edits + 1, lo - edits
-    big = n + edits + 2
+    n, width = patterns.shape[1], width + 2 * edits
+    big, base, size = n + edits + 2, lo - edits, last - first
+    spot = base[:, None] + np.arange(n + width)
+    inside = (spot >= 0) & (spot < size[:, None])
+    seen = np.where(inside, text[np.where(inside, first[:, None] + spot, 0)], -1).astype(np.int16)
     column = np.arange(width)
-    cost = np.where((column + base >= 0) & (column + base <= m), 0, big)
-    origin = column + base
+    at = base[:, None] + column
+    cost, origin = np.where((at >= 0) & (at <= size[:, None]), 0, big), at
+    rows = np.arange(len(patterns))
+    end = np.full((len(rows), 1), big)
     for i in range(1, n + 1):
-        at = column + base + i  # text position after i pattern bytes
-        inside = (at >= 1) & (at <= m)
-        same = np.zeros(width, dtype=bool)
-        same[inside] = text[at[inside] - 1] == pattern[i - 1]
-        diagonal = np.where(inside, cost + ~same, big)
-        up = np.append(cost[1:] + 1, big)  # pattern byte deleted
+        diagonal = np.where(inside[:, i - 1 : i - 1 + width], cost + (seen[:, i - 1 : i - 1 + width] != patterns[:, i - 1 : i]), big)
+        up = np.concatenate([cost[:, 1:] + 1, end], axis=1)  # pattern byte deleted
         take = up < diagonal
-        new = np.where(take, up, diagonal)
-        start = np.where(take, np.append(origin[1:], 0), origin)
-        new = np.where((at >= 0) & (at <= m), new, big)
+        start = np.where(take, np.concatenate([origin[:, 1:], end], axis=1), origin)
+        at = at + 1
+        new = np.where((at >= 0) & (at <= size[:, None]), np.where(take, up, diagonal), big)
         run = new - column  # then text bytes inserted, from the left
-        best = np.minimum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == best, column, 0))
-        cost, origin = best + column, start[source]
-        if cost.min() > edits:
-            return None
-    end = int(np.argmin(cost))
-    if cost[end] > edits:
-        return None
-    return int(cost[end]), int(origin[end]), end + base + n
+        best = np.minimum.accumulate(run, axis=1)
+        source = np.maximum.accumulate(np.where(run == best, column, 0), axis=1)
+        cost, origin = best + column, np.take_along_axis(start, source, axis=1)
+        if i % 8 == 0 or i == n:
+            live = cost.min(axis=1) <= edits
+            if not live.all():
+                rows, cost, origin, at, size, end = rows[live], cost[live], origin[live], at[live], size[live], end[live]
+                inside, seen, patterns = inside[live], seen[live], patterns[live]
+                if not len(rows):
+                    break
+    if not len(rows):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    best = cost.argmin(axis=1)
+    every = np.arange(len(rows))
+    return rows, cost[every, best], origin[every, best], at[every, best]
 
 
 class Index:
-    """Windows of benchmark items and the places of their q-grams."""
+    """Windows of benchmark items and the places of their q-grams.
+
+    Each q-gram of an item is kept once, by its place among all items' bytes; a window is a run of places.
+    """
 
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, edit_rate: float) -> None:
-        self.q = q
+        self.q, self.stride = q, stride
         self.owner: list[int] = []
-        self.patterns: list[np.ndarray] = []
-        grams, windows, places = [], [], []
+        folds = []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             folded, _, _ = fold(raw, np.array([0, len(raw)]))
             if len(folded) and folded[-1] == 32:
                 folded = folded[:-1]
-            starts = list(range(0, max(len(folded) - window, 0) + 1, stride))
-            if starts[-1] + window < len(folded):
-                starts.append(len(folded) - window)
-            for s in starts:
-                pattern = folded[s : s + window]
-                if len(pattern) < q:
-                    continue
-                h = gram_hashes(pattern, q)
-                grams.append(h)
-                windows.append(np.full(len(h), len(self.patterns)))
-                places.append(np.arange(len(h)))
+            if len(folded) >= q:
                 self.owner.append(item)
-                self.patterns.append(pattern)
-        size = np.array([len(p) for p in self.patterns], dtype=np.int64)
-        self.edits = np.minimum((edit_rate * size).astype(np.int64), np.maximum(size - q, 0) // q)
-        self.least = size - q + 1 - q * self.edits
+                folds.append(folded)
         none = np.zeros(0, dtype=np.int64)
-        gram = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
+        size = np.array([len(x) for x in folds], dtype=np.int64)
+        self.first = np.cumsum(size) - size  # of each item
+        self.text = np.concatenate(folds) if folds else np.zeros(0, dtype=np.uint8)
+        self.size = np.minimum(size, window)  # of an item's windows
+        self.last = size - self.size  # start of its last window
+        self.edits = np.minimum((edit_rate * self.size + 1e-9).astype(np.int64), np.maximum(self.size - q, 0) // q)
+        self.least = self.size - q + 1 - q * self.edits
+        gram = np.concatenate([gram_hashes(x, q) for x in folds]) if folds else np.zeros(0, dtype=np.uint64)
+        place = np.concatenate([np.arange(len(x) - q + 1) + f for x, f in zip(folds, self.first)]) if folds else none
         order = np.argsort(gram, kind="stable")
-        self.gram = gram[order]
-        self.window = (np.concatenate(windows) if windows else none)[order]
-        self.place = (np.concatenate(places) if places else none)[order]
+        self.gram, self.place = gram[order], place[order]
+        self.item = np.searchsorted(self.first, self.place, "right") - 1
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    def candidates(self, row: np.ndarray, diagonal: np.ndarray, place: np.ndarray, band: int) -> np.ndarray:
+        """Windows that share enough q-grams with a band of diagonals: row, item, start in the item, band."""
+        shift = (-(-len(self.text) // band) + 1) * band  # so that diagonals and bands aren't negative
+        step = (diagonal + shift) // band
+        wide, all_places = int(step.max()) + 2, len(self.text)
+        # bands overlap: band b covers steps b and b + 1
+        key = (row * wide + step) * all_places + place
+        key = np.unique(np.concatenate([key, key - all_places]))
+        place = key % all_places
+        group = key // all_places
+        item = np.searchsorted(self.first, place, "right") - 1
+        j = np.arange(len(key)) + self.least[item] - 1
+        ok = j < len(key)
+        i, j = np.flatnonzero(ok), j[ok]
+        ok = (group[i] == group[j]) & (item[i] == item[j]) & (place[j] - place[i] <= self.size[item[i]] - self.q)
+        i, j = i[ok], j[ok]
+        item, group = item[i], group[i]
+        lo = np.maximum(place[j] - self.first[item] - self.size[item] + self.q, 0)
+        hi = np.minimum(place[i] - self.first[item], self.last[item])
+        a = -(-lo // self.stride)
+        n = np.maximum(hi // self.stride - a + 1, 0)
+        start = (np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * self.stride
+        end = np.flatnonzero(hi == self.last[item])  # an item's last window counts whatever its start
+        group = np.concatenate([np.repeat(group, n), group[end]])
+        item = np.concatenate([np.repeat(item, n), item[end]])
+        start = np.concatenate([start, self.last[item[len(start) :]]])
+        got = np.unique(group * all_places + self.first[item] + start)
+        group, at = got // all_places, got % all_places
+        item = np.searchsorted(self.first, at, "right") - 1
+        return np.stack([group // wide, item, at - self.first[item], (group % wide) * band - shift], axis=1)
+
     def find(self, buf: np.ndarray, off: np.ndarray, band: int) -> Iterator[tuple[int, int, int, int, int]]:
         """Verified regions as (row, item, edits, start, end), in bytes of ``buf`` from the row's start."""
         folded, foff, at = fold(buf, off)
@@ -160,7 +197,6 @@ class Index:
         lo, hi = np.searchsorted(self.gram, h[hit], "left"), np.searchsorted(self.gram, h[hit], "right")
         n = hi - lo
         total = np.cumsum(n)
-        found: set[tuple[int, int, int]] = set()
         first = 0
         while first < len(hit):  # whole rows, of about two million pairs at a time
             done = total[first - 1] if first else 0
@@ -172,37 +208,29 @@ class Index:
             c = n[first:last]
             span = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[first:last], c)
             r, p = np.repeat(row[first:last], c), np.repeat(hit[first:last], c)
-            w = self.window[span]
-            diagonal = p - foff[r] - self.place[span]
-            step = (diagonal + WINDOW_SHIFT) // band
-            wide = int(step.max()) + 2 if len(step) else 1
-            keys = (r * len(self.patterns) + w) * wide + step
-            one, number = np.unique(keys, return_counts=True)
-            # bands overlap: band b covers steps b and b + 1
-            next_at = np.minimum(np.searchsorted(one, one + 1), max(len(one) - 1, 0))
-            both = number + np.where(one[next_at] == one + 1, number[next_at], 0) if len(one) else number
-            w = (one // wide) % max(len(self.patterns), 1)
-            for k in one[both >= self.least[w]]:
-                k = int(k)
-                found.add((k // wide // len(self.patterns), k // wide % len(self.patterns), k % wide))
             first = last
-        for r, w, b in sorted(found):
-            text = folded[foff[r] : foff[r + 1]]
-            lo_d = b * band - WINDOW_SHIFT
-            got = banded_distance(self.patterns[w], text, lo_d, lo_d + 2 * band - 1, int(self.edits[w]))
-            if got:
-                edits, s, e = got
-                s, e = max(s, 0), max(e, s + 1)
-                s, e = int(at[foff[r] + s]), int(at[foff[r] + e - 1]) + 1
-                while s > off[r] and buf[s] & 0xC0 == 0x80:  # whole characters
-                    s -= 1
-                while e < off[r + 1] and buf[e] & 0xC0 == 0x80:
-                    e += 1
-                yield r, self.owner[w], edits, s - int(off[r]), e - int(off[r])
-
-
-#: Added to diagonals, so that they aren't negative.
-WINDOW_SHIFT = 1 << 16
+            if not len(span):
+                continue
+            place, item = self.place[span], self.item[span]
+            found = self.candidates(r, p - foff[r] - place + self.first[item], place, band)
+            for size, edits in sorted({(int(a), int(b)) for a, b in zip(self.size[found[:, 1]], self.edits[found[:, 1]])}):
+                some = found[(self.size[found[:, 1]] == size) & (self.edits[found[:, 1]] == edits)]
+                for k in range(0, len(some), 1024):
+                    r, item, start, low = some[k : k + 1024].T
+                    patterns = self.text[(self.first[item] + start)[:, None] + np.arange(size)]
+                    # a window's diagonals begin where the item's do, further on by its start
+                    got = banded_distances(patterns, folded, foff[r], foff[r + 1], low + start, 2 * band, edits)
+                    for x, e_, s, e in zip(*(v.tolist() for v in got)):
+                        yield self._region(int(r[x]), int(item[x]), e_, s, e, buf, off, foff, at)
+
+    def _region(self, r: int, item: int, edits: int, s: int, e: int, buf: np.ndarray, off: np.ndarray, foff: np.ndarray, at: np.ndarray) -> tuple:
+        s, e = max(s, 0), max(e, s + 1)
+        s, e = int(at[foff[r] + s]), int(at[foff[r] + e - 1]) + 1
+        while s > off[r] and buf[s] & 0xC0 == 0x80:  # whole characters
+            s -= 1
+        while e < off[r + 1] and buf[e] & 0xC0 == 0x80:
+            e += 1
+        return r, self.owner[item], edits, s - int(off[r]), e - int(off[r])
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -226,7 +254,7 @@ def findings(
     Every document is read once per block of the benchmark, whole; nothing is shuffled.  A null or empty
     text, an item of under q folded bytes and an empty benchmark give no rows.  Repeated rows give a row each.
     """
-    if not q <= window < WINDOW_SHIFT or edit_rate * window > band:
+    if not q <= window < 1 << 16 or edit_rate * window > band:
         raise ValueError("window must be from q to 65535, and its edits at most band")
     kind = docs.schema[key].dataType.simpleString()
     item_kind = benchmark.schema[item].dataType.simpleString()
