@@ -207,3 +207,18 @@ def test_chat_window(spark):
     first = [r for r in got if r["conv_id"] == 1]
     assert len(first) == 30 and max(r["turn"] for r in first) == 49
     assert [(r["turn"], r["role"]) for r in got if r["conv_id"] == 2] == [(2, "user")]
+
+
+def test_meaning_distances_use_the_whole_text(spark, tmp_path):
+    """Words that occur only after the first 30 count as grounded, as in a claims distance by plain Python."""
+    from treeline import queries as Q
+
+    text = " ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}x" for i in range(40)) + " sand tide sand"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (got,) = Q.meaning_distances(spark, str(tmp_path)).collect()
+    a, b = text.split(), text.replace("and", "handles").split()
+    grounded = [x for x in b if x in set(a)]
+    far = lambda x, y: 1 - len(x & y) / len(x | y)
+    pairs = lambda w: set(zip(w, w[1:]))
+    want = 0.35 * far(set(a), set(grounded)) + 0.15 * far(pairs(a), pairs(grounded)) + 0.10 * far(set(), set(b) - set(a))
+    assert abs(got["distance"] - want / 0.60) < 1e-8

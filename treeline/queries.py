@@ -583,7 +583,7 @@ def delta_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def meaning_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array(F.lit("thandat"), F.lit("onTheHeon")).alias("names"))
-    d = d.withColumn("vocab", D.vocabulary(F.concat("names", F.slice(tokens(), 1, 30))))
+    d = d.withColumn("vocab", D.vocabulary(F.concat("names", tokens())))
     d = D.add_claims(d, "before", F.col("text"), F.col("names"), F.col("vocab"))
     d = D.add_claims(d, "after", F.regexp_replace("text", "and", "handles"), F.col("names"), F.col("vocab"))
     return d.select("doc_id", F.round(D.meaning_distance(F.col("before"), F.col("after")), 9).alias("distance"))
