@@ -93,21 +93,39 @@ def corpus(seed, n=40):
     return rows
 
 
-@pytest.mark.parametrize("common,batch", [(512, 4096), (2, 8)])
-def test_suffix_index(spark, common, batch):
+@pytest.mark.parametrize("shard,batch", [(1 << 18, 4096), (300, 8)])
+def test_suffix_index(spark, shard, batch):
     rows = corpus(1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove(df, common=common, batch=batch).collect()}
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove(df, shard_windows=shard, batch=batch).collect()}
     assert got == brute_bytes(rows, 100)
 
 
+def test_suffix_index_of_a_common_line(spark):
+    """A line that all documents share, shorter than a match in some and longer in others."""
+    rng = random.Random(12)
+    line = "".join(rng.choices("abcdefgh ", k=130))
+    near = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(40, 160)))
+    rows = [(i, near() + line[: rng.choice([60, 99, 100, 101, 115, 130])] + near()) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (1 << 18, 200):
+        got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove(df, shard_windows=shard, batch=16).collect()}
+        assert got == brute_bytes(rows, 100)
+
+
 def test_levels_grow_geometrically():
-    family = suffixes.Family(100, 32)
-    for _ in range(20):
-        n = np.full(10, 0), np.full(10, 100)
-        family.add(np.zeros((10, 68), dtype=np.uint8), n[0], np.random.default_rng(1).integers(1, 255, (10, 100)).astype(np.uint8), n[1])
+    rng = np.random.default_rng(1)
+    family, seen = suffixes.Family(), set()
+    for _ in range(40):
+        batch = suffixes.suffixes(rng.integers(0, 3, 40).astype(np.uint8), np.arange(35), 5)
+        want = []
+        for x in batch.tolist():
+            want.append(x in seen)
+            seen.add(x)
+        assert family.add(batch).tolist() == want
         sizes = [len(x) for x in family.levels]
-        assert sum(sizes) == len(family.n_left) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        assert sum(sizes) == len(seen) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        assert all((x[1:] > x[:-1]).all() for x in family.levels)
 
 
 @pytest.mark.parametrize("part", [1 << 22, 2000])

@@ -123,13 +123,15 @@ def roles(rows: DataFrame, cutter: Cutter, w: int, k: int) -> DataFrame:
     often = C.cut(often)
     release(rows)
     every = body.mapInArrow(lambda b: run(b, False), "seed long, content long, row long, at long, m int")
-    met = every.join(often, "seed", "left_semi")
-    alike = W.partitionBy("seed", "content", "m")
-    met = met.withColumn("first", F.min(F.struct("row", "at")).over(alike)).withColumn("same", F.count("*").over(alike))
-    is_first = (F.col("first.row") == F.col("row")) & (F.col("first.at") == F.col("at"))
-    met = met.withColumn("kinds", F.sum(F.when(is_first, 1).otherwise(0)).over(W.partitionBy("seed")))
-    met = met.filter("same > 1 OR kinds > 1")
-    out = C.cut(met.select("row", "at", "m", "seed", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), "same", "kinds"))
+    met = C.cut(every.join(often, "seed", "left_semi"))
+    release(rows)
+    # Counted before it is shuffled, and joined side by side: a common anchor or content is no task's alone.
+    alike = ["seed", "content", "m"]
+    known = C.cut(met.groupBy(*alike).agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("same")))
+    kinds = C.cut(known.groupBy("seed").agg(F.count("*").alias("kinds")))
+    known = C.cut(known.join(kinds, "seed").filter("same > 1 OR kinds > 1"))
+    out = met.join(known, alike)
+    out = C.cut(out.select("row", "at", "m", "seed", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"), "same", "kinds"))
     release(rows)
     return out
 
@@ -138,8 +140,9 @@ IS_FIRST = "row = first_row AND at = first_at"
 
 
 def with_lists(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of ``spans`` (``row``, ``at``, ``m``, ``seed``) as one list per document, with its text."""
-    lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "m", "seed"))).alias("spans"))
+    """Rows of ``spans`` (``row``, ``at``, ``m``, ``seed`` and more) as one list per document, with its text."""
+    columns = ["at", "m", "seed", *(c for c in spans.columns if c not in ("row", "at", "m", "seed"))]
+    lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("spans"))
     return rows.select("row", "text").join(lists, "row")
 
 

@@ -1,9 +1,13 @@
 """Suffix-array dedup with a logarithmic index family, on bytes.
 
-Candidate segments (see :mod:`anchors`) are dealt into shards by anchor.  A shard takes its segments in corpus
-order, in batches.  Each batch gets a suffix array of the suffixes that start at its anchors; it is
-merge-scanned against the suffix arrays already held, for matches that extend far enough to both sides of
-the anchor; then it joins them, and levels of equal size merge, so a shard holds a logarithmic number.
+Candidate segments (see :mod:`anchors`) are dealt into shards by anchor; those of a common anchor are first cut
+by where the anchor lies in their windows, which is the same for equal windows.  A shard takes its segments in
+corpus order, in batches.  Each batch gets a suffix array, over every start of a window in it, to the depth of a
+window; it is merge-scanned against the suffix arrays already held, for suffixes that agree to that depth; what
+is new joins them, and levels of like size merge, so a shard holds a logarithmic number.  Equal windows are
+neighbours in suffix order, so no two segments are ever compared, however many share an anchor.
+
+Segments of equal content (exact copies) enter the index once; the others take that content's place in it.
 """
 
 from __future__ import annotations
@@ -19,121 +23,112 @@ from treeline.llm import anchors as A
 from treeline.llm import common as C
 from treeline.llm.decontam import gram_hashes
 
-#: Production parameters: bytes of a match and of an anchor, bytes of segments of a shard, segments of a batch.
-LENGTH, ANCHOR, SHARD_BYTES, BATCH = 100, 32, 16 << 20, 4096
-#: Different segments of one anchor that the index compares with each other; the windows of a more frequent
-#: anchor's segments are compared by their hashes, which needs no group of its segments in one place.
-COMMON = 512
+#: Production parameters: bytes of a match and of an anchor, windows of a shard, segments of a batch.
+LENGTH, ANCHOR, SHARD_WINDOWS, BATCH = 100, 32, 1 << 18, 4096
+#: Partitions of the shuffle; beyond so many shards, a task takes several, one after the other.
+MOST_PARTITIONS = 100_000
 
 
 def cut_bytes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return C._BYTE[buf], gram_hashes(buf, ANCHOR), off
 
 
-class Level:
-    """A suffix array: fixed-width suffixes in order, with the segments they belong to."""
-
-    def __init__(self, suffix: np.ndarray, owner: np.ndarray) -> None:
-        order = np.argsort(suffix, kind="stable")
-        self.suffix, self.owner = suffix[order], owner[order]
-
-    def merge(self, other: Level) -> Level:
-        return Level(np.concatenate([self.suffix, other.suffix]), np.concatenate([self.owner, other.owner]))
-
-    def __len__(self) -> int:
-        return len(self.owner)
+def suffixes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes from each place on, as fixed-width strings in byte order (one is added to every
+    byte, as numpy ends strings at a zero; no UTF-8 byte is 255)."""
+    if not len(at):
+        return np.zeros(0, dtype=f"S{length}")
+    rows = np.lib.stride_tricks.sliding_window_view(buf + np.uint8(1), length)[at]
+    return rows.view(f"S{length}").ravel()
 
 
 class Family:
-    """The levels of a shard and the bytes of its segments, each laid out around its anchor.
-
-    A row of ``left`` holds the bytes before the anchor, nearest first; ``right`` those from the anchor on.
-    """
-
-    def __init__(self, length: int, anchor: int) -> None:
-        self.length, self.anchor = length, anchor
-        self.levels: list[Level] = []
-        self.left = np.zeros((0, length - anchor), dtype=np.uint8)
-        self.right = np.zeros((0, length), dtype=np.uint8)
-        self.n_left = self.n_right = np.zeros(0, dtype=np.int64)
-
-    def add(self, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Adds a batch, in corpus order; returns matches as segment, bytes before its anchor, bytes from it on."""
-        first = len(self.n_left)
-        self.left, self.right = np.concatenate([self.left, left]), np.concatenate([self.right, right])
-        self.n_left, self.n_right = np.concatenate([self.n_left, n_left]), np.concatenate([self.n_right, n_right])
-        own = np.arange(first, first + len(n_left))
-        batch = Level(np.ascontiguousarray(right).view(f"S{self.length}").ravel(), own)
-        found = [self.scan(batch, level) for level in [*self.levels, batch]]
-        self.levels.append(batch)
+    """The levels of a shard: sorted suffixes, each once, of geometrically growing sizes."""
+
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []
+
+    def add(self, batch: np.ndarray) -> np.ndarray:
+        """Adds a batch of suffixes, in corpus order; tells which of them occur earlier, in it or in a level."""
+        order = np.argsort(batch, kind="stable")
+        ordered = batch[order]
+        again = np.zeros(len(batch), dtype=bool)
+        again[1:] = ordered[1:] == ordered[:-1]
+        place = np.flatnonzero(~again)
+        fresh = ordered[place]
+        new = np.ones(len(place), dtype=bool)
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level, fresh), len(level) - 1)
+            new &= level[at] != fresh
+        # a suffix that a level holds makes all of its equals repeats, the first of the batch included
+        again[place] = ~new
+        out = np.empty(len(batch), dtype=bool)
+        out[order] = again
+        if new.any():
+            self.levels.append(fresh[new])
         while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
             last = self.levels.pop()
-            self.levels[-1] = self.levels[-1].merge(last)
-        return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
-
-    def heads(self, level: Level) -> np.ndarray:
-        """The anchors' bytes of a level's suffixes, in its order."""
-        return np.ascontiguousarray(self.right[level.owner, : self.anchor]).view(f"S{self.anchor}").ravel()
-
-    def scan(self, new: Level, old: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All matches of a segment of ``new`` with an earlier one of ``old`` that starts with the same anchor."""
-        mine, theirs = self.heads(new), self.heads(old)
-        lo, hi = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
-        n = hi - lo
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        total = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 200_000, "right")))
-            c = n[at:end]
-            there = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[at:end], c)
-            x, y = np.repeat(new.owner[at:end], c), old.owner[there]
-            earlier = y < x
-            x, y = x[earlier], y[earlier]
-            before = np.minimum(self.agree(self.left[x], self.left[y]), np.minimum(self.n_left[x], self.n_left[y]))
-            after = np.minimum(self.agree(self.right[x], self.right[y]), np.minimum(self.n_right[x], self.n_right[y]))
-            long = before + after >= self.length
-            got.append((x[long], before[long], after[long]))
-            at = end
-        return tuple(np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, dtype=np.int64),) * 3  # type: ignore[return-value]
+            self.levels[-1] = self.merged(self.levels[-1], last)
+        return out
 
     @staticmethod
-    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Equal leading bytes of each pair of rows."""
-        differs = a != b
-        return np.where(differs.any(1), differs.argmax(1), a.shape[1])
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two sorted arrays as one, without sorting again."""
+        out = np.empty(len(a) + len(b), dtype=a.dtype)
+        at = np.searchsorted(a, b) + np.arange(len(b))
+        rest = np.ones(len(out), dtype=bool)
+        rest[at] = False
+        out[at], out[rest] = b, a
+        return out
 
 
 def laid_out(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """Segments with their bytes: ``seed``, ``row``, ``at``, ``m``, ``body``."""
+    """Segments with their bytes: ``seed``, ``piece``, ``row``, ``at``, ``m``, ``body``.
+
+    ``spans`` has ``pieces`` besides: a segment of more than one is cut where the place of the anchor within
+    the window passes from one of so many ranges to the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("row").to_numpy()
             for lo, hi, buf, off in C.slices(batch.column("text"), C.SLICE_BYTES // 2):
                 owner, x = A.list_arrays(batch.column("spans"), lo, hi)
-                size = x["m"].astype(np.int64) + length - 1
+                m, pieces = x["m"].astype(np.int64), x["pieces"].astype(np.int64)
                 begin = x["at"] + off[owner]
+                shift, piece = np.zeros(len(m), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
+                if (pieces > 1).any():
+                    anchor = A.first_least(gram_hashes(buf, ANCHOR), length - ANCHOR + 1)[begin] - begin
+                    which = np.repeat(np.arange(len(m)), m)
+                    inside = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+                    part = (anchor[which] - inside) * pieces[which] // (length - ANCHOR + 1)
+                    new = np.ones(len(which), dtype=bool)
+                    new[1:] = (which[1:] != which[:-1]) | (part[1:] != part[:-1])
+                    first = np.flatnonzero(new)
+                    m, shift, piece, which = np.diff(np.append(first, len(new))), inside[first], part[first], which[first]
+                    owner, begin = owner[which], begin[which] + shift
+                    x = {k: v[which] for k, v in x.items()}
+                size = m + length - 1
                 inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 flat = buf[np.repeat(begin, size) + inside]
                 cuts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x["seed"]), pa.array(ids[lo + owner]), pa.array(x["at"]), pa.array(x["m"].astype(np.int64)), body],
-                    names=["seed", "row", "at", "m", "body"],
+                    [pa.array(v) for v in (x["seed"], piece, ids[lo + owner], x["at"] + shift, m)] + [body],
+                    names=["seed", "piece", "row", "at", "m", "body"],
                 )
 
-    return A.with_lists(rows, spans).mapInArrow(run, "seed long, row long, at long, m long, body binary")
+    return A.with_lists(rows, spans).mapInArrow(run, "seed long, piece long, row long, at long, m long, body binary")
 
 
 def indexed(segments: DataFrame, shards: int, length: int, batch_size: int) -> DataFrame:
-    """Ranges (``row``, ``lo``, ``hi``) of bytes of segments that match an earlier one, by the index family."""
-    shard = F.pmod(F.xxhash64("seed"), F.lit(shards))
-    ordered = segments.withColumn("shard", shard).repartition(min(shards, 10_000), "shard").sortWithinPartitions("shard", "row", "at")
+    """Ranges (``row``, ``lo``, ``hi``) of bytes of segments that occur earlier, by the index family."""
+    shard = F.pmod(F.xxhash64("seed", "piece"), F.lit(shards))
+    dealt = segments.select(shard.alias("shard"), "row", "at", "m", "body").repartition(min(shards, MOST_PARTITIONS), "shard")
+    ordered = dealt.sortWithinPartitions("shard", "row", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, family = None, Family(length, ANCHOR)
-        side = length - ANCHOR
+        now, family = None, Family()
         for batch in batches:
             shard = batch.column("shard").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
@@ -141,34 +136,28 @@ def indexed(segments: DataFrame, shards: int, length: int, batch_size: int) -> D
                 if len(shard) == 0:
                     continue
                 if shard[s] != now:
-                    now, family = shard[s], Family(length, ANCHOR)
+                    now, family = shard[s], Family()
                 for lo in range(s, e, batch_size):
                     part = batch.slice(lo, min(batch_size, e - lo))
-                    row, at = part.column("row").to_numpy(), part.column("at").to_numpy()
-                    _, _, buf, off = next(C.slices(part.column("body"), 1 << 62))
-                    seeds = gram_hashes(buf, ANCHOR)
-                    place = A.first_least(seeds, length - ANCHOR + 1)[off[:-1]]  # the anchor of a segment's first window
-                    n_left, n_right = place - off[:-1], np.minimum(off[1:] - place, length)
-                    left = np.zeros((len(row), side), dtype=np.uint8)
-                    right = np.zeros((len(row), length), dtype=np.uint8)
-                    for out, n, step in ((left, n_left, -1), (right, n_right, 1)):
-                        i = np.repeat(np.arange(len(row)), n)
-                        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        out[i, j] = buf[np.repeat(place - (step < 0), n) + step * j]
-                    first = len(family.n_left)
-                    x, before, after = family.add(left, n_left, right, n_right)
-                    if len(x):
-                        x -= first
-                        start = at[x] + n_left[x]
-                        made = np.unique(np.stack([row[x], start - before, start + after]), axis=1)
+                    row, at, m = (part.column(c).to_numpy() for c in ("row", "at", "m"))
+                    _, _, buf, off = next(C.slices(part.column("body"), 1 << 62, 1 << 62))
+                    which = np.repeat(np.arange(len(m)), m)
+                    inside = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+                    again = np.flatnonzero(family.add(suffixes(buf, off[which] + inside, length)))
+                    if len(again):
+                        new = np.ones(len(again), dtype=bool)
+                        new[1:] = (np.diff(again) != 1) | (which[again[1:]] != which[again[:-1]])
+                        first = np.flatnonzero(new)
+                        last = np.append(first[1:], len(again)) - 1
+                        i = which[again[first]]
+                        made = row[i], at[i] + inside[again[first]], at[i] + inside[again[last]] + length
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=["row", "lo", "hi"])
 
     return ordered.mapInArrow(run, "row long, lo long, hi long")
 
 
 def remove(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, batch: int = BATCH,
-    common: int = COMMON,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_windows: int = SHARD_WINDOWS, batch: int = BATCH,
 ) -> DataFrame:
     """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary), ``spans``.
 
@@ -179,16 +168,14 @@ def remove(
     """
     rows, same = A.numbered(docs, key, text)
     roles = A.roles(rows, cut_bytes, length, ANCHOR)
-    several = roles.filter("kinds > 1").filter(A.IS_FIRST).select("row", "at", "m", "seed", "kinds")
-    few = several.filter(F.col("kinds") <= common)
-    size = few.agg(F.coalesce(F.sum(F.col("m") + length), F.lit(0))).first()[0]
-    found = C.cut(indexed(laid_out(rows, few.drop("kinds"), length), max(1, -(-size // shard_bytes)), length, batch))
+    several = roles.filter("kinds > 1").filter(A.IS_FIRST)
+    total = several.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    # a common anchor's windows are cut into pieces of about a shard, by the anchor's place in them
+    places = length - ANCHOR + 1
+    pieces = F.least(F.lit(places), F.ceil(F.col("kinds") * places / shard_windows)).cast("int")
+    spans = several.select("row", "at", "m", "seed", pieces.alias("pieces"))
+    found = C.cut(indexed(laid_out(rows, spans, length), max(1, -(-total // shard_windows)), length, batch))
     A.release(docs)
-    many = several.filter(F.col("kinds") > common)
-    if many.limit(1).count():
-        windows = A.shared_windows(rows, many.drop("kinds"), cut_bytes, length)
-        found = C.cut(found.unionByName(A.ranges(windows, length).select("row", "lo", "hi")))
-        A.release(docs)
     copies = roles.filter(f"NOT ({A.IS_FIRST})").select("row", F.col("at").alias("lo"), (F.col("at") + F.col("m") + length - 1).alias("hi"))
     lists = found.unionByName(copies).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     met = rows.join(lists, "row", "left").select("row", "id", "text", "ranges")
