@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 12
 
 _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,8 +63,9 @@ def powers(n: int, base: np.uint64 = _STEP) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of rows of about ``limit`` bytes: first row, last row + 1, bytes, offsets.
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a string column into runs of at most ``rows`` rows of about ``limit`` bytes: first row, last row + 1,
+    bytes, offsets.
 
     A row is never cut, so a slice may exceed the limit by one row.  Nulls count as empty.
     """
@@ -80,7 +81,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), lo + rows)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.llm import common as C
+from treeline.llm.anchors import numbered
 from treeline.llm.graph import components
 
 #: Production parameters.  With 40 bands of 6 samples, a pair at similarity 0.8 is missed with probability 5e-6.
 SHINGLE, PERCENT, BANDS, ROWS, SKETCH_BITS = 5, 80, 40, 6, 1024
 #: A sketch's estimate rules a pair out only this far below the threshold (5 standard deviations at 0.8).
 MARGIN = 0.14
-#: Members of a cluster that one task compares, and members that all blocks of a larger cluster share.
-BLOCK, HUBS = 1500, 48
+#: Members of a cluster that one task compares at once, the shingles they hold, and members that all blocks of a
+#: larger cluster share.
+BLOCK, BLOCK_SHINGLES, HUBS = 1500, 1_000_000, 48
 
 _rng = np.random.default_rng(510510)
 _BIT = np.array([(b >> np.arange(8)) & 1 for b in range(256)]).sum(1).astype(np.uint8)
@@ -105,12 +107,12 @@ def fingerprint(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """Per row: id, set size, set fingerprint and the hashes of its bands (none for an empty set)."""
+    """Per row: ``row``, ``id``, set size, set fingerprint and the hashes of its bands (none for an empty set)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, off in C.slices(batch.column(1)):
+            for lo, hi, buf, off in C.slices(batch.column("text")):
                 values, at = shingle_sets(buf, off, shingle)
                 n = np.diff(at)
                 one, two = fingerprint(values, at)
@@ -122,11 +124,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 cut = np.concatenate([[0], np.cumsum(n > 0) * bands]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(C.signed(band.ravel())))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(C.signed(one)), pa.array(C.signed(two)), lists],
-                    names=["id", "n", "one", "two", "bands"],
+                    [batch.column(c).slice(lo, hi - lo) for c in ("row", "id")]
+                    + [pa.array(n.astype(np.int64)), pa.array(C.signed(one)), pa.array(C.signed(two)), lists],
+                    names=["row", "id", "n", "one", "two", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, n long, one long, two long, bands array<long>")
+    return docs.mapInArrow(run, f"row long, id {kind}, n long, one long, two long, bands array<long>")
 
 
 def shared_bits(values: list[np.ndarray]) -> np.ndarray:
@@ -210,6 +213,7 @@ def compare(tasks: DataFrame, shingle: int, percent: int, count: int, bits: int,
 def classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
     rows: int = ROWS, bits: int = SKETCH_BITS, margin: float = MARGIN, block: int = BLOCK, hubs: int = HUBS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per document: ``id``, ``row``, set fingerprint (``one``, ``two``), ``n_shingles``,
     ``component_id``, ``first`` (the row that stays).
@@ -219,8 +223,8 @@ def classes(
     (id, row) stands for it; repeated rows differ by ``row``, of which exactly one in a component is ``first``.
     A null id takes part and is the least.  A null component has null ids only.
     """
-    plain = C.plain(docs, key, text)
-    signed = C.cut(signatures(plain, shingle, bands, rows).withColumn("row", F.monotonically_increasing_id()))
+    body, _ = numbered(docs, key, text)
+    signed = C.cut(signatures(body, shingle, bands, rows))
     full = signed.filter("n > 0")
     lead = full.groupBy("n", "one", "two").agg(F.min(F.struct("id", "row")).alias("rep"))
     lead = C.cut(lead.select("n", "one", "two", F.col("rep.id").alias("rep_id"), F.col("rep.row").alias("rep")))
@@ -233,14 +237,13 @@ def classes(
     across = tied.select("label", F.explode("leasts").alias("least")).filter("label <> least").distinct()
     ties = tied.filter("row <> label").select(F.col("row").alias("a"), F.col("label").alias("b")).unionAll(across)
     clusters = components(ties).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "cluster")
-    wanted = placed.join(lead.withColumnRenamed("rep", "row"), "row")
-    body = plain.filter(F.col("text").isNotNull())
-    texts = wanted.join(body, wanted["rep_id"].eqNullSafe(body["id"])).select("row", "cluster", "size", "n", "one", "two", "text")
-    texts = C.cut(_checked(texts, shingle))
-    parts = F.ceil(F.col("size") / block).cast("long")
-    hub = (F.col("size") > block) & (F.pmod(F.xxhash64("row"), F.col("size")) < hubs)
+    clusters = C.cut(clusters.join(lead.select(F.col("rep").alias("row"), "n"), "row"))
+    sizes = C.cut(clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("held")))
+    parts = F.ceil(F.greatest(F.col("size") / block, F.col("held") / block_shingles)).cast("long")
+    placed = clusters.join(sizes.select("cluster", "size", parts.alias("parts")), "cluster")
+    texts = C.cut(placed.join(body.select("row", "text"), "row").select("row", "cluster", "size", "parts", "n", "text"))
+    parts = F.col("parts")
+    hub = (parts > 1) & (F.pmod(F.xxhash64("row"), F.col("size")) < hubs)
     own = F.array(F.pmod(F.xxhash64("row", F.lit(1)), parts))
     spread = texts.withColumn("i", F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(own)))
     yes = F.lit(True)
@@ -248,41 +251,28 @@ def classes(
     count = bands * rows
     links = C.cut(compare(tasks, shingle, percent, count, bits, margin))
     roots = components(links)
-    if texts.filter(F.col("size") > block).limit(1).count():
-        more = _rest(texts.filter(F.col("size") > block), roots, block)
+    if texts.filter("parts > 1").limit(1).count():
+        more = _rest(texts.filter("parts > 1"), roots, block, block_shingles)
         links = C.cut(links.unionByName(compare(more, shingle, percent, count, bits, margin)))
         roots = components(links)
     rooted = lead.join(roots, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root", "rep").alias("root"))
     member = signed.select("id", "row", "n", "one", "two").join(rooted, ["n", "one", "two"], "left")
     member = C.cut(member.select("id", "row", "one", "two", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
-    best = member.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.min("id").alias("component_id"))
+    best = C.cut(member.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.min("id").alias("component_id")))
     out = member.join(best, "root")
     return out.select("id", "row", "one", "two", "n_shingles", "component_id", (F.col("row") == F.col("best.row")).alias("first"))
 
 
-def _checked(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows whose text has the set that the row's fingerprint tells (ids may repeat with other texts), once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = batch.column("one").to_numpy(), batch.column("two").to_numpy()
-            for lo, hi, buf, off in C.slices(batch.column("text")):
-                f, g = fingerprint(*shingle_sets(buf, off, shingle))
-                ok = (C.signed(f) == one[lo:hi]) & (C.signed(g) == two[lo:hi])
-                yield batch.slice(lo, hi - lo).filter(pa.array(ok)).select(["row", "cluster", "size", "text"])
-
-    return texts.mapInArrow(run, "row long, cluster long, size long, text string")
-
-
-def _rest(texts: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+def _rest(texts: DataFrame, roots: DataFrame, block: int, block_shingles: int) -> DataFrame:
     """Tasks that compare what large clusters' blocks left outside their largest part with all members."""
-    rooted = texts.join(roots, F.col("row") == F.col("node"), "left").select("row", "cluster", "size", "text", F.coalesce("root", "row").alias("root"))
-    parts = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    top = parts.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    top = top.select("cluster", F.col("top.root").alias("giant"), (F.col("all") - F.col("top.n")).alias("outside")).filter("outside > 0")
+    rooted = texts.join(roots, F.col("row") == F.col("node"), "left").select("row", "cluster", "parts", "n", "text", F.coalesce("root", "row").alias("root"))
+    groups = rooted.groupBy("cluster", "root").agg(F.count("*").alias("many"), F.sum("n").alias("held"))
+    top = groups.groupBy("cluster").agg(F.max(F.struct("many", "root", "held")).alias("top"), F.sum("many").alias("all"), F.sum("held").alias("held"))
+    many, held = F.col("all") - F.col("top.many"), F.col("held") - F.col("top.held")
+    wide = F.ceil(F.greatest(many / block, held / block_shingles)).cast("long")
+    top = C.cut(top.filter(many > 0).select("cluster", F.col("top.root").alias("giant"), wide.alias("wide")))
     here = rooted.join(top, "cluster")
-    wide, high = F.ceil(F.col("outside") / block).cast("long"), F.ceil(F.col("size") / block).cast("long")
-    zero = F.lit(0).cast("long")
+    zero, wide, high = F.lit(0).cast("long"), F.col("wide"), F.col("parts")
     place = lambda salt, n: F.array(F.pmod(F.xxhash64("row", F.lit(salt)), n))
     cross = lambda df, i, j, left: df.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select(
         "cluster", "i", "j", "row", "text", "root", F.lit(left).alias("is_left"), F.lit(not left).alias("is_right")
