@@ -43,7 +43,15 @@ def test_text(spark):
     assert (got["verb"], got["argument"]) == ("search", "needle")
     for other in ("please FETCH: file x", "FETCH: file a\nmore", "FETCH: file ", "FETCH: run x"):
         assert one(spark, T.fetch_request, other) is None
-    assert one(spark, T.repo_slug, "git@host:a/b.git") == "a/b"
+    assert one(spark, T.fetch_request, "```\nFETCH: file `a/b.py`\n```")["argument"] == "a/b.py"
+    for raw, want in {"git@github.com:a/b.git": "a/b", "https://github.com/a/b": "a/b", "git@host:a/b.git": None}.items():
+        assert one(spark, T.repo_slug, raw) == want
+    assert one(spark, T.issue_refs, "x #7 fixes: #5 (#6)") == ["#7", "#5"]
+    assert one(spark, lambda c: T.clamp(c, 20), "One two three. Four five") == "One two three."
+    assert one(spark, lambda c: T.clamp(c, 20), "One. Two three four five six") == "One. Two three four…"
+    assert one(spark, T.opener, "churnBy renames") == "churnBy renames" and one(spark, T.opener, "the rest") == "The rest"
+    assert one(spark, T.as_sentence, " a b ") == "a b." and one(spark, T.as_sentence, "a!") == "a!" and one(spark, T.as_sentence, " ") == ""
+    assert one(spark, T.compress, "v1.2 is out. " + "x" * 400) == "2 is out."
     assert one(spark, lambda c: T.model_json(c, "array<struct<a:int>>"), "```json\n[{\"a\": 1}]\n```")[0]["a"] == 1
 
 
@@ -222,3 +230,38 @@ def test_meaning_distances_use_the_whole_text(spark, tmp_path):
     pairs = lambda w: set(zip(w, w[1:]))
     want = 0.35 * far(set(a), set(grounded)) + 0.15 * far(pairs(a), pairs(grounded)) + 0.10 * far(set(), set(b) - set(a))
     assert abs(got["distance"] - want / 0.60) < 1e-8
+
+
+def claims_distance(spark, before, after, names, vocab):
+    df = spark.createDataFrame([(before, after, names, vocab)], "b string, a string, names array<string>, specs array<string>")
+    df = df.withColumn("vocab", D.vocabulary(F.concat("names", "specs")))
+    df = D.add_claims(D.add_claims(df, "x", F.col("b"), F.col("names"), F.col("vocab")), "y", F.col("a"), F.col("names"), F.col("vocab"))
+    return df.select(D.meaning_distance(F.col("x"), F.col("y"))).first()[0]
+
+
+def test_claims(spark):
+    """A paraphrase is near, a changed subject far."""
+    one_way = "It manages the retry budget for outbound calls, spending from it on each failure and refusing once exhausted."
+    again = "It handles the retry budget for outbound calls, drawing down on every failure and declining once it is used up."
+    other = "It manages the connection pool for outbound calls, leasing sockets and closing idle ones after a timeout."
+    names, vocab = ["retryBudget"], ["spendRetry", "transport"]
+    assert claims_distance(spark, one_way, again, names, vocab) < 0.15
+    assert claims_distance(spark, one_way, other, names, vocab) > 0.7
+    loader = ["parseManifest", "validateEntry", "loadSchema", "schema"]
+    first = "Parses the manifest and validates every entry against the schema before the loader touches it."
+    second = "Reads the manifest and checks each entry against the schema before the loader gets to it."
+    assert claims_distance(spark, first, second, loader[:1], loader[1:]) < 0.45
+    made = D.add_claims(spark.createDataFrame([("The utf8Read and readAll of HTTPServer, Abc_d, a_b, _x, run: well-known Run9",)], "t string"), "c", F.col("t"), F.array(F.lit("Run")), F.array(F.lit("run")))
+    c = made.first()["c"]
+    assert sorted(c["ids"]) == ["a_b", "readall", "run"] and "well-known" in c["prose"] and "httpserver" in c["prose"]
+
+
+def test_citations_by_rule(spark):
+    texts = {
+        "see src/a.ts:24 and src/b.py:3-9.": [("src/a.ts:24", "src/a.ts", 24), ("src/b.py:3-9", "src/b.py", 3)],
+        "3.14 and 1.2.3 of v1.2": [], "./x/y.md, /abs.py a//b.py": [("./x/y.md", "x/y.md", None)], "a.py :12 x.longending": [("a.py", "a.py", None), ("x.longen", "x.longen", None)],
+        "src/foo.ts/bar": [("src/foo.ts", "src/foo.ts", None)],
+    }
+    for text, want in texts.items():
+        got = one(spark, S.references, text)
+        assert [tuple(r) for r in got] == want, text

@@ -25,22 +25,60 @@ def clip(text: Column, size: int, note: str = "…") -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(note))).otherwise(text)
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a squeezed text, in order.
+
+    A text is cut after each run of stops; a piece counts if it ends with a stop before a space or the end, and
+    has more than stops.
+    """
+    pieces = F.split(text, r"(?<=[.!?])(?=[^.!?])")
+    n = F.size(pieces)
+
+    def whole(piece: Column, i: Column) -> Column:
+        ends = F.right(piece, F.lit(1)).isin(".", "!", "?") & ((i + 1 == n) | F.get(pieces, i + 1).startswith(" "))
+        return ends & (F.btrim(piece, F.lit(".!? ")) != "")
+
+    return F.transform(F.filter(pieces, whole), lambda s: F.ltrim(s))
+
+
 def compress(text: Column, size: int = SUMMARY_CHARS) -> Column:
     """Whole sentences up to ``size`` characters; else a cut at a word past half of it, with an ellipsis."""
     clean = squeeze(text)
-    head = F.substring(clean, 1, size + 2)  # no sentence that ends beyond can be taken
-    sentences = F.regexp_extract_all(head, F.lit(r"[^.!?]+[.!?]+(?:\s|$)"), F.lit(0))
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+    told = F.slice(sentences(clean), 1, size // 2)  # no sentence is shorter than two characters and its space
+    upto = lambda i: F.array_join(F.slice(told, F.lit(1), i + 1), " ")
+    fits = F.filter(F.transform(told, lambda s, i: upto(i)), lambda x: F.length(x) <= size)
+    cut = F.substring(clean, 1, size - 1)
+    words = F.regexp_replace(cut, " [^ ]*$", "")
+    hard = F.concat(F.rtrim(F.when(F.length(words) > size * 0.5, words).otherwise(cut)), F.lit("…"))
+    return F.when(F.length(clean) <= size, clean).when(F.size(fits) > 0, F.get(fits, F.size(fits) - 1)).otherwise(hard)
 
-    def step(acc: Column, s: Column) -> Column:
-        full = acc["full"] | (F.length(F.rtrim(F.ltrim(F.concat(acc["out"], s)))) > size)
-        return F.struct(F.when(full, acc["out"]).otherwise(F.concat(acc["out"], s)).alias("out"), full.alias("full"))
 
-    whole = F.trim(F.aggregate(sentences, start, step, lambda acc: acc["out"]))
-    cut = F.substring(clean, 1, size - 1)
-    last = F.length(cut) - F.instr(F.reverse(cut), " ")
-    hard = F.concat(F.rtrim(F.when((F.instr(cut, " ") > 0) & (last > size * 0.5), F.substring(cut, F.lit(1), last)).otherwise(cut)), F.lit("…"))
-    return F.when(F.length(clean) <= size, clean).when(F.length(whole) > 0, whole).otherwise(hard)
+def clamp(text: Column, size: int) -> Column:
+    """At most ``size`` characters: up to the last sentence that ends past half of them, else cut with an ellipsis."""
+    cut = F.substring(text, 1, size)
+    turned = F.reverse(cut)
+    stops = [F.when(F.instr(turned, f" {x}") > 0, size - F.instr(turned, f" {x}")).otherwise(0) for x in ".?!"]
+    last = F.greatest(*stops)
+    return F.when(F.length(text) <= size, text).when(last - 1 > size * 0.5, F.substring(cut, F.lit(1), last)).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+
+
+def as_sentence(text: Column) -> Column:
+    """A text with one stop at its end; nothing stays nothing."""
+    t = F.trim(text)
+    return F.when((t == "") | F.right(t, F.lit(1)).isin(".", "!", "?"), t).otherwise(F.concat(t, F.lit(".")))
+
+
+def opener(text: Column) -> Column:
+    """A text with a capital first, unless its first word is spelled as code."""
+    t = F.trim(text)
+    code = F.element_at(F.split(t, r"\s"), 1).rlike(r"[a-z][A-Z]|[_.]|\(\)")
+    return F.when(code, t).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))))
+
+
+def unquote(text: Column) -> Column:
+    """A text without one pair of equal quotes around it."""
+    first, last = F.substring(text, 1, 1), F.right(text, F.lit(1))
+    return F.when((F.length(text) > 1) & (first == last) & first.isin('"', "'", "`"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
 
 
 def narrate(text: Column, summary: Column) -> Column:
@@ -51,9 +89,12 @@ def narrate(text: Column, summary: Column) -> Column:
 
 
 def issue_refs(text: Column) -> Column:
-    """``#n`` references, those after a closing keyword first, each once, in order."""
-    closing = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?):?\s+#(\d+)"), F.lit(1))
-    bare = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])#(\d+)(?![A-Za-z0-9_])"), F.lit(1))
+    """``#n`` references, those after a closing keyword first, each once, in order.
+
+    A keyword and white space stand before the one kind, white space or nothing before the other.
+    """
+    closing = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+#(\d+)"), F.lit(1))
+    bare = F.regexp_extract_all(text, F.lit(r"(?<!\S)#(\d+)(?![A-Za-z0-9_])"), F.lit(1))
     return F.transform(F.array_distinct(F.concat(closing, bare)), lambda n: F.concat(F.lit("#"), n))
 
 
@@ -90,17 +131,26 @@ def visible(text: Column) -> Column:
     return F.when(text.rlike(odd), F.array_join(chars, "")).otherwise(text)
 
 
-def repo_slug(url: Column) -> Column:
-    """``owner/name`` of a remote URL; null if it has none."""
-    slug = F.regexp_extract(url, r"[:/]([^/:]+/[^/]+?)(?:\.git)?/?$", 1)
-    return F.when(slug != "", slug)
+def repo_slug(url: Column, host: str = "github.com") -> Column:
+    """``owner/name`` of a remote URL on ``host``; null if it has none."""
+    rest = F.ltrim(F.substring_index(F.trim(url), host, -1), F.lit(":/"))
+    there = F.contains(url, F.lit(f"{host}/")) | F.contains(url, F.lit(f"{host}:"))
+    slug = F.regexp_replace(rest, r"\.git$", "")
+    return F.when(there & slug.rlike("^[^/]+/.+"), slug)
 
 
 def fetch_request(reply: Column) -> Column:
     """``struct<verb, argument>`` of a reply that is one request line, perhaps in one fence; else null."""
-    pattern = r"(?i)^\s*(?:```[a-z]*\s*\n)?\s*`?FETCH:[ \t]*(file|search)[ \t]+[\"'`]?([^\n`\"']+?)[\"'`]?[ \t]*(?:\n```)?\s*$"
-    verb = F.lower(F.regexp_extract(reply, pattern, 1))
-    return F.when(verb != "", F.struct(verb.alias("verb"), F.trim(F.regexp_extract(reply, pattern, 2)).alias("argument")))
+    whole = F.btrim(reply, F.lit(" \t\r\n"))
+    lines = F.split(whole, "\n")
+    fenced = (F.size(lines) > 1) & F.get(lines, F.lit(0)).rlike("(?i)^```[a-z]*$") & whole.endswith("```")
+    inner = F.substring(whole, F.instr(whole, "\n") + 1, F.greatest(F.length(whole) - F.instr(whole, "\n") - 3, F.lit(0)))
+    line = F.when(fenced, F.btrim(inner, F.lit(" \t\r\n"))).otherwise(whole)
+    said = F.ltrim(F.substring(line, F.lit(7), F.length(line)))
+    verb = F.lower(F.element_at(F.split(said, r"\s"), 1))
+    argument = F.trim(F.regexp_replace(F.trim(F.substring(said, F.length(verb) + 1, F.length(said))), "^['\"`]|['\"`]$", ""))
+    good = (F.upper(F.substring(line, 1, 6)) == "FETCH:") & ~F.contains(line, F.lit("\n")) & verb.isin("file", "search") & (argument != "")
+    return F.when(good, F.struct(verb.alias("verb"), argument.alias("argument")))
 
 
 def model_json(reply: Column, schema: str) -> Column:

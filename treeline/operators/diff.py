@@ -12,7 +12,7 @@ HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
 def numbered(lines: DataFrame) -> DataFrame:
     """Diff lines (file, pos, line) as (file, hunk, pos, kind, old_no, new_no, text, header).
 
-    ``diff --git`` ends a hunk, a header begins one; lines outside and ``\\`` lines go.  Context has both
+    ``diff --git`` ends a hunk, a header begins one; lines outside, empty and ``\\`` lines go.  Context has both
     numbers, a deletion no new one, an addition no old one.  One sort per file.
     """
     order = W.partitionBy("file").orderBy("pos")
@@ -25,7 +25,7 @@ def numbered(lines: DataFrame) -> DataFrame:
     first = lambda c: F.first(F.when(F.col("is_head"), c), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
     marked = marked.withColumns({"old_start": first(get(1).try_cast("long")), "new_start": first(get(3).try_cast("long")), "header": first(F.trim(get(5)))})
     sign = F.substring("line", 1, 1)
-    kind = F.when(F.col("is_head"), None).when(sign == "+", "add").when(sign == "-", "del").when((sign == " ") | (F.col("line") == ""), "ctx")
+    kind = F.when(F.col("is_head"), None).when(sign == "+", "add").when(sign == "-", "del").when(sign == " ", "ctx")
     body = marked.withColumn("kind", kind).filter("old_start IS NOT NULL")
     rows = inside.rowsBetween(W.unboundedPreceding, 0)
     old = F.sum(F.when(F.col("kind").isin("ctx", "del"), 1).otherwise(0)).over(rows)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 
 #: Least query, most matches, largest file, characters shown of a line.
 LEAST_QUERY, MATCHES, FILE_BYTES, SHOWN = 2, 40, 120_000, 200
-CITATION = r"(?<![A-Za-z0-9_/.-])((?:[A-Za-z0-9_.-]+/)*[A-Za-z_][A-Za-z0-9_.-]*\.[A-Za-z][A-Za-z0-9]{0,5})(?::([0-9]+)(?:-[0-9]+)?)?"
 
 
 def search(files: DataFrame, query: str, limit: int | None = MATCHES) -> DataFrame:
@@ -26,6 +25,33 @@ def search(files: DataFrame, query: str, limit: int | None = MATCHES) -> DataFra
     return shown.orderBy("path", "line").limit(limit) if limit else shown
 
 
+def references(text: Column) -> Column:
+    """File references of a text in order: ``array<struct<token, path, line>>``.
+
+    A text is cut at everything that can't be in a path.  Of what is left, a reference is the longest run of whole
+    segments whose last one is a file's name: it begins with a letter or underscore and has an ending that begins
+    with a letter, of which at most six characters count.  A line number follows directly, after a colon.
+    """
+    pieces = F.split(F.replace(F.regexp_replace(text, "[^A-Za-z0-9_./:-]", "\n"), F.lit(":"), F.lit("\n:")), "\n")
+
+    def read(piece: Column, i: Column) -> Column:
+        word = F.ltrim(piece, F.lit(":"))
+        segments = F.split(word, "/")
+
+        def named(segment: Column, k: Column) -> Column:
+            stem = F.regexp_extract(segment, r"^.+\.[A-Za-z][A-Za-z0-9]{0,5}", 0)
+            fit = (stem != "") & (F.upper(F.substring(segment, 1, 1)).between("A", "Z") | segment.startswith("_"))
+            whole = ~F.exists(F.slice(segments, F.lit(1), k), lambda s: s == "")
+            return F.when(fit & whole, F.array_join(F.concat(F.slice(segments, F.lit(1), k), F.array(stem)), "/"))
+
+        path = F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), F.transform(segments, named)), lambda x, k: x.isNotNull() | (k == 0)), -1)
+        tail = F.when(path == word, F.regexp_extract(F.get(pieces, i + 1), "^:[0-9]+(-[0-9]+)?", 0)).otherwise("")
+        line = F.nullif(F.regexp_extract(tail, "[0-9]+", 0), F.lit("")).cast("long")
+        return F.struct(F.concat(path, F.coalesce(tail, F.lit(""))).alias("token"), F.regexp_replace(path, r"^\./", "").alias("path"), line.alias("line"))
+
+    return F.filter(F.transform(pieces, read), lambda r: r["path"].isNotNull())
+
+
 def citations(texts: DataFrame, supplied: DataFrame, exists: DataFrame) -> DataFrame:
     """File references in texts (id, text), each with path, line and verdict.
 
@@ -33,10 +59,7 @@ def citations(texts: DataFrame, supplied: DataFrame, exists: DataFrame) -> DataF
     ``exists`` (path): all files.  Verdicts: supplied, unshown (exists), unknown (a path of no file).  Other
     bare words and paths that climb out of the tree aren't citations.
     """
-    found = F.regexp_extract_all("text", F.lit(CITATION), F.lit(0))
-    rows = texts.select("id", F.posexplode(found).alias("n", "token"))
-    rows = rows.withColumn("line", F.nullif(F.regexp_extract("token", r":([0-9]+)(?:-[0-9]+)?$", 1), F.lit("")).cast("long"))
-    rows = rows.withColumn("path", F.regexp_replace(F.regexp_replace("token", r":[0-9]+(-[0-9]+)?$", ""), r"^\./", ""))
+    rows = texts.select("id", F.posexplode(references(F.col("text"))).alias("n", "r")).select("id", "n", "r.token", "r.path", "r.line")
     given = supplied.select("id", F.regexp_replace("path", r"^\./", "").alias("path")).distinct().withColumn("given", F.lit(True))
     one = given.groupBy("id", P.basename(F.col("path")).alias("base")).agg(F.count("*").alias("k"), F.min("path").alias("full")).filter("k = 1")
     met = rows.join(given, ["id", "path"], "left").join(exists.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")

@@ -56,10 +56,18 @@ def search(files: DataFrame, query: str) -> str:
 
 
 def parse_request(reply: str) -> tuple[str, str] | None:
-    import re
-
-    m = re.fullmatch(r"\s*(?:```[a-z]*\s*\n)?\s*`?FETCH:[ \t]*(file|search)[ \t]+[\"'`]?([^\n`\"']+?)[\"'`]?[ \t]*(?:\n```)?\s*", reply, re.I)
-    return (m[1].lower(), m[2].strip()) if m else None
+    """Verb and argument of a reply that is one request line, perhaps in one fence (as ``text.fetch_request``)."""
+    line = reply.strip()
+    head, feed, rest = line.partition("\n")
+    if feed and head.startswith("```") and (head[3:].isalpha() or not head[3:]) and rest.endswith("```"):
+        line = rest[:-3].strip()
+    if "\n" in line or line[:6].upper() != "FETCH:":
+        return None
+    verb, _, argument = line[6:].strip().partition(" ")
+    argument = argument.strip()
+    argument = argument[argument[:1] in ("'", '"', "`") :]
+    argument = argument[: len(argument) - (argument[-1:] in ("'", '"', "`"))].strip()
+    return (verb.lower(), argument) if verb.lower() in ("file", "search") and argument else None
 
 
 def ask(files: DataFrame, question: str, parts: dict[str, str], model: Callable[[str], str]) -> Iterator[tuple[str, str]]:

@@ -72,9 +72,9 @@ class _LogReader(DataSourceReader):
         return [_Repo(r) for r in self.repos]
 
     def read(self, partition: _Repo) -> Iterator[tuple]:
-        """A row per commit and path, oldest first; a commit without paths has one row with none."""
+        """A row per commit and path, oldest first, of all commits; a commit without paths, or a merge, has one row with none."""
         form = "--format=%x01%H%x00%cs%x00%s%x00%B%x00"
-        raw = git(partition.repo, "log", "--reverse", "-m", "--first-parent", "--name-status", "-M", "-z", form, safe_ref(self.range)) or ""
+        raw = git(partition.repo, "log", "--reverse", "--name-status", "-M", "-z", form, safe_ref(self.range)) or ""
         for pos, block in enumerate(raw.split("\x01")[1:]):
             sha, date, subject, message, rest = block.split("\0", 4)
             paths = list(name_status(rest.lstrip("\n\0"))) or [(None, None, None)]
