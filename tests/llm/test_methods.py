@@ -342,7 +342,7 @@ def test_boundaries_are_optimal():
         h, b = [(k, rng.randint(1, 9)) for k in keys], rng.randint(1, 5)
         cost = lambda edges: sum(c * (min(e for e in edges if e >= n) - n) for n, c in h)
         best = min(cost([*x, max(keys)]) for r in range(b) for x in itertools.combinations(sorted(keys), r))
-        got = packing.boundaries(h, b)
+        got = packing.boundaries(*np.array(h).T, b)
         assert cost(got) == best and len(got) <= b
 
 
@@ -355,8 +355,32 @@ def test_packing(spark):
     for b in {r["bucket"] for r in got}:
         full, sizes = max(120 // b, 1), [n for (x, _), n in sorted(per.items()) if x == b]
         assert all(n == full for n in sizes[:-1]) and 0 < sizes[-1] <= full
-    coarse = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), histogram_rows=2).collect()
-    assert len(coarse) == 300 and all(r["padding"] >= 0 for r in coarse)
+
+
+def test_packing_query(spark, sf):
+    """The query against a plain packer: the best buckets of all, and each filled in turn."""
+    from treeline.llm import queries as Q
+
+    size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    h = sorted(Counter(size.values()).items())
+    cost, inf = [[0] + [math.inf] * len(h)], math.inf
+    for _ in range(packing.BUCKETS):
+        last = cost[-1]
+        row = [inf] * (len(h) + 1)
+        for j in range(1, len(h) + 1):
+            pad = 0
+            for i in range(j - 1, -1, -1):
+                pad += h[i][1] * (h[j - 1][0] - h[i][0])
+                row[j] = min(row[j], last[i] + pad)
+        cost.append(row)
+    got = Q.op10_bucket_packing(spark, sf).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == size and len(got) == len(size)
+    assert sum(r["padding"] for r in got) == min(c[-1] for c in cost[1:])
+    edges = sorted({r["bucket"] for r in got})
+    assert all(r["bucket"] == min(e for e in edges if e >= r["n_tokens"]) and r["padding"] == r["bucket"] - r["n_tokens"] for r in got)
+    for e in edges:
+        mine = sorted(r["batch"] for r in got if r["bucket"] == e)
+        assert mine == [i // max(packing.BATCH_TOKENS // max(e, 1), 1) for i in range(len(mine))]
 
 
 def test_network_gradients():
@@ -472,3 +496,13 @@ def test_suffix_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: (n, r, s, hashlib.sha256(k).hexdigest()) for i, (n, r, s, k) in brute_bytes(rows, 100).items()}
     assert {r[0]: tuple(r[1:]) for r in Q.op8_suffix_index(spark, sf).collect()} == want
+
+
+def test_lm_of_any_layout(spark):
+    """Scores don't depend on how the rows lie in partitions."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(["ab", "cd", "ef", "gh", "ij"], k=rng.randint(0, 30)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r["id"]: r["score"] for r in lm.score(df.coalesce(1), streams=8, replica_tokens=1000).collect()}
+    for other in (df.repartition(7), df.orderBy(F.col("doc_id").desc())):
+        assert {r["id"]: r["score"] for r in lm.score(other, streams=8, replica_tokens=1000).collect()} == one

@@ -6,9 +6,9 @@ Inside a bucket, every document is padded to the boundary, and batches hold as m
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -18,57 +18,53 @@ from treeline.llm import common as C
 
 #: Production parameters: number of buckets, tokens of a batch with its padding.
 BUCKETS, BATCH_TOKENS = 16, 65_536
-#: Distinct lengths that the driver handles; beyond, lengths are rounded up to a multiple of a power of two.
-HISTOGRAM_ROWS = 100_000
 #: Rows of a bucket that one task numbers.
 SHARD_ROWS = 20_000
 
 
-def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` boundaries, ascending, that minimise the sum of padding; exact.
 
-    ``histogram`` holds (length, count).  With ``C`` the running count, the best cost of the first j lengths
-    in k buckets is ``length_j * C_j + min_i(best_{k-1}(i) - length_j * C_i)``: lines in ``length_j`` whose
-    slopes fall with i, so a convex hull answers all j in one sweep.  Among equal costs, fewer buckets win.
+    With ``C`` the running count, the best cost of the first j lengths in k buckets is the least, over i, of
+    ``best_{k-1}(i) + length_j * (C_j - C_i)``.  The best i never falls as j grows, so the middle of a range of j
+    halves the choice for both of its halves; all ranges of a depth are solved at once.  Among equal costs, fewer
+    buckets win.
     """
-    rows = sorted((n, c) for n, c in histogram if c > 0)
-    if not rows:
+    order = np.argsort(lengths)
+    length, count = np.asarray(lengths, dtype=np.int64)[order], np.asarray(counts, dtype=np.int64)[order]
+    length, count = length[count > 0], count[count > 0]
+    d = len(length)
+    if not d:
         return []
-    count = [0]
-    for _, c in rows:
-        count.append(count[-1] + c)
-    d = len(rows)
-    best: list[int | None] = [0] + [None] * d
-    came: list[list[int]] = []
-    results = []
+    running = np.concatenate([[0], np.cumsum(count)])
+    far = np.iinfo(np.int64).max // 4
+    best = np.full(d + 1, far)
+    best[0] = 0
+    came: list[np.ndarray] = []
+    costs = []
     for _ in range(max(1, min(buckets, d))):
-        hull: deque[tuple[int, int, int]] = deque()  # slope, intercept, i
-        new: list[int | None] = [None] * (d + 1)
-        back = [0] * (d + 1)
-        for j in range(1, d + 1):
-            if (b := best[j - 1]) is not None:
-                m = -count[j - 1]
-                while len(hull) > 1:
-                    (m1, b1, _), (m2, b2, _) = hull[-2], hull[-1]
-                    if (b - b1) * (m1 - m2) > (b2 - b1) * (m1 - m):
-                        break
-                    hull.pop()
-                hull.append((m, b, j - 1))
-            if not hull:
-                continue
-            x = rows[j - 1][0]
-            while len(hull) > 1 and hull[1][0] * x + hull[1][1] <= hull[0][0] * x + hull[0][1]:
-                hull.popleft()
-            m, b, i = hull[0]
-            new[j], back[j] = m * x + b + x * count[j], i
+        new, back = np.full(d + 1, far), np.zeros(d + 1, dtype=np.int32)
+        lo, hi, low, high = (np.array([x]) for x in (1, d, 0, d - 1))
+        while len(lo):
+            j = (lo + hi) // 2
+            n = np.minimum(high, j - 1) - low + 1
+            first = np.cumsum(n) - n
+            i = np.arange(int(n.sum())) - np.repeat(first - low, n)
+            cost = best[i] + np.repeat(length[j - 1], n) * (np.repeat(running[j], n) - running[i])
+            least = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == np.repeat(least, n))
+            at = i[hit[np.searchsorted(hit, first)]]
+            new[j], back[j] = np.minimum(least, far), at
+            lo, hi, low, high = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (low, at), (at, high)))
+            some = lo <= hi
+            lo, hi, low, high = lo[some], hi[some], low[some], high[some]
         came.append(back)
+        costs.append(int(new[d]))
         best = new
-        results.append(new[d])
-    k = min(range(len(results)), key=lambda k: (results[k] is None, results[k]))
-    out, j = [], d
+    k, j, out = int(np.argmin(costs)), d, []
     while k >= 0:
-        out.append(rows[j - 1][0])
-        j, k = came[k][j], k - 1
+        out.append(int(length[j - 1]))
+        j, k = int(came[k][j]), k - 1
     return out[::-1]
 
 
@@ -87,7 +83,7 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS,
-    histogram_rows: int = HISTOGRAM_ROWS, shard_rows: int = SHARD_ROWS,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """One row per document: key, ``n_tokens``, ``bucket`` (padded length), ``batch`` (number in the bucket,
     from 0), ``padding``.
@@ -98,17 +94,11 @@ def pack(
     offsets are added, so a bucket that holds most rows doesn't meet in one task.
     """
     sized = C.cut(lengths(docs, key, text))
-    by_length = sized.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    step, rows = 1, by_length.limit(histogram_rows + 1).collect()
-    while len(rows) > histogram_rows:
-        step *= 2
-        rounded = (F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("n_tokens")
-        rows = by_length.groupBy(rounded).agg(F.sum("n").alias("n")).limit(histogram_rows + 1).collect()
-    histogram = [(r["n_tokens"], r["n"]) for r in rows]
-    edges = boundaries(histogram, buckets)
-    count = [0] * len(edges)
-    for n, c in histogram:
-        count[next(i for i, e in enumerate(edges) if e >= n)] += c
+    # one row a length: no more than the longest document has words
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    length, n = histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy()
+    edges = boundaries(length, n, buckets)
+    count = np.bincount(np.searchsorted(edges, length), n, len(edges)).astype(np.int64).tolist()
     if not edges:
         edges, count = [0], [0]
     shards = [max(1, -(-c // shard_rows)) for c in count]
