@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +120,49 @@ def banded_distances(
     return rows, cost[every, best], origin[every, best], at[every, best]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def monotonous(h: np.ndarray, depth: int, periods: int = 32) -> np.ndarray:
+    """Places more than ``depth`` inside a stretch that repeats a pattern of at most ``periods`` bytes.
+
+    What matches there matches at the stretch's ends as well, so these places tell nothing new; without them a
+    long run of one letter would meet each place of a like run of the benchmark.
+    """
+    out = np.zeros(len(h), dtype=bool)
+    step = max(depth // 4, 1)
+    for p in range(1, min(periods, len(h) - 2 * depth) + 1):
+        # so long a stretch holds seven places in a row of those looked at
+        some = h[p::step] == h[: len(h) - p : step]
+        for shift in (1, 2, 3):
+            some = some[:-shift] & some[shift:]
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], some.view(np.int8), [0]])))
+        for first, last in zip(runs[::2].tolist(), runs[1::2].tolist()):
+            at, end = max((first - 1) * step, 0), (last + 7) * step
+            same = h[at + p : end + p] == h[at:end][: len(h) - p - at]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            for lo, hi in zip((at + edge[::2]).tolist(), (at + edge[1::2] + p).tolist()):
+                if hi - lo > 2 * depth:
+                    out[lo + depth : hi - depth] = True
+    return out
+
+
 class Index:
     """Windows of benchmark items and the places of their q-grams.
 
     Each q-gram of an item is kept once, by its place among all items' bytes; a window is a run of places.
+    Items shorter than q are kept whole, and must occur as whole words.
     """
 
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, edit_rate: float) -> None:
         self.q, self.stride = q, stride
         self.owner: list[int] = []
+        self.short: dict[int, dict[int, int]] = {}  # by length, item by hash
         folds = []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -137,6 +172,8 @@ class Index:
             if len(folded) >= q:
                 self.owner.append(item)
                 folds.append(folded)
+            elif len(folded):
+                self.short.setdefault(len(folded), {}).setdefault(int(gram_hashes(folded, len(folded))[0]), item)
         none = np.zeros(0, dtype=np.int64)
         size = np.array([len(x) for x in folds], dtype=np.int64)
         self.first = np.cumsum(size) - size  # of each item
@@ -150,9 +187,22 @@ class Index:
         order = np.argsort(gram, kind="stable")
         self.gram, self.place = gram[order], place[order]
         self.item = np.searchsorted(self.first, self.place, "right") - 1
+        self.distinct, starts = np.unique(self.gram, return_index=True)
+        self.starts = np.append(starts, len(self.gram))
+        self.depth = window + 2 * q + int(2 * edit_rate * window)
+        self._mark()
+
+    def _mark(self) -> None:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._mark()
+
     def candidates(self, row: np.ndarray, diagonal: np.ndarray, place: np.ndarray, band: int) -> np.ndarray:
         """Windows that share enough q-grams with a band of diagonals: row, item, start in the item, band."""
         shift = (-(-len(self.text) // band) + 1) * band  # so that diagonals and bands aren't negative
@@ -160,7 +210,7 @@ class Index:
         wide, all_places = int(step.max()) + 2, len(self.text)
         # bands overlap: band b covers steps b and b + 1
         key = (row * wide + step) * all_places + place
-        key = np.unique(np.concatenate([key, key - all_places]))
+        key = distinct(np.concatenate([key, key - all_places]))
         place = key % all_places
         group = key // all_places
         item = np.searchsorted(self.first, place, "right") - 1
@@ -179,23 +229,46 @@ class Index:
         group = np.concatenate([np.repeat(group, n), group[end]])
         item = np.concatenate([np.repeat(item, n), item[end]])
         start = np.concatenate([start, self.last[item[len(start) :]]])
-        got = np.unique(group * all_places + self.first[item] + start)
+        got = distinct(group * all_places + self.first[item] + start)
         group, at = got // all_places, got % all_places
         item = np.searchsorted(self.first, at, "right") - 1
         return np.stack([group // wide, item, at - self.first[item], (group % wide) * band - shift], axis=1)
 
-    def find(self, buf: np.ndarray, off: np.ndarray, band: int) -> Iterator[tuple[int, int, int, int, int]]:
-        """Verified regions as (row, item, edits, start, end), in bytes of ``buf`` from the row's start."""
+    def whole_words(self, folded: np.ndarray, foff: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, start and end (folded) of items shorter than q."""
+        for n, items in self.short.items():
+            h = gram_hashes(folded, n)
+            hit = np.flatnonzero(np.isin(h, np.array(list(items), dtype=np.uint64)))
+            row = np.searchsorted(foff, hit, "right") - 1
+            lo, hi = foff[row], foff[row + 1]
+            before = np.where(hit > lo, folded[np.maximum(hit - 1, 0)] == 32, True)
+            after = np.where(hit + n < hi, folded[np.minimum(hit + n, len(folded) - 1)] == 32, hit + n == hi)
+            for i in np.flatnonzero(before & after).tolist():
+                yield int(row[i]), items[int(h[hit[i]])], int(hit[i] - lo[i]), int(hit[i] - lo[i]) + n
+
+    def find(self, buf: np.ndarray, off: np.ndarray, band: int, once: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+        """Verified regions as (row, item, edits, start, end), in bytes of ``buf`` from the row's start.
+
+        With ``once``, a row's other candidates are let be as soon as one is verified.
+        """
         folded, foff, at = fold(buf, off)
+        seen = np.zeros(len(off) - 1, dtype=bool)
+        for r, item, s, e in self.whole_words(folded, foff):
+            seen[r] = True
+            yield self._region(r, item, 0, s, e, buf, off, foff, at)
         if not len(self.gram) or len(folded) < self.q:
             return
         h = gram_hashes(folded, self.q)
-        hit = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        hit = self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
+        hit = np.flatnonzero(hit & ~monotonous(h, self.depth))
         row = np.searchsorted(foff, hit, "right") - 1
         inside = hit + self.q <= foff[row + 1]
         hit, row = hit[inside], row[inside]
-        lo, hi = np.searchsorted(self.gram, h[hit], "left"), np.searchsorted(self.gram, h[hit], "right")
-        n = hi - lo
+        at_gram = np.minimum(np.searchsorted(self.distinct, h[hit]), len(self.distinct) - 1)
+        known = self.distinct[at_gram] == h[hit]
+        hit, row, at_gram = hit[known], row[known], at_gram[known]
+        lo = self.starts[at_gram]
+        n = self.starts[at_gram + 1] - lo
         total = np.cumsum(n)
         first = 0
         while first < len(hit):  # whole rows, of about two million pairs at a time
@@ -216,12 +289,18 @@ class Index:
             for size, edits in sorted({(int(a), int(b)) for a, b in zip(self.size[found[:, 1]], self.edits[found[:, 1]])}):
                 some = found[(self.size[found[:, 1]] == size) & (self.edits[found[:, 1]] == edits)]
                 for k in range(0, len(some), 1024):
-                    r, item, start, low = some[k : k + 1024].T
+                    part = some[k : k + 1024]
+                    if once:
+                        part = part[~seen[part[:, 0]]]
+                        if not len(part):
+                            continue
+                    r, item, start, low = part.T
                     patterns = self.text[(self.first[item] + start)[:, None] + np.arange(size)]
                     # a window's diagonals begin where the item's do, further on by its start
                     got = banded_distances(patterns, folded, foff[r], foff[r + 1], low + start, 2 * band, edits)
+                    seen[r[got[0]]] = True
                     for x, e_, s, e in zip(*(v.tolist() for v in got)):
-                        yield self._region(int(r[x]), int(item[x]), e_, s, e, buf, off, foff, at)
+                        yield self._region(int(r[x]), self.owner[int(item[x])], e_, s, e, buf, off, foff, at)
 
     def _region(self, r: int, item: int, edits: int, s: int, e: int, buf: np.ndarray, off: np.ndarray, foff: np.ndarray, at: np.ndarray) -> tuple:
         s, e = max(s, 0), max(e, s + 1)
@@ -230,7 +309,7 @@ class Index:
             s -= 1
         while e < off[r + 1] and buf[e] & 0xC0 == 0x80:
             e += 1
-        return r, self.owner[item], edits, s - int(off[r]), e - int(off[r])
+        return r, item, edits, s - int(off[r]), e - int(off[r])
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -251,8 +330,10 @@ def findings(
     """One row per document and benchmark item found in it: key, ``item_id``, ``n_windows`` found,
     ``edits`` (least of a window), ``start`` and ``end`` (bytes of the text, around all windows found).
 
-    Every document is read once per block of the benchmark, whole; nothing is shuffled.  A null or empty
-    text, an item of under q folded bytes and an empty benchmark give no rows.  Repeated rows give a row each.
+    Every document is read once per block of the benchmark, whole; nothing is shuffled.  The index of a block is
+    built once and broadcast, its size checked.  A null or empty text, an item without letters and digits and an
+    empty benchmark give no rows; an item of under q folded bytes must occur as whole words.  Inside a long
+    stretch of one repeated pattern, matches are found at its ends.  Repeated rows give a row each.
     """
     if not q <= window < 1 << 16 or edit_rate * window > band:
         raise ValueError("window must be from q to 65535, and its edits at most band")
@@ -262,8 +343,10 @@ def findings(
     out = None
     for items in blocks(benchmark, item, item_text, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, q, window, stride, edit_rate)
+        sent = docs.sparkSession.sparkContext.broadcast(Index(items, q, window, stride, edit_rate))
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
                 for lo, _, buf, off in C.slices(batch.column(1)):
                     merged: dict[tuple[int, int], list[int]] = {}
@@ -291,12 +374,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     at, schema = docs.columns.index(text), docs.schema
     for items in blocks(benchmark, item, item_text, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, q, window, stride, edit_rate)
+        sent = docs.sparkSession.sparkContext.broadcast(Index(items, q, window, stride, edit_rate))
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
                 for lo, hi, buf, off in C.slices(batch.column(at)):
                     keep = np.ones(hi - lo, dtype=bool)
-                    for r, *_ in index.find(buf, off, band):
+                    for r, *_ in index.find(buf, off, band, once=True):
                         keep[r] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
