@@ -3,6 +3,7 @@
 import pytest
 
 from against import compare
+from treeline import plan_queries  # noqa: F401  registers more
 from treeline import queries as Q
 
 

@@ -28,29 +28,36 @@ def clip(text: Column, size: int, note: str = "…") -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of a squeezed text, in order.
 
-    A text is cut after each run of stops; a piece counts if it ends with a stop before a space or the end, and
-    has more than stops.
+    A sentence ends with stops before a space or the end; of what lies before it, only what follows the last stop
+    inside a word belongs to it.
     """
-    pieces = F.split(text, r"(?<=[.!?])(?=[^.!?])")
-    n = F.size(pieces)
+    marked = F.split(F.regexp_replace(text, "(?<=[.!?]) ", "\x01"), "\x01")
+    stops = F.lit(".!?")
 
-    def whole(piece: Column, i: Column) -> Column:
-        ends = F.right(piece, F.lit(1)).isin(".", "!", "?") & ((i + 1 == n) | F.get(pieces, i + 1).startswith(" "))
-        return ends & (F.btrim(piece, F.lit(".!? ")) != "")
+    def told(piece: Column) -> Column:
+        body = F.rtrim(piece, stops)
+        own = F.regexp_replace(body, "^.*[.!?]", "")
+        return F.when((body != piece) & (own != ""), F.concat(own, F.substring(piece, F.length(body) + 1, F.length(piece))))
 
-    return F.transform(F.filter(pieces, whole), lambda s: F.ltrim(s))
+    return F.filter(F.transform(marked, lambda x: told(x)), lambda x: x.isNotNull())
 
 
 def compress(text: Column, size: int = SUMMARY_CHARS) -> Column:
     """Whole sentences up to ``size`` characters; else a cut at a word past half of it, with an ellipsis."""
     clean = squeeze(text)
-    told = F.slice(sentences(clean), 1, size // 2)  # no sentence is shorter than two characters and its space
-    upto = lambda i: F.array_join(F.slice(told, F.lit(1), i + 1), " ")
-    fits = F.filter(F.transform(told, lambda s, i: upto(i)), lambda x: F.length(x) <= size)
+    some = F.slice(sentences(clean), 1, size // 2)  # no sentence is shorter than two characters and its space
+    none = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def more(acc: Column, s: Column) -> Column:
+        longer = F.concat(acc["text"], F.when(acc["text"] == "", "").otherwise(" "), s)
+        fits = acc["open"] & (F.length(longer) <= size)
+        return F.struct(F.when(fits, longer).otherwise(acc["text"]).alias("text"), fits.alias("open"))
+
+    whole = F.aggregate(some, none, more, lambda acc: acc["text"])
     cut = F.substring(clean, 1, size - 1)
     words = F.regexp_replace(cut, " [^ ]*$", "")
     hard = F.concat(F.rtrim(F.when(F.length(words) > size * 0.5, words).otherwise(cut)), F.lit("…"))
-    return F.when(F.length(clean) <= size, clean).when(F.size(fits) > 0, F.get(fits, F.size(fits) - 1)).otherwise(hard)
+    return F.when(F.length(clean) <= size, clean).otherwise(F.coalesce(F.nullif(whole, F.lit("")), hard))
 
 
 def clamp(text: Column, size: int) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,18 +95,33 @@ def change_stop(hunks: DataFrame, by: list[str]) -> DataFrame:
 def budgeted(rows: DataFrame, by: list[str], order: list, size: str, budget: int, free: str | None = None) -> DataFrame:
     """Rows admitted in order while their sizes fit a budget; one that doesn't is skipped and later ones tried.
 
-    Rows where ``free`` is true are always admitted and don't count.  A group's (size, free) list is folded
-    in memory, in order; the rest of the rows doesn't travel with it.
+    Rows where ``free`` is true are always admitted and don't count.  A group's rows pass by in order, of which
+    only the budget used so far is held.
     """
-    flag = F.col(free) if free else F.lit(False)
-    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    lists = numbered.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(size).alias("size"), flag.alias("free")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("in"))
+    flag = F.coalesce(F.col(free), F.lit(False)) if free else F.lit(False)
+    marked = rows.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__free": flag})
+    ordered = marked.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in by))
+            fits = []
+            for key, n, always in zip(keys, batch.column("__size").to_pylist(), batch.column("__free").to_pylist()):
+                if key != now:
+                    now, used = key, 0
+                fits.append(always or used + n <= budget)
+                used += n if fits[-1] and not always else 0
+            yield batch.filter(pa.array(fits)).select(rows.columns)
+
+    return ordered.mapInArrow(run, rows.schema)
+
+
+def interpreted_stop(start: Column, loc: Column, lines: int = 60) -> Column:
+    """Last line of what an interpretation reads from ``start``: ``lines`` of them, or as many as the file has."""
+    return F.least(start + lines - 1, F.greatest(loc, F.lit(1)))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["free"] | (acc["used"] + x["size"] <= budget)
-        used = acc["used"] + F.when(fits & ~x["free"], x["size"]).otherwise(0)
-        return F.struct(used.cast("long").alias("used"), F.when(fits, F.concat(acc["in"], F.array(x["__n"]))).otherwise(acc["in"]).alias("in"))
 
-    taken = lists.select(*by, F.explode(F.aggregate("items", start, step, lambda a: a["in"])).alias("__n"))
-    return numbered.join(taken, [*by, "__n"], "left_semi").drop("__n")
+def admissible(path: Column, kind: Column, binary: Column, loc: Column, size: Column, tooling: Column, most: int = 400_000) -> Column:
+    """Whether a file may be shown on a page: read, with lines, not made or vendored, not too large, not of a tool."""
+    return ~binary & (loc > 0) & ~kind.isin("generated", "vendored", "lockfile") & (size <= most) & ~tooling

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import text as T
 from treeline.operators import windows as WN
+from treeline.operators.search import limited
 
 #: Rendered pages kept of a repository, items a notice names.
 PAGES, NOTICE = 4, 3
@@ -75,3 +76,42 @@ def symbol_text(doc: Column, kind: Column, name: Column, start: Column, end: Col
     """A symbol's description: the author's, or its kind and place; its span; whether others can use it."""
     what = F.coalesce(doc, F.concat(kind, F.lit(" "), name, F.lit(" at line "), start.cast("string")))
     return F.concat_ws(". ", what, T.plural(end - start + 1, "line"), F.when(exported, "public").otherwise("private"))
+
+
+def list_phrase(items: Column, n: int = 4) -> Column:
+    """The first n of a list and how many more there are, or ``nothing``."""
+    return F.when(F.size(items) == 0, "nothing").otherwise(limited(items, n))
+
+
+def file_question(exports: Column, imports: Column) -> Column:
+    """``struct<question, consequence>`` of a file's step; null lists stand for a file that wasn't parsed."""
+    read = exports.isNotNull() & imports.isNotNull()
+    asked = F.concat(F.lit("It exports "), list_phrase(exports), F.lit(" and imports "), list_phrase(imports), F.lit(". Why is it a module of its own?"))
+    owns = F.concat(T.plural(F.size(exports), "exported symbol"), F.lit(", "), T.plural(F.size(imports), "import"), F.lit("."))
+    unread = F.struct(F.lit("Why is this a file of its own, and of this kind?").alias("question"), F.lit("Its exports and imports aren't known: it wasn't parsed.").alias("consequence"))
+    return F.when(read, F.struct(asked.alias("question"), owns.alias("consequence"))).otherwise(unread)
+
+
+def symbol_question(name: Column, kind: Column, start: Column, end: Column) -> Column:
+    asked = F.concat(F.lit("Fill in "), name, F.lit(": how should this "), kind, F.lit(" do its work?"))
+    return F.struct(asked.alias("question"), F.concat(name, F.lit(" has "), T.plural(end - start + 1, "line"), F.lit(" of "), kind, F.lit(".")).alias("consequence"))
+
+
+def shape_question(title: Column, files: Column, loc: Column) -> Column:
+    asked = F.concat(F.lit("Why is "), title, F.lit(" a part of its own?"))
+    return F.struct(asked.alias("question"), F.concat(title, F.lit(" is a chapter of "), T.plural(files, "file"), F.lit(" and "), T.plural(loc, "line"), F.lit(".")).alias("consequence"))
+
+
+def decision(question: Column, why: Column, source: Column) -> Column:
+    """A step's decision: the question, with the author's choice as the one option, taken."""
+    option = F.struct(F.lit("author").alias("id"), F.lit("What the author did").alias("label"), question["consequence"].alias("consequence"), F.lit(True).alias("taken"))
+    return F.struct(
+        question["question"].alias("question"), F.array(option).alias("options"), F.lit("author").alias("author_choice"), F.lit("author").alias("chosen"),
+        why.alias("why"), source.alias("why_source"),
+    )
+
+
+def notice(items: Column, one: str, many: str, n: int = NOTICE) -> Column:
+    """How many there are and the first of them by name; null for none."""
+    count = F.concat(F.size(items).cast("string"), F.when(F.size(items) == 1, f" {one}: ").otherwise(f" {many}: "))
+    return F.when(F.size(items) > 0, F.concat(count, limited(items, n)))

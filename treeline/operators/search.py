@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.functions import text as T
 
 #: Least query, most matches, largest file, characters shown of a line.
 LEAST_QUERY, MATCHES, FILE_BYTES, SHOWN = 2, 40, 120_000, 200
@@ -34,7 +36,7 @@ def references(text: Column) -> Column:
     """
     pieces = F.split(F.replace(F.regexp_replace(text, "[^A-Za-z0-9_./:-]", "\n"), F.lit(":"), F.lit("\n:")), "\n")
 
-    def read(piece: Column, i: Column) -> Column:
+    def read(piece: Column, after: Column) -> Column:
         word = F.ltrim(piece, F.lit(":"))
         segments = F.split(word, "/")
 
@@ -45,11 +47,12 @@ def references(text: Column) -> Column:
             return F.when(fit & whole, F.array_join(F.concat(F.slice(segments, F.lit(1), k), F.array(stem)), "/"))
 
         path = F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), F.transform(segments, named)), lambda x, k: x.isNotNull() | (k == 0)), -1)
-        tail = F.when(path == word, F.regexp_extract(F.get(pieces, i + 1), "^:[0-9]+(-[0-9]+)?", 0)).otherwise("")
+        tail = F.when(path == word, F.regexp_extract(after, "^:[0-9]+(-[0-9]+)?", 0)).otherwise("")
         line = F.nullif(F.regexp_extract(tail, "[0-9]+", 0), F.lit("")).cast("long")
         return F.struct(F.concat(path, F.coalesce(tail, F.lit(""))).alias("token"), F.regexp_replace(path, r"^\./", "").alias("path"), line.alias("line"))
 
-    return F.filter(F.transform(pieces, read), lambda r: r["path"].isNotNull())
+    following = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
+    return F.filter(F.zip_with(pieces, following, read), lambda r: r["path"].isNotNull())
 
 
 def citations(texts: DataFrame, supplied: DataFrame, exists: DataFrame) -> DataFrame:
@@ -96,6 +99,33 @@ def check_symbols(reference: DataFrame, learner: DataFrame) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, status.alias("status"))
 
 
+def check_imports(reference: DataFrame, learner: DataFrame) -> DataFrame:
+    """What a reference file imports (file, pos, raw), each once and in the order declared, as present or missing.
+
+    What only the learner imports isn't judged.
+    """
+    first = reference.groupBy("file", "raw").agg(F.min("pos").alias("pos"))
+    there = learner.select("file", "raw").distinct().withColumn("there", F.lit(1))
+    order = W.partitionBy("file").orderBy("pos", "raw")
+    status = F.when(F.col("there").isNull(), "missing").otherwise("present")
+    return first.join(there, ["file", "raw"], "left").select("file", F.row_number().over(order).cast("long").alias("ordinal"), "raw", status.alias("status"))
+
+
+def check_report(files: DataFrame, symbols: DataFrame, imports: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Per reference file: missing symbols and imports, parse errors with a reason, and whether all is well.
+
+    ``parsed`` (file, parse_errors) are the learner's files; one that gave nothing counts as one error.
+    """
+    lost = lambda df, c: df.groupBy("file").agg(F.count_if(F.col("status") == "missing").alias(c))
+    met = files.select("file").distinct().join(lost(symbols, "symbols"), "file", "left").join(lost(imports, "imports"), "file", "left")
+    met = met.join(parsed.select("file", F.col("parse_errors").alias("errors")), "file", "left")
+    n = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("symbols", "imports")}
+    errors = F.coalesce("errors", F.lit(1)).cast("long")
+    reason = F.when(F.col("errors").isNull(), "nothing could be read from this file").when(errors > 0, F.concat(F.lit("parsed with "), T.plural(errors, "error")))
+    ok = (n["symbols"] == 0) & (n["imports"] == 0) & (errors == 0)
+    return met.select("file", n["symbols"].alias("missing_symbols"), n["imports"].alias("missing_imports"), errors.alias("parse_errors"), reason.alias("reason"), ok.alias("ok"))
+
+
 def limited(items, n: int, joiner: str = ", "):  # noqa: ANN001, ANN201
     """A list column as words: the first n, and ``and N more`` if any were left out."""
     more = F.size(items) - n

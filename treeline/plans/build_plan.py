@@ -12,6 +12,8 @@ from treeline.operators import classify as CL
 from treeline.operators import graph as G
 from treeline.operators import intervals as IV
 from treeline.operators import order as O
+from treeline.operators import rank as R
+from treeline.operators import reports as RP
 from treeline.operators import windows as WN
 from treeline.plans.session import kept
 
@@ -57,8 +59,7 @@ def build_plan(relations: dict[str, DataFrame], roots: DataFrame, witnesses: Dat
     rank = F.when(F.col("kind") == "symbol", 1).otherwise(0)
     steps = WN.occurrence(steps, ["path", "kind", "name"], ["start"])
     steps = steps.withColumn("id", K.step_id(F.col("path"), F.col("kind"), F.col("name"), F.col("n")))
-    order = W.orderBy("chapter_pos", "file_pos", rank, "start")
-    steps = steps.withColumn("ordinal", F.row_number().over(order).cast("long"))
+    steps = R.numbered(kept(steps), [F.col("chapter_pos"), F.col("file_pos"), rank, F.col("start"), F.col("path"), F.col("name")], "ordinal")
     ids = steps.filter("kind = 'file'").select(F.col("path").alias("to"), F.col("id").alias("need"))
     needs = edges.join(ids, "to").groupBy(F.col("from").alias("path")).agg(F.array_sort(F.collect_list("need")).alias("depends_on"))
     out = steps.join(needs, "path", "left").join(witnesses, "path", "left")
@@ -81,3 +82,20 @@ def scaffold_ranges(steps: DataFrame) -> DataFrame:
     """Per file, the ranges to cut out with their steps, for ``extract.api.scaffolds``."""
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("ordinal").cast("int").alias("step"))
     return steps.filter("kind = 'symbol'").groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("ranges"))
+
+
+def decisions(steps: DataFrame, extracts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``id``, ``decision`` of each step (ordinal, id, kind, path, name, start, end, sha, date).
+
+    ``extracts`` has path, symbols, imports; ``sizes`` (chapter, files, loc) the chapters'.
+    """
+    names = F.transform(F.filter("symbols", lambda s: s["exported"]), lambda s: s["name"])
+    facts = extracts.select("path", names.alias("exports"), F.transform("imports", lambda i: i["raw"]).alias("raws"))
+    met = steps.join(facts, "path", "left").join(sizes.select(F.col("chapter").alias("path"), "files", "loc"), "path", "left")
+    kind, name = F.substring_index("name", "::", 1), F.element_at(F.split("name", "::"), -1)
+    asked = (
+        F.when(F.col("kind") == "shape", RP.shape_question(F.col("path"), F.coalesce("files", F.lit(0)), F.coalesce("loc", F.lit(0))))
+        .when(F.col("kind") == "file", RP.file_question(F.col("exports"), F.col("raws"))).otherwise(RP.symbol_question(name, kind, F.col("start"), F.col("end")))
+    )
+    why = F.when(F.col("sha").isNotNull(), F.concat(F.lit("added in "), F.substring("sha", 1, 8)))
+    return met.withColumn("__q", asked).select("id", RP.decision(F.col("__q"), why, F.when(F.col("sha").isNotNull(), "commit").otherwise("none")).alias("decision"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.extract import api
@@ -14,6 +13,8 @@ from treeline.operators import delta as D
 from treeline.operators import diff as DF
 from treeline.operators import graph as G
 from treeline.operators import intervals as IV
+from treeline.operators import rank as R
+from treeline.operators import reports as RP
 from treeline.operators import windows as WN
 from treeline.plans.session import kept
 from treeline.sources import git
@@ -23,11 +24,15 @@ from treeline.sources.files import inventory
 STOPS = 12
 
 
-def review(spark: SparkSession, repo: str, base: str, head: str, edges: DataFrame, verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Deltas by meaning, hunks, ripple and stops of a change, compared from the merge base.
+def review(
+    spark: SparkSession, repo: str, base: str, head: str, edges: DataFrame, verdicts: DataFrame | None = None, meanings: tuple[DataFrame, DataFrame] | None = None,
+    body: str | None = None,
+) -> dict[str, DataFrame]:
+    """Deltas by meaning, hunks, ripple, stops, reasons and notices of a change, compared from the merge base.
 
     ``edges`` is the checkpoint's import graph; ``verdicts`` (path, verdict, headline) come from a cache or a
-    model and may be missing.  A failed call has no verdict, so it never counts as no change.
+    model and may be missing.  A failed call has no verdict, so it never counts as no change.  ``meanings`` are the
+    interpretations (path, what, why) of both sides; ``body`` is the change's description.
     """
     start = git.merge_base(repo, base, head)
     changed = kept(git.diff_set(spark, repo, start, head))
@@ -43,31 +48,87 @@ def review(spark: SparkSession, repo: str, base: str, head: str, edges: DataFram
     rows = changed.join(state(before, "b"), "path", "left").join(state(after, "a"), "path", "left").join(surface, "path", "left")
     judged = verdicts if verdicts is not None else changed.select("path", F.lit(None).cast("double").alias("verdict"), F.lit(None).cast("string").alias("headline")).limit(0)
     rows = rows.join(judged, "path", "left")
+    far = changed.select("path", F.lit(None).cast("double").alias("distance")).limit(0)
+    if meanings is not None:
+        far = distances(claims(meanings[0], extracted(before)), claims(meanings[1], extracted(after)))
+    rows = rows.join(far, "path", "left")
     unread = D.unread(F.coalesce("b", absent), F.coalesce("a", absent))
     rows = rows.withColumns({
-        "unread": unread.isNotNull(), "distance": F.lit(None).cast("double"), "lines_changed": F.col("lines"),
+        "unread": unread.isNotNull(), "sides": unread, "lines_changed": F.col("lines"),
         **{f"n_{c}": F.coalesce(F.size(c), F.lit(0)) for c in ("added", "removed", "changed")},
     })
-    deltas = kept(D.file_delta(rows).select("path", "status", "from_path", "lines_changed", "meaning_delta", "basis", "reason", "added", "removed", "changed"))
+    deltas = kept(D.file_delta(rows).select("path", "status", "from_path", "lines_changed", "meaning_delta", "basis", "reason", "added", "removed", "changed", "sides"))
     lines = kept(git.diff_text(spark, repo, start, head))
     hunks = DF.hunks(lines).withColumnRenamed("file", "path")
     moved = deltas.filter(D.band(F.col("meaning_delta")) == "moved")
-    return {"deltas": deltas, "hunks": hunks, "diff": DF.numbered(lines), "ripple": G.ripple(moved.select("path"), edges), "stops": stops(deltas, hunks)}
+    commits = git.log(spark, [repo], f"{git.safe_ref(start)}..{git.safe_ref(head)}").select("pos", "sha", "message").distinct()
+    reasons = D.told_why(D.why(deltas.select("path"), commits), F.lit(body).cast("string"), F.lit(body is not None))
+    return {
+        "deltas": deltas, "hunks": hunks, "diff": DF.numbered(lines), "ripple": G.ripple(moved.select("path"), edges), "stops": stops(deltas, hunks),
+        "reasons": reasons, "unread": unread_files(deltas), "opening": opening(deltas),
+    }
+
+
+def extracted(raw: DataFrame) -> DataFrame:
+    """Symbols and imports of one side's files."""
+    return api.extract(inventory(raw).filter(CL.parse_target(F.col("path"), F.col("class"), F.col("binary"))))
 
 
 def exported(raw: DataFrame) -> DataFrame:
     """Exported symbols of one side."""
-    files = inventory(raw).filter(CL.parse_target(F.col("path"), F.col("class"), F.col("binary")))
-    return api.symbols(api.extract(files)).filter("exported").select("path", "name", "kind", "pos")
+    return api.symbols(extracted(raw)).filter("exported").select("path", "name", "kind", "pos")
 
 
 def stops(deltas: DataFrame, hunks: DataFrame, n: int = STOPS) -> DataFrame:
-    """The tour of a change: moved files first, then others while places are free, each at its changed lines."""
-    order = W.orderBy(*D.by_meaning())
-    placed = deltas.withColumn("band", D.band(F.col("meaning_delta"))).withColumn("ordinal", F.row_number().over(order).cast("long")).filter(F.col("ordinal") <= n)
+    """The tour of a change: scored files by meaning, n at most, each at its changed lines and in its chapter.
+
+    Moved and shifted files come first (chapter ``moved``), steady ones fill the places left (``quiet``).  A file that
+    could not be read isn't scored and has no stop here; see :func:`unread_files`.
+    """
+    scored = deltas.filter("basis <> 'unread'").withColumn("band", D.band(F.col("meaning_delta")))
+    placed = R.numbered(scored, D.by_meaning(), "ordinal").filter(F.col("ordinal") <= n)
+    placed = placed.withColumn("chapter", F.when(F.col("band") == "steady", "quiet").otherwise("moved"))
     return placed.join(IV.change_stop(hunks, ["path"]), "path", "left").withColumns({"start": F.coalesce("start", F.lit(1)), "end": F.coalesce("end", F.lit(40))})
 
 
+def unread_files(deltas: DataFrame) -> DataFrame:
+    """One row for the chapter ``what``: how many files weren't read on a side, and the first of them with the reason."""
+    told = F.concat("path", F.lit(" "), D.not_read_on(F.col("sides")))
+    rows = deltas.filter("sides IS NOT NULL").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", told.alias("told")))), lambda x: x["told"]).alias("items"))
+    return rows.select(F.size("items").cast("long").alias("n"), RP.notice(F.col("items"), "file was not read", "files were not read").alias("text"))
+
+
+def opening(deltas: DataFrame) -> DataFrame:
+    """One row: files changed, moved, steady and not scored, the biggest diff and the biggest change of meaning."""
+    scored, band = F.col("basis") != "unread", D.band(F.col("meaning_delta"))
+    count = lambda c: F.count_if(c).alias
+    return deltas.agg(
+        F.count("*").alias("files"), count(scored & (band != "steady"))("moved"), count(scored & (band == "steady"))("steady"), count(~scored)("not_scored"),
+        F.max_by("path", F.struct("lines_changed", "path")).alias("biggest_diff"),
+        F.min_by("path", F.when(scored, F.struct(-F.col("meaning_delta"), -F.col("lines_changed"), F.col("path")))).alias("biggest_change"),
+    )
+
+
+def claims(meanings: DataFrame, extracts: DataFrame) -> DataFrame:
+    """Per path of one side, what its interpretation says and names: text (what and why), names, vocab.
+
+    ``meanings`` (path, what, why) may have several rows a path; ``extracts`` has path, symbols, imports.
+    """
+    said = meanings.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("what", "why"))), lambda m: F.concat_ws(" ", m["what"], m["why"])), " ").alias("text"))
+    names = F.coalesce(F.transform("symbols", lambda s: s["name"]), F.array().cast("array<string>"))
+    specs = F.coalesce(F.transform("imports", lambda i: i["raw"]), F.array().cast("array<string>"))
+    return said.join(extracts.select("path", "symbols", "imports"), "path", "left").select("path", "text", names.alias("names"), specs.alias("specs"))
+
+
+def distances(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``path``, ``distance`` of the claims of both sides (see :func:`claims`), by the vocabulary of both."""
+    old = before.select("path", F.col("text").alias("old"), F.col("names").alias("old_names"), F.col("specs").alias("old_specs"))
+    both = old.join(after, "path").withColumn("names", F.array_union("old_names", "names"))
+    both = both.withColumn("vocab", D.vocabulary(F.flatten(F.array("names", "old_specs", "specs"))))
+    both = D.add_claims(D.add_claims(both, "a", F.col("old"), F.col("names"), F.col("vocab")), "b", F.col("text"), F.col("names"), F.col("vocab"))
+    return both.select("path", D.meaning_distance(F.col("a"), F.col("b")).alias("distance"))
+
+
 def adjudicate(asked: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Verdicts for (key, path, prompt): those in ``cache`` (key, verdict, headline), and the provider's for the
     rest.  A null answer is unavailable, is not in the result, and must not be cached."""

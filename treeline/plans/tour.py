@@ -41,15 +41,34 @@ def code_tour(relations: dict[str, DataFrame], files: int = FILES, symbols: int
     return steps.withColumn("ordinal", F.row_number().over(W.orderBy("stop", "step", "start")).cast("long")).drop("stop", "step")
 
 
-def overlay(relations: dict[str, DataFrame]) -> DataFrame:
-    """What a tour over the tables points at: the best file, the most churned small one, the largest, the most imported."""
-    r = relations["ranked"].withColumn("rank", F.struct(F.col("score"), F.col("path")))
-    best = lambda metric, cond: F.max_by(F.when(cond, F.col("path")), F.when(cond, F.struct(metric, F.col("score"))))
+def overlay(relations: dict[str, DataFrame], repos: DataFrame | None = None) -> DataFrame:
+    """One row, what a tour over the tables points at: the best file, the most churned small one, the largest, the most
+    imported, and the best subsystem of more than one file (from ``tiers``); of equals the first in rank order.
+
+    ``repos`` (root, commit_count) adds all commits and the deepest repository.
+    """
+    r = relations["ranked"]
+    rank = F.struct(F.col("score"), -F.col("loc"), F.col("path"))  # only a tie of all three is left to the path
+    best = lambda metric, cond: F.max_by(F.when(cond, F.col("path")), F.when(cond, F.struct(metric, rank)))
     small = (F.col("score") > 0) & (F.col("loc") > 0) & (F.col("loc") < 400) & (F.col("churn") > 0)
-    return r.agg(
-        F.max_by("path", "score").alias("top"), best(F.col("churn"), small).alias("churned_small"), best(F.col("loc"), F.col("loc") > 0).alias("largest"),
+    out = r.agg(
+        F.max_by("path", rank).alias("top"), best(F.col("churn"), small).alias("churned_small"), best(F.col("loc"), F.col("loc") > 0).alias("largest"),
         best(F.col("in_degree"), F.col("in_degree") > 0).alias("hub"),
     )
+    if "kinds" in relations:
+        fit = relations["kinds"].filter("kind = 'subsystem' AND file_count > 1")
+        out = out.join(F.broadcast(fit.agg(F.max_by("dir", F.struct("score", "dir")).alias("subsystem"))))
+    if repos is not None:
+        depth = F.size(F.split("root", "/"))
+        out = out.join(F.broadcast(repos.agg(F.sum("commit_count").alias("commits"), F.max_by("root", F.struct(depth, "root")).alias("deepest"))))
+    return out
+
+
+def overlay_steps(targets: DataFrame) -> DataFrame:
+    """The targets of :func:`overlay` as ordered steps (ordinal, target, path), those that there are."""
+    order = [c for c in ("top", "churned_small", "largest", "hub", "subsystem", "deepest") if c in targets.columns]
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("ordinal"), F.lit(c).alias("target"), F.col(c).alias("path")) for i, c in enumerate(order)])
+    return targets.select(F.explode(rows).alias("s")).select("s.*").filter("path IS NOT NULL")
 
 
 def merged(steps: DataFrame, meanings: DataFrame) -> DataFrame:
