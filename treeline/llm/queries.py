@@ -171,8 +171,31 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, substring(h, 2000 * k + 1, 2198) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM d)),
+w AS (
+  SELECT doc_id, 1000 * k + j AS i, md5_number(substring(p, 2 * j + 1, 200)) AS g
+  FROM (SELECT *, unnest(range(0, least(1000, length(p) // 2 - 99))) AS j FROM c)
+), f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+s AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f)
+), r AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM s GROUP BY doc_id, run),
+x AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM r GROUP BY doc_id),
+k AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM r
+  UNION ALL SELECT doc_id, max(hi), NULL FROM r GROUP BY doc_id
+), t AS (
+  SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN substring(h, 2 * a + 1) ELSE substring(h, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_repetition, op2_phrase_automata, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
     op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing)
 }
-SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL}
+SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL}
