@@ -13,8 +13,10 @@ element on the page or without.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -67,6 +69,8 @@ def blocks(html: str | None) -> tuple[list[str], list[int]]:
     if not html:
         return lines, kinds
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()  # how many of a name are open, and where the open blocks are: nothing is searched
+    where: list[int] = []
     piece: list[str] = []
     flagged = inside = 0
 
@@ -80,7 +84,10 @@ def blocks(html: str | None) -> tuple[list[str], list[int]]:
 
     def pop() -> None:
         nonlocal flagged, inside
-        _, bad, main = stack.pop()
+        name, bad, main = stack.pop()
+        opened[name] -= 1
+        if name in BLOCK:
+            where.pop()
         flagged -= bad
         inside -= main
 
@@ -97,28 +104,27 @@ def blocks(html: str | None) -> tuple[list[str], list[int]]:
         if tag in BLOCK:
             flush()
         if m["close"]:
-            if any(x[0] == tag for x in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     if stack[-1][0] in BLOCK:
                         flush()
                     pop()
                 pop()
         elif tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            if tag in BLOCK and stack:
-                for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        while len(stack) > i:
-                            pop()
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if tag in CONTENT or tag == "body":
+            if tag in BLOCK and where and stack[where[-1]][0] == "p":  # a block ends an open paragraph
+                at_p = where[-1]
+                while len(stack) > at_p:
+                    pop()
+            if flagged and (tag in CONTENT or tag == "body"):
                 for i, (name, bad, main) in enumerate(stack):
                     flagged -= bad
                     stack[i] = (name, False, main)
             bad = tag in SKIP
             if not bad and tag not in CONTENT and m["attrs"] and tag not in ("html", "body"):
                 bad = any(FURNITURE.search("".join(x)) for x in NAMED.findall(m["attrs"]))
+            if tag in BLOCK:
+                where.append(len(stack))
+            opened[tag] += 1
             stack.append((tag, bad, tag in CONTENT))
             flagged += bad
             inside += tag in CONTENT
@@ -131,7 +137,8 @@ def blocks(html: str | None) -> tuple[list[str], list[int]]:
 def shared(a: list[str], b: list[str]) -> list[bool]:
     """Which items of ``a`` lie on a longest common subsequence with ``b``.
 
-    Bit-parallel: one row of the alignment is one integer of ``len(b)`` bits.  Equal ends are cut off first.
+    Bit-parallel: one row of the alignment is one integer of ``len(b)`` bits.  Equal ends are cut off first.  Only
+    every so many rows are kept, about the square root, and those between are made again on the way back.
     """
     out = [False] * len(a)
     lo = 0
@@ -146,23 +153,33 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     for j in range(lo, hi_b):
         there[b[j]] = there.get(b[j], 0) | 1 << (j - lo)
     own = [i for i in range(lo, hi_a) if a[i] in there]
-    if own:
-        full = (1 << (hi_b - lo)) - 1
-        row, rows = full, []
-        for i in own:
+    if not own:
+        return out
+    full = (1 << (hi_b - lo)) - 1
+
+    def below(row: int, some: list[int]) -> Iterator[int]:
+        """Rows of the alignment after ``row``, one for each of the items."""
+        for i in some:
             match = row & there[a[i]]
             row = ((row + match) | (row - match)) & full
-            rows.append(row)
-        j = hi_b - lo
-        for k in range(len(own) - 1, -1, -1):
+            yield row
+
+    step = max(1, math.isqrt(len(own)))
+    starts, row = [full], full
+    for k in range(0, len(own), step):
+        for row in below(row, own[k : k + step]):  # noqa: B007
+            pass
+        starts.append(row)
+    j = hi_b - lo
+    for block in range((len(own) - 1) // step, -1, -1):
+        some = own[block * step : (block + 1) * step]
+        rows = [starts[block], *below(starts[block], some)]
+        for k in range(len(some), 0, -1):
             # a zero bit marks a step of the alignment; the item is used where its row makes a new one
-            now = ~rows[k] & ((1 << j) - 1)
-            before = ~rows[k - 1] & ((1 << j) - 1) if k else 0
+            now, before = (~rows[x] & ((1 << j) - 1) for x in (k, k - 1))
             if now.bit_count() > before.bit_count():
-                while not (there[a[own[k]]] >> (j - 1) & 1 and (~rows[k] & ((1 << j) - 1)).bit_count() > (~rows[k] & ((1 << (j - 1)) - 1)).bit_count()):
-                    j -= 1
-                out[own[k]] = True
-                j -= 1
+                out[some[k - 1]] = True
+                j = (now & there[a[some[k - 1]]]).bit_length() - 1  # the last step that the item makes
     return out
 
 
