@@ -120,17 +120,18 @@ def ratio(token: Column, table: Column, alphabet: str = ALPHABET) -> Column:
 
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", model: list[float] | None = None, min_chars: int = MIN_CHARS,
-    min_ratio: float = MIN_RATIO,
+    min_ratio: float = MIN_RATIO, out_name: str = "spans",
 ) -> DataFrame:
     """All columns of ``docs`` and ``spans array<struct<start, end, kind>>``, by start and then kind.
 
+    A column of ``docs`` with the result's name (``out_name``) gives way to it.
+
     Positions are code points of the whole text, ends exclusive.  A null or empty text has no spans (an empty
     array).  Spans of the fixed patterns always stay; a model's span is added unless
     one of them holds it whole, so the two may overlap.
     No shuffle; each regular expression runs only on texts that a cheap test lets through.
     """
-    if "spans" in docs.columns:
-        raise ValueError("docs has a column named spans")
+    docs = docs.drop(out_name)
     if model is None:
         model = train(docs.sparkSession)
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in model)), ",").cast("array<double>")
@@ -152,7 +153,7 @@ def scan(
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(F.concat(base, extra), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return out.withColumn("spans", spans).drop(*names)
+    return out.withColumn(out_name, spans).drop(*names)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
@@ -160,7 +161,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
 
     A null text stays null.  A text without spans is returned unchanged.
     """
-    found = scan(docs, key, text, **options)
+    found = scan(docs, key, text, out_name="__spans", **options)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -173,8 +174,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    masked = F.aggregate("spans", start, step, rest)
-    return found.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(F.col(text))).drop("spans")
+    masked = F.aggregate("__spans", start, step, rest)
+    return found.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))).drop("__spans")
 
 
 def joined(spans: Column) -> Column:
