@@ -234,8 +234,8 @@ def test_decontamination_of_replaced_words(spark):
 
 def test_shared_lines_are_longest():
     rng = random.Random(1)
-    for _ in range(400):
-        a, b = (rng.choices("abcd", k=rng.randint(0, 10)) for _ in range(2))
+    for n in range(600):
+        a, b = (rng.choices("abcdefgh"[: rng.randint(2, 8)], k=rng.randint(0, 10 if n < 500 else 60)) for _ in range(2))
         got = html.shared(a, b)
         d = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
         for i in range(len(a)):
@@ -506,3 +506,149 @@ def test_lm_of_any_layout(spark):
     one = {r["id"]: r["score"] for r in lm.score(df.coalesce(1), streams=8, replica_tokens=1000).collect()}
     for other in (df.repartition(7), df.orderBy(F.col("doc_id").desc())):
         assert {r["id"]: r["score"] for r in lm.score(other, streams=8, replica_tokens=1000).collect()} == one
+
+
+def test_extraction_query(spark, sf):
+    """The query on the whole table, with neighbours and alignments found plainly."""
+    from urllib.parse import urlsplit
+
+    from treeline.llm import queries as Q
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    def aligned(a, b):
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                d[i][j] = d[i + 1][j + 1] + 1 if a[i] == b[j] else max(d[i + 1][j], d[i][j + 1])
+        return d[0][0]
+
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    at = {i: (urlsplit(u or "").netloc.lower(), re.sub("/+$", "", urlsplit(u or "").path)) for i, u, _ in pages}
+    order = sorted(pages, key=lambda p: (*at[p[0]], p[1] or "", str(p[0])))
+    got = {r["page_id"]: r for r in Q.op3_page_differencing(spark, sf).collect()}
+    assert len(got) == len(pages)
+    partners = 0
+    for n, (i, u, h) in enumerate(order):
+        lines, kinds = html.blocks(h)
+        near = [order[k] for k in (n - 1, n + 1) if 0 <= k < len(order) and at[order[k][0]][0] == at[i][0]]
+        best = max(near, key=lambda p: common(at[p[0]][1], at[i][1]), default=None)
+        alike = html.shared(lines, html.blocks(best[2])[0]) if best else [False] * len(lines)
+        if best:
+            partners += 1
+            assert sum(alike) == aligned(lines, html.blocks(best[2])[0])
+        kept, gone = html.decide(lines, kinds, html.blocks(best[2])[0] if best else None)
+        assert (got[i]["text"], got[i]["n_chars"], got[i]["n_shared_lines"], got[i]["url"]) == ("\n\n".join(kept), len("\n\n".join(kept)), gone, u)
+    assert partners > len(pages) / 2
+
+
+def test_long_and_deep_pages():
+    """Thousands of open elements and stray end tags, and long pages with few and many equal lines."""
+    import time
+
+    began = time.time()
+    html.blocks("<b>" * 8000 + "</i>" * 8000)
+    html.blocks("<p>" + "<b>" * 4000 + "<div></div>" * 8000)
+    lines = [str(i % 3000) for i in range(20000)]
+    assert sum(html.shared(lines, lines[:9000] + ["x"] + lines[9001:])) == 19999
+    assert sum(html.shared(["x", *lines, "y"], [*lines[::-1], "y"])) > 1
+    assert time.time() - began < 20
+
+
+def test_decontamination_by_brute_force(spark):
+    """Every window of every item against every text: what lies within the edit budget is found, and nothing else."""
+
+    def near(pattern, text, edits):
+        row = list(range(len(pattern) + 1))  # edits to a part of the text that ends here
+        for c in text:
+            last, row = row, [0]
+            for i, p in enumerate(pattern):
+                row.append(min(last[i] + (p != c), last[i + 1] + 1, row[i] + 1))
+            if row[-1] <= edits:
+                return True
+        return False
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 12, 25])))) for i in range(6)] + [(6, "ok"), (7, "...")]
+    rows = []
+    for d in range(24):
+        body = [word() for _ in range(rng.randint(0, 30))]
+        if d % 2:
+            part = [word() if rng.random() < 0.12 else w for w in items[d % 6][1].split()]
+            body[len(body) // 2 : len(body) // 2] = part
+        rows.append((d, " ".join(body) + (" OK." if d == 5 else " okay")))
+    want = set()
+    for i, item in items:
+        raw = np.frombuffer(item.encode(), dtype=np.uint8)
+        folded = decontam.fold(raw, np.array([0, len(raw)]))[0].tobytes().decode().strip()
+        for d, text in rows:
+            t = " ".join(re.findall("[a-z0-9]+", text.lower()))
+            if 0 < len(folded) < decontam.Q:
+                hit = f" {folded} " in f" {t} "
+            else:
+                n = min(len(folded), decontam.WINDOW)
+                edits = min(int(decontam.EDIT_RATE * n + 1e-9), max(n - decontam.Q, 0) // decontam.Q)
+                starts = sorted({*range(0, len(folded) - n + 1, decontam.STRIDE), len(folded) - n}) if folded else []
+                hit = any(near(folded[s : s + n], t, edits) for s in starts)
+            want |= {(d, i)} if hit else set()
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.findings(df, bench).collect()} == want
+    assert {d for d, i in want if i < 6} >= {1} and (5, 6) in want
+    assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_decontamination_of_monotonous_texts(spark):
+    """A megabyte of one letter, and of one phrase, end in seconds, and are found."""
+    import time
+
+    bench = spark.createDataFrame([(1, "a" * 1000), (2, "abc def ghi " * 30)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a" * 1_000_000), (2, "abc def ghi " * 80_000), (3, "xyz " * 100)], "doc_id long, text string")
+    began = time.time()
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.findings(df, bench).collect()} == {(1, 1), (2, 2)}
+    assert time.time() - began < 60
+
+
+def test_secrets_query(spark, sf):
+    """The base columns on the whole table by Python's own patterns; the model's spans lie in runs of its characters."""
+    from treeline.llm import queries as Q
+
+    kinds = {
+        "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+        "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+"),
+    }
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in Q.op7_markov_secrets(spark, sf).collect():
+        text, want = texts[r["doc_id"]], []
+        for rank, (kind, pattern) in enumerate(kinds.items()):
+            for m in pattern.finditer(text):
+                if {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}[kind](m):
+                    want.append((m.start(), rank, m.end(), kind))
+        want.sort()
+        told = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w[3] == k for w in want) for k in kinds)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [":".join(x) for x in spans if x[0] != "markov"] == [x for x in told.split(",") if x]
+        for kind, s, e in spans:
+            if kind == "markov":
+                assert re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", text[int(s) : int(e)])
+
+
+def test_pipeline_of_odd_tables(spark, odd_docs, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table through all stages."""
+    import corpus_pipeline
+
+    docs = odd_docs.withColumn("spans", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for n, df in enumerate((docs, docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        at = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns, name
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{n}").count() == at.count()
+        assert at.count() == 0 if n else at.count() > 0
