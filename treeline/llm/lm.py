@@ -5,9 +5,10 @@ earlier tokens of the document, the class of the next token and then the token w
 class-factored softmax); classes hold words of like frequency.  Words outside the shortlist enter and are
 predicted as one of many buckets, by their hash; a bucket's words are told apart by their smoothed counts, so
 every text has a probability.  Buckets grow with the vocabulary, by its square root.  Training is by truncated
-backpropagation: the state is carried from window to window, gradients stay inside one.  Every task trains a
-replica on its documents, and replicas are averaged by tokens seen, for each of a few rounds.  Scoring
-carries the state through the whole document.
+backpropagation: the state is carried from window to window, gradients stay inside one.  Documents are dealt to
+replicas by a hash of their id; each trains on its documents in the ids' order, and replicas are averaged by
+tokens seen, for each of a few rounds, so the layout of the input doesn't change a score.  Scoring carries the
+state through the whole document.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ from treeline.llm import common as C
 HIDDEN, CLASSES, PER_CLASS, WINDOW, STREAMS, RATE, ROUNDS = 16, 32, 32, 16, 512, 0.1, 2
 #: Each round trains on one in so many training documents, chosen by a hash of the id: with as many rounds, on each once.
 SHARE = 2
+#: Training tokens for each replica: documents are dealt to replicas by a hash of the id, whatever the partitions.
+REPLICA_TOKENS = 4_000_000
+#: A window of few documents is up to so many times longer.
+LONGEST = 4
+_POINT = 1 << 16  # replicas are summed in whole numbers, so that the order of the sum tells nothing
 #: Words up to which the count table goes to the workers whole (16 bytes each); beyond, it is joined.
 BROADCAST_WORDS = 8_000_000
 END = 0x5EED_0E4D_0000_0001
@@ -162,39 +168,45 @@ class Network:
 
     def output(self, h: np.ndarray, token: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of ``token`` after states ``h``; with ``grads``, the states' gradients."""
-        cls, word = token // self.per_class, token % self.per_class
-        every = np.arange(len(token))
-        logits = h @ self.to_class + self.class_bias
-        logits -= logits.max(1, keepdims=True)
-        prob = np.exp(logits)
-        total = prob.sum(1, keepdims=True)
-        out = logits[every, cls] - np.log(total[:, 0])
+        n, every = len(token), np.arange(len(token))
+        cls = (token // self.per_class).astype(np.int16)
+        # classes lie along the first axis, so that sums over them run along whole rows
+        logits = self.to_class.T @ h.T + self.class_bias[:, None]
+        logits -= logits.max(0)
+        chosen = logits[cls, every]
+        prob = np.exp(logits, out=logits)
+        total = prob.sum(0)
+        out = chosen - np.log(total)
         back = None
         if grads is not None:
             prob /= total
-            prob[every, cls] -= 1
-            grads.to_class += h.T @ prob
-            grads.class_bias += prob.sum(0)
-            back = prob @ self.to_class.T
+            prob[cls, every] -= 1
+            grads.to_class += (prob @ h).T
+            grads.class_bias += prob.sum(1)
+            back = (self.to_class @ prob).T
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
-                continue
-            part, inside = h[at], word[at]
-            logits = part @ self.to_word[c] + self.word_bias[c]
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
-            total = prob.sum(1, keepdims=True)
-            few = np.arange(len(at))
-            out[at] += logits[few, inside] - np.log(total[:, 0])
+        states, words = h[order], (token % self.per_class)[order]
+        inside, deep = np.empty(n, dtype=out.dtype), np.empty_like(states)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            at = slice(edges[c], edges[c + 1])
+            part, word = states[at], words[at]
+            few = every[: len(word)]
+            logits = self.to_word[c].T @ part.T + self.word_bias[c][:, None]
+            logits -= logits.max(0)
+            chosen = logits[word, few]
+            prob = np.exp(logits, out=logits)
+            total = prob.sum(0)
+            inside[at] = chosen - np.log(total)
             if grads is not None:
                 prob /= total
-                prob[few, inside] -= 1
-                grads.to_word[c] += part.T @ prob
-                grads.word_bias[c] += prob.sum(0)
-                back[at] += prob @ self.to_word[c].T
+                prob[word, few] -= 1
+                grads.to_word[c] += (prob @ part).T
+                grads.word_bias[c] += prob.sum(1)
+                deep[at] = (self.to_word[c] @ prob).T
+        out[order] += inside
+        if grads is not None:
+            back[order] += deep
         return out, back
 
     def window(self, x: np.ndarray, h: np.ndarray, lengths: np.ndarray, grads: Network) -> np.ndarray:
@@ -253,11 +265,14 @@ def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate:
         for i, p in enumerate(group):
             x[: len(p), i] = p
         h = np.zeros((len(group), net.hidden), dtype=np.float32)
-        for t in range(0, size[0], window):
+        t = 0
+        while t < size[0]:
             n = int(np.searchsorted(-size, -t, "left"))
-            here = np.minimum(size[:n] - t, window)
+            span = min(max(streams * window // (2 * n), window), LONGEST * window)  # a window of few documents is longer
+            here = np.minimum(size[:n] - t, span)
             grads = Network(net.hidden, net.classes, net.per_class, np.zeros_like(net.weights))
-            h = net.window(x[t : t + window, :n], h[:n], here, grads)
+            h = net.window(x[t : t + span, :n], h[:n], here, grads)
+            t += span
             count = int(here.sum())
             step = grads.weights / max(count, 64)
             square += step * step
@@ -296,48 +311,61 @@ def log_probability(net: Network, flat: np.ndarray, at: np.ndarray, block: int =
     return result
 
 
-def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, streams: int = STREAMS, rate: float = RATE) -> Network:
+def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, replicas: int, streams: int = STREAMS, rate: float = RATE) -> Network:
     """Trains on ``texts`` (``id``, ``text``): each round, one in ``share`` rows, by a hash of the id."""
     classes = len(short.counts) // PER_CLASS
     net = Network.fresh(HIDDEN, classes, PER_CLASS, short.counts)
     bucket = F.pmod(F.xxhash64("id"), F.lit(share))
+    replica = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(replicas)).alias("replica")
     for k in range(rounds):
         start = net.weights.copy()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own = Network(HIDDEN, classes, PER_CLASS, start.copy())
-            docs: list[np.ndarray] = []
-            held = seen = 0
-            for batch in batches:
-                for _, _, buf, off in C.slices(batch.column(0)):
-                    token, at = tokens(buf, off)
-                    unique, where = np.unique(token, return_inverse=True)
-                    number = short.number(unique)[where]
-                    docs += [number[at[i] : at[i + 1]] for i in range(len(off) - 1)]
-                    held += len(number)
-                    if held > 4_000_000:
-                        seen += train(own, docs, WINDOW, streams, rate)
-                        docs, held = [], 0
-            if docs:
-                seen += train(own, docs, WINDOW, streams, rate)
-            if seen:
-                value = own.weights.astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(value))), pa.array(value), pa.array(np.full(len(value), float(seen)))], names=["k", "x", "w"]
-                )
+            own, docs, held, seen, now = Network(HIDDEN, classes, PER_CLASS, start.copy()), [], 0, 0, None
 
-        part = texts.filter(bucket == k % share).select("text").mapInArrow(run, "k long, x double, w double")
-        rows = part.groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+            def learn() -> None:
+                nonlocal docs, held, seen
+                seen += train(own, docs, WINDOW, streams, rate) if docs else 0
+                docs, held = [], 0
+
+            def result() -> Iterator[pa.RecordBatch]:
+                learn()
+                if seen:
+                    value = np.rint(own.weights.astype(np.float64) * seen * _POINT).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(len(value))), pa.array(value), pa.array(np.full(len(value), seen))], names=["k", "x", "w"]
+                    )
+
+            for batch in batches:
+                which = batch.column(0).to_numpy()
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]])
+                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    if s < e and which[s] != now:
+                        yield from result()
+                        own, seen, now = Network(HIDDEN, classes, PER_CLASS, start.copy()), 0, which[s]
+                    for _, _, buf, off in C.slices(batch.column(1).slice(s, e - s)):
+                        token, at = tokens(buf, off)
+                        unique, where = np.unique(token, return_inverse=True)
+                        number = short.number(unique)[where]
+                        docs += [number[at[i] : at[i + 1]] for i in range(len(off) - 1)]
+                        held += len(number)
+                        if held > REPLICA_TOKENS:
+                            learn()
+            yield from result()
+
+        part = texts.filter(bucket == k % share).select(replica, "id", "text").repartition(replicas, "replica").sortWithinPartitions("replica", "id", "text")
+        sums = part.select("replica", "text").mapInArrow(run, "k long, x long, w long").groupBy("k").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
+        rows = sums.toArrow()
         if rows.num_rows:
             weights = np.zeros(len(start), dtype=np.float32)
-            weights[rows["k"].to_numpy()] = rows["x"].to_numpy()
+            weights[rows["k"].to_numpy()] = rows["x"].to_numpy() / (rows["w"].to_numpy() * float(_POINT))
             net = Network(HIDDEN, classes, PER_CLASS, weights)
     return net
 
 
 def score(
     docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE, streams: int = STREAMS,
-    broadcast_words: int = BROADCAST_WORDS,
+    broadcast_words: int = BROADCAST_WORDS, replica_tokens: int = REPLICA_TOKENS,
 ) -> DataFrame:
     """One row per document: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -349,7 +377,7 @@ def score(
     counts = C.cut(count_tokens(training))
     total, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = shortlist(counts, CLASSES, PER_CLASS, words)
-    net = fit(training, short, rounds, share, streams)
+    net = fit(training, short, rounds, share, max(1, -(-total // replica_tokens)), streams)
     weights = net.weights
     kind = docs.schema[key].dataType.simpleString()
     scale = total + SMOOTH * (words + 1)
@@ -432,7 +460,7 @@ def _joined(plain: DataFrame, counts: DataFrame, run, kind: str, schema: str, sh
                     names=["id", "row", "words", "times", "mass"],
                 )
 
-    marked = plain.withColumn("row", F.monotonically_increasing_id())
+    marked = C.cut(plain.withColumn("row", F.monotonically_increasing_id()))
     scored = C.cut(
         marked.select("id", "text", "row").mapInArrow(_with_row(run), f"id {kind}, {schema}, row long")
     )
