@@ -79,20 +79,23 @@ def contracted(edge: DataFrame, owners: DataFrame) -> DataFrame:
 def ripple(moved: DataFrame, edge: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``path``, ``hop``: who imports the moved paths, who imports those, and so on; each at its least hop.
 
-    An action per hop: the frontier meets the edges, and what was seen drops out.  Rounds are kept by
-    checkpoint, so neither the plan nor the lineage grows.
+    The edges are kept once, dealt by what they point at.  One job a hop: the frontier meets the edges, and what was
+    seen drops out.  Every round is kept by checkpoint, so neither the plan nor the lineage grows.
     """
     from treeline.plans.session import kept
 
-    seen = kept(moved.select("path").distinct().withColumn("hop", F.lit(0).cast("long")))
-    frontier, hop = seen, 0
+    edge = kept(edge.select("from", "to").repartition("to"))
+    frontier = kept(moved.select("path").distinct().withColumn("hop", F.lit(0).cast("long")))
+    seen, hop = frontier, 0
     while max_hops is None or hop < max_hops:
         hop += 1
         reached = edge.join(frontier.select(F.col("path").alias("to")), "to").select(F.col("from").alias("path")).distinct()
         frontier = kept(reached.join(seen, "path", "left_anti").withColumn("hop", F.lit(hop).cast("long")))
         if frontier.isEmpty():
             break
-        seen = kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if hop % 8 == 0:
+            seen = kept(seen)
     return seen.filter("hop > 0")
 
 

@@ -101,6 +101,7 @@ def budgeted(rows: DataFrame, by: list[str], order: list, size: str, budget: int
     flag = F.coalesce(F.col(free), F.lit(False)) if free else F.lit(False)
     marked = rows.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__free": flag})
     ordered = marked.repartition(*by).sortWithinPartitions(*by, *order)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used = None, 0
@@ -112,7 +113,7 @@ def budgeted(rows: DataFrame, by: list[str], order: list, size: str, budget: int
                     now, used = key, 0
                 fits.append(always or used + n <= budget)
                 used += n if fits[-1] and not always else 0
-            yield batch.filter(pa.array(fits)).select(rows.columns)
+            yield batch.filter(pa.array(fits)).select(names)
 
     return ordered.mapInArrow(run, rows.schema)
 

@@ -34,7 +34,7 @@ def score(files: DataFrame, churn: DataFrame, degree: DataFrame) -> DataFrame:
     joined to every row, so ranking isn't a window over the whole table.
     """
     joined = files.join(churn, "path", "left").join(degree, "path", "left")
-    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("churn", "in_degree")})
+    joined = kept(joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("churn", "in_degree")}))  # read twice below
     cols = {"churn_part": "churn", "degree_part": "in_degree", "size_part": "loc"}
     most = joined.agg(*[F.max(_logged(F.col(c))).alias(f"max_{c}") for c in cols.values()])
     part = lambda c: F.when(F.coalesce(F.col(f"max_{c}"), F.lit(0.0)) == 0, 0.0).otherwise(_logged(F.col(c)) / F.col(f"max_{c}"))
@@ -60,10 +60,9 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFr
 
 def deep_slice(ranked: DataFrame, key: str = "path") -> DataFrame:
     """Rows of score above 0: the first 15 %, and all of 0.30 or more, with their rank."""
-    alive = ranked.filter("score > 0")
-    sums = alive.agg(F.count("*").alias("n"), F.count_if(F.col("score") >= LEAST_SCORE).alias("hits"))
+    placed = numbered(ranked.filter("score > 0"), [F.col("score").desc(), F.col(key)])
+    sums = placed.agg(F.count("*").alias("n"), F.count_if(F.col("score") >= LEAST_SCORE).alias("hits"))
     cut = sums.select(F.greatest(F.ceil(F.col("n") * SLICE), F.col("hits")).alias("keep"))
-    placed = numbered(alive, [F.col("score").desc(), F.col(key)])
     return placed.join(F.broadcast(cut)).filter("rank <= keep").drop("keep")
 
 

@@ -518,28 +518,3 @@ def dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumns({"half": F.floor(F.col("k") / 2), "third": F.floor(F.col("k") / 3)})
     need = p.select("chapter", F.col("node").alias("from"), F.explode(F.array(text_of("half"), text_of("third"))).alias("to"))
     return O.dependency_order(p.select("chapter", "node", F.col("p_type").alias("tie")), need)
-
-
-CLAIMLESS = ", ".join(f"'{w}'" for w in sorted(D.CLAIMLESS))
-
-
-@query(rf"""WITH {DOCS}, v AS (SELECT doc_id, text, list_distinct(list_concat(['thandat', 'onTheHeon', 'ontheheon', 'the', 'heon'], regexp_extract_all(lower(text), '[a-z]+'))) AS vocab FROM d),
-w AS (SELECT doc_id, [x for x in vocab if length(x) > 2] AS vocab, unnest([text, replace(text, 'and', 'handles')]) AS body, unnest([1, 2]) AS side FROM v),
-t AS (SELECT doc_id, side, vocab, [x for x in list_distinct(regexp_split_to_array(body, '[^A-Za-z0-9_]+')) if x <> ''] AS tokens,
-  [x for x in [trim(lower(y), '-') for y in regexp_split_to_array(body, '[^A-Za-z0-9_-]+')] if length(x) > 2 AND regexp_full_match(x, '[a-z-]+')] AS words FROM w),
-i AS (SELECT *, list_distinct([lower(x) for x in tokens if regexp_full_match(x, '[a-z]+([A-Z][a-z0-9]*)+') OR regexp_full_match(x, '[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+')
-  OR regexp_full_match(x, '[a-z0-9]+_[a-z0-9_]+') OR regexp_full_match(x, '[a-z][A-Za-z]*[A-Z][A-Za-z0-9]*') OR lower(x) IN ('thandat', 'ontheheon')]) AS ids FROM t),
-k AS (SELECT *, [x for x in words if x NOT IN ({CLAIMLESS}) AND NOT list_contains(ids, x)] AS told FROM i),
-g AS (SELECT *, [x for x in told if list_contains(vocab, x)] AS ground FROM k),
-c AS (SELECT doc_id, side, ids, list_distinct(ground) AS grounded, list_distinct([x for x in told if NOT list_contains(vocab, x)]) AS prose,
-  list_distinct(list_transform(range(1, len(ground)), lambda j: ground[j] || ' ' || ground[j + 1])) AS pairs FROM g),
-j AS (SELECT a.doc_id, list_transform([{{'w': 0.40, 'x': a.ids, 'y': b.ids}}, {{'w': 0.35, 'x': a.grounded, 'y': b.grounded}}, {{'w': 0.15, 'x': a.pairs, 'y': b.pairs}}, {{'w': 0.10, 'x': a.prose, 'y': b.prose}}],
-  lambda z: {{'w': CASE WHEN len(z.x) + len(z.y) > 0 THEN z.w ELSE 0 END::DOUBLE, 'd': CASE WHEN len(z.x) + len(z.y) > 0 THEN 1 - len(list_intersect(z.x, z.y))::DOUBLE / len(list_distinct(list_concat(z.x, z.y))) ELSE 0 END}}) AS q
-  FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.side = 1 AND b.side = 2)
-SELECT doc_id, CASE WHEN list_sum([z.w for z in q]) = 0 THEN 0 ELSE round(least(list_sum([z.w * z.d for z in q]) / list_sum([z.w for z in q]), 1), 9) END AS distance FROM j""")
-def meaning_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).withColumn("names", F.array(F.lit("thandat"), F.lit("onTheHeon")))
-    d = d.withColumn("vocab", D.vocabulary(F.concat("names", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))))
-    d = D.add_claims(d, "before", F.col("text"), F.col("names"), F.col("vocab"))
-    d = D.add_claims(d, "after", F.replace("text", F.lit("and"), F.lit("handles")), F.col("names"), F.col("vocab"))
-    return d.select("doc_id", F.round(D.meaning_distance(F.col("before"), F.col("after")), 9).alias("distance"))
