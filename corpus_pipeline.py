@@ -16,28 +16,33 @@ from treeline.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go: those of few words (none, if the text is null) are among them."""
     return repetition.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, by shingles of five words and a similarity of 0.8."""
+    """One document of each group stays, by shingles of five words and a similarity of 0.8; repeated rows are copies."""
     return neardup.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; a null text holds none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays, and ``n_chars`` follows the text."""
+    """Secrets are replaced by a mark; every document stays, and ``n_chars``, where there is one, follows the text.
+
+    A null text stays null.
+    """
     masked = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked.select(docs.columns)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket and batch."""
+    """Each document's length bucket and batch; a null text has length 0."""
     return packing.pack(docs)
 
 
@@ -54,11 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is written to the shared folder and read again, and removed when the
+    next one is there.  The last one's stays, as the rows returned are read from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{at}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
