@@ -478,6 +478,8 @@ def test_pipeline(spark, sf):
     clean = [(i, t) for i, t in kept if not any(b in fold(t) for b in bench)]
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == {i for i, _ in clean}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(clean, "doc_id long, text string")).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: len(WORD.findall(t or "")) for i, t in masked.items()}
     assert len(clean) < len(kept) < len(docs)
 
 
