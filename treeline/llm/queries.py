@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, decontam, html, lm, neardup, packing, phrases, repetition, secrets, suffixes
+from treeline.llm import chat, decontam, html, licenses, lm, neardup, packing, phrases, repetition, secrets, suffixes
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -75,6 +75,17 @@ def op10_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("licenses.found")
+    base = F.filter(found, lambda d: d["rank"] == 0)
+    starts = F.transform(base, lambda d: d["start"].cast("long"))
+    return done.select(
+        "doc_id", "licenses.n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels(base).alias("base_labels"), licenses.labels(found).alias("labels"), licenses.sureness(found).alias("score"),
+    )
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -194,8 +205,38 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_remo
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+#: Every rule on every text, whatever its keywords, and containment told pair by pair.
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '{licenses.NO_WORD}', '  ', 'g') AS p FROM documents
+), r(rule, rank, sure, label, pattern) AS (
+  VALUES {", ".join(f"({r.rule}, {r.rank}, {licenses.SURE[r.rank]}::DOUBLE, '{r.label}', '{r.pattern}')" for r in licenses.rules())}
+), m AS (
+  SELECT doc_id, rule, rank, sure, label, unnest(regexp_extract_all(p, pattern)) AS hit, unnest(string_split_regex(p, pattern)) AS gap,
+    generate_subscripts(string_split_regex(p, pattern), 1) AS k
+  FROM d, r WHERE regexp_matches(p, pattern)
+), w AS (
+  SELECT *, (length(gap) - length(replace(gap, ' ', ''))) // 2 AS before, (length(hit) - length(replace(hit, ' ', ''))) // 2 AS long FROM m
+), s AS (
+  SELECT doc_id, rule, rank, sure, label, hit, long, sum(before + coalesce(long, 0)) OVER (PARTITION BY doc_id, rule ORDER BY k) - coalesce(long, 0) AS lo FROM w
+), f AS (SELECT doc_id, rule, rank, sure, label, lo, lo + long AS hi FROM s WHERE hit IS NOT NULL),
+kept AS (
+  SELECT * FROM f WHERE rank = 0 OR NOT EXISTS (
+    SELECT 1 FROM f e WHERE e.doc_id = f.doc_id AND e.lo <= f.lo AND e.hi >= f.hi AND e.rank <= f.rank
+      AND (e.lo < f.lo OR e.hi > f.hi OR e.rank < f.rank OR e.rule < f.rule)
+  )
+), g AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_base, min(lo) FILTER (rank = 0) AS first_word, max(lo) FILTER (rank = 0) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (rank = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, len(regexp_extract_all(p, '[^ ]+'))::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_repetition, op2_phrase_automata, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
-    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing)
+    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing, op11_license_rules)
 }
-SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL}
+SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL, "op11_license_rules": OP11_SQL}
