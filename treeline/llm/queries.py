@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, decontam, html, licenses, lm, neardup, packing, phrases, repetition, secrets, suffixes
+from treeline.llm import chat, decontam, html, licenses, lm, neardup, packing, phrases, repetition, secrets, suffixes, whitening
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -86,6 +86,10 @@ def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -237,6 +241,6 @@ FROM d LEFT JOIN g USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_repetition, op2_phrase_automata, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
-    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing, op11_license_rules)
+    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing, op11_license_rules, op12_embedding_whitening)
 }
 SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL, "op11_license_rules": OP11_SQL}
