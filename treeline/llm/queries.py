@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, decontam, html, licenses, lm, neardup, packing, phrases, repetition, secrets, suffixes, whitening
+from treeline.llm import chat, decontam, html, licenses, lm, merkle, neardup, packing, phrases, repetition, secrets, suffixes, whitening
 from treeline.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -90,6 +90,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    altered = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": altered}).withColumnRenamed("id", "doc_id")
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -239,8 +245,52 @@ SELECT doc_id, len(regexp_extract_all(p, '[^ ]+'))::BIGINT AS n_words, coalesce(
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a // 2, 3988292384 * (a % 2)))))"""
+
+#: Level by level; ``a_`` are the trees of the groups, ``b_`` the one over their roots.
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_FIELDS} AS head, text, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM documents
+), leaf AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS h,
+    sha256(head || CASE WHEN now IS NULL THEN '-' ELSE strlen(now) || ':' || now END) AS other FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM leaf
+), a_node AS (
+  SELECT source, 0 AS lvl, pos, size, h FROM l
+  UNION ALL
+  SELECT source, any_value(lvl) + 1, pos // 3, (any_value(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM a_node WHERE size > 1 GROUP BY source, pos // 3
+), t AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM a_node WHERE size = 1),
+b_node AS (
+  SELECT 0 AS lvl, pos, size, h FROM t
+  UNION ALL
+  SELECT any_value(lvl) + 1, pos // 3, (any_value(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM b_node WHERE size > 1 GROUP BY pos // 3
+), a_side AS (
+  SELECT source, lvl, pos, coalesce(string_agg(s, '' ORDER BY nth) FILTER (nth < pos), '') AS lo, coalesce(string_agg(s, '' ORDER BY nth) FILTER (nth > pos), '') AS hi
+  FROM (SELECT x.source, x.lvl, x.pos, y.pos AS nth, y.h AS s FROM a_node x JOIN a_node y
+    ON x.source IS NOT DISTINCT FROM y.source AND x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.size > 1) GROUP BY ALL
+), b_side AS (
+  SELECT lvl, pos, coalesce(string_agg(s, '' ORDER BY nth) FILTER (nth < pos), '') AS lo, coalesce(string_agg(s, '' ORDER BY nth) FILTER (nth > pos), '') AS hi
+  FROM (SELECT x.lvl, x.pos, y.pos AS nth, y.h AS s FROM b_node x JOIN b_node y ON x.lvl = y.lvl AND x.pos // 3 = y.pos // 3 WHERE x.size > 1) GROUP BY ALL
+), a_walk AS (
+  SELECT doc_id, source, h AS leaf, 0 AS lvl, pos, size, other AS h, '' AS proof FROM l
+  UNION ALL
+  SELECT doc_id, w.source, leaf, w.lvl + 1, w.pos // 3, (size + 2) // 3, sha256(lo || h || hi), proof || lo || hi
+  FROM a_walk w JOIN a_side s ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl AND w.pos = s.pos WHERE size > 1
+), b_walk AS (
+  SELECT doc_id, leaf, t.h AS subroot, 0 AS lvl, t.pos, t.size, w.h, proof FROM a_walk w JOIN t ON w.source IS NOT DISTINCT FROM t.source WHERE w.size = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, w.lvl + 1, w.pos // 3, (size + 2) // 3, sha256(lo || h || hi), proof || lo || hi
+  FROM b_walk w JOIN b_side s ON w.lvl = s.lvl AND w.pos = s.pos WHERE size > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM b_walk, (SELECT h AS root FROM b_node WHERE size = 1) WHERE size = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_repetition, op2_phrase_automata, op3_page_differencing, op4_qgram_decontamination, op5_odd_sketch_neardup,
-    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing, op11_license_rules, op12_embedding_whitening)
+    op6_chat_format, op7_markov_secrets, op8_suffix_index, op9_gated_lm, op10_bucket_packing, op11_license_rules, op12_embedding_whitening, op13_merkle_manifest)
 }
-SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL, "op11_license_rules": OP11_SQL}
+SQL: dict[str, str] = {"op1_suffix_repetition": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op5_odd_sketch_neardup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_suffix_index": OP8_SQL, "op11_license_rules": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
