@@ -20,69 +20,69 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Label; keywords (every mention has all words of one of them); names; versions; whether a name tells a license by itself.
-#: In names and passages, ``a|b`` is either word, ``a?`` a word that may lack, ``*3`` up to three words of any kind.
+#: Label; keywords (every mention has all words of one of them); names; versions.
+#: A name that ends in ``!`` needs no "license" behind it.  In names and passages, ``a|b`` is either word, ``a?`` a word that may lack, ``*3`` up to three words of any kind.
 FAMILIES = (
-    ("mit", "mit license|mit licence|expat", "mit|expat", "", False),
-    ("mit-0", "mit no|mit 0", "mit no attribution|0", "", False),
-    ("x11", "x11 license|x11 licence", "x11", "", False),
-    ("apache", "apache license|apache licence|apache software", "apache software?", "1.0 1.1 2.0", False),
-    ("gpl", "general public|gpl", "gnu? general public/gnu? gpl", "1.0 2.0 3.0", True),
-    ("lgpl", "lesser general|library general|lgpl", "gnu? lesser|library general public/gnu? lgpl", "2.0 2.1 3.0", True),
-    ("agpl", "affero general|agpl", "gnu? affero general public/gnu? agpl", "1.0 3.0", True),
-    ("gfdl", "free documentation|gfdl|fdl", "gnu? free documentation/gfdl/gnu fdl", "1.1 1.2 1.3", False),
-    ("mpl", "mozilla public|mpl", "mozilla public/mpl", "1.0 1.1 2.0", False),
-    ("epl", "eclipse public|epl", "eclipse public/epl", "1.0 2.0", False),
-    ("cddl", "cddl|common development", "common development and distribution/cddl", "1.0 1.1", False),
-    ("cpl", "cpl|common public", "common public/cpl", "1.0", False),
-    ("cpal", "cpal|common public", "common public attribution/cpal", "1.0", False),
-    ("eupl", "eupl|european union", "european union public/eupl", "1.0 1.1 1.2", False),
-    ("bsd", "bsd", "bsd", "", False),
-    ("bsd-2-clause", "bsd", "bsd 2|two clause/simplified bsd/freebsd/2|two clause bsd", "", False),
-    ("bsd-3-clause", "bsd", "bsd 3|three clause/new|modified|revised bsd/3|three clause bsd", "", False),
-    ("bsd-4-clause", "bsd", "bsd 4|four clause/original bsd/4|four clause bsd", "", False),
-    ("0bsd", "bsd", "0bsd/zero clause bsd/bsd zero clause", "", False),
-    ("isc", "isc license|isc licence", "isc", "", False),
-    ("zlib", "zlib", "zlib/zlib libpng", "", False),
-    ("libpng", "libpng", "libpng", "2.0", False),
-    ("bsl", "boost software|bsl", "boost software/bsl", "1.0", False),
-    ("busl", "business source|busl", "business source/busl", "1.1", False),
-    ("artistic", "artistic license|artistic licence", "artistic/perl artistic", "1.0 2.0", False),
-    ("afl", "academic free|afl", "academic free/afl", "1.1 1.2 2.0 2.1 3.0", False),
-    ("osl", "open software|osl", "open software/osl", "1.0 1.1 2.0 2.1 3.0", False),
-    ("ecl", "educational community|ecl", "educational community/ecl", "1.0 2.0", False),
-    ("ofl", "ofl|open font", "sil open font/ofl/open font", "1.0 1.1", False),
-    ("ms-pl", "microsoft public|ms pl", "microsoft public/ms pl", "", False),
-    ("ms-rl", "microsoft reciprocal|ms rl", "microsoft reciprocal/ms rl", "", False),
-    ("python", "python license|python licence|python software|psf", "python software foundation/psf/python", "2.0", False),
-    ("php", "php license|php licence", "php", "3.0 3.01", False),
-    ("ruby", "ruby license|ruby licence", "ruby", "", False),
-    ("vim", "vim license|vim licence", "vim", "", False),
-    ("openssl", "openssl", "openssl", "", False),
-    ("unicode", "unicode license|unicode licence", "unicode", "", False),
-    ("postgresql", "postgresql", "postgresql", "", False),
-    ("ncsa", "ncsa", "university of illinois ncsa open? source?/ncsa", "", False),
-    ("w3c", "w3c", "w3c software? and? document? notice? and?", "", False),
-    ("curl", "curl license|curl licence", "curl", "", False),
-    ("wtfpl", "wtfpl", "wtfpl", "", True),
-    ("unlicense", "unlicense", "unlicense", "", True),
-    ("public-domain", "public domain", "public domain dedication|mark?", "", False),
-    ("odbl", "odbl|open database", "open database/odc? odbl", "1.0", False),
-    ("odc-by", "odc by|data commons", "open data commons attribution/odc by", "1.0", False),
-    ("pddl", "pddl", "pddl/odc pddl", "1.0", False),
-    ("sspl", "server side|sspl", "server side public/sspl", "1.0", False),
-    ("elastic", "elastic license|elastic licence", "elastic", "1.0 2.0", False),
-    ("polyform", "polyform", "polyform noncommercial|strict|shield|perimeter", "1.0", False),
-    ("cecill", "cecill", "cecill", "1.0 2.0 2.1", True),
-    ("ogl", "ogl|open government", "open government/ogl", "1.0 2.0 3.0", False),
-    ("openrail", "openrail|bigscience", "openrail m?/bigscience rail", "", True),
-    ("cc0", "cc0|commons zero", "cc0/creative commons cc0/creative commons zero", "1.0", True),
-    ("cc-by", "cc by|commons attribution", "cc by/creative commons attribution", "1.0 2.0 2.5 3.0 4.0", True),
-    ("cc-by-sa", "cc by|commons attribution", "cc by sa/creative commons attribution share? sharealike|alike", "1.0 2.0 2.5 3.0 4.0", True),
-    ("cc-by-nd", "cc by|commons attribution", "cc by nd/creative commons attribution no? noderivs|noderivatives|derivatives|derivs", "2.0 3.0 4.0", True),
-    ("cc-by-nc", "cc by|commons attribution", "cc by nc/creative commons attribution non? noncommercial|commercial", "1.0 2.0 3.0 4.0", True),
-    ("cc-by-nc-sa", "cc by|commons attribution", "cc by nc sa/creative commons attribution non? noncommercial|commercial share? sharealike|alike", "1.0 2.0 3.0 4.0", True),
-    ("cc-by-nc-nd", "cc by|commons attribution", "cc by nc nd/creative commons attribution non? noncommercial|commercial no? noderivs|noderivatives|derivatives|derivs", "2.0 3.0 4.0", True),
+    ("mit", "mit license|mit licence|expat", "mit|expat", ""),
+    ("mit-0", "mit no|mit 0", "mit no attribution|0", ""),
+    ("x11", "x11 license|x11 licence", "x11", ""),
+    ("apache", "apache license|apache licence|apache software", "apache software?", "1.0 1.1 2.0"),
+    ("gpl", "general public|gpl", "gnu? general public/gnu? gpl!", "1.0 2.0 3.0"),
+    ("lgpl", "lesser general|library general|lgpl", "gnu? lesser|library general public/gnu? lgpl!", "2.0 2.1 3.0"),
+    ("agpl", "affero general|agpl", "gnu? affero general public/gnu? agpl!", "1.0 3.0"),
+    ("gfdl", "free documentation|gfdl|fdl", "gnu? free documentation/gfdl!/gnu fdl!", "1.1 1.2 1.3"),
+    ("mpl", "mozilla public|mpl", "mozilla public/mpl!", "1.0 1.1 2.0"),
+    ("epl", "eclipse public|epl", "eclipse public/epl!", "1.0 2.0"),
+    ("cddl", "cddl|common development", "common development and distribution/cddl!", "1.0 1.1"),
+    ("cpl", "cpl|common public", "common public/cpl", "1.0"),
+    ("cpal", "cpal|common public", "common public attribution/cpal", "1.0"),
+    ("eupl", "eupl|european union", "european union public/eupl!", "1.0 1.1 1.2"),
+    ("bsd", "bsd", "bsd", ""),
+    ("bsd-2-clause", "bsd|freebsd", "bsd 2|two clause!/simplified bsd!/freebsd/2|two clause bsd!", ""),
+    ("bsd-3-clause", "bsd", "bsd 3|three clause!/new|modified|revised bsd/3|three clause bsd!", ""),
+    ("bsd-4-clause", "bsd", "bsd 4|four clause!/original bsd/4|four clause bsd!", ""),
+    ("0bsd", "bsd|0bsd", "0bsd!/zero clause bsd!/bsd zero clause!", ""),
+    ("isc", "isc license|isc licence", "isc", ""),
+    ("zlib", "zlib", "zlib/zlib libpng", ""),
+    ("libpng", "libpng", "libpng", "2.0"),
+    ("bsl", "boost software|bsl", "boost software/bsl", "1.0"),
+    ("busl", "business source|busl", "business source/busl!", "1.1"),
+    ("artistic", "artistic license|artistic licence", "artistic/perl artistic", "1.0 2.0"),
+    ("afl", "academic free|afl", "academic free/afl", "1.1 1.2 2.0 2.1 3.0"),
+    ("osl", "open software|osl", "open software/osl", "1.0 1.1 2.0 2.1 3.0"),
+    ("ecl", "educational community|ecl", "educational community/ecl", "1.0 2.0"),
+    ("ofl", "ofl|open font", "sil open font/ofl/open font", "1.0 1.1"),
+    ("ms-pl", "microsoft public|ms pl", "microsoft public/ms pl!", ""),
+    ("ms-rl", "microsoft reciprocal|ms rl", "microsoft reciprocal/ms rl!", ""),
+    ("python", "python license|python licence|python software|psf", "python software foundation/psf/python", "2.0"),
+    ("php", "php license|php licence", "php", "3.0 3.01"),
+    ("ruby", "ruby license|ruby licence", "ruby", ""),
+    ("vim", "vim license|vim licence", "vim", ""),
+    ("openssl", "openssl", "openssl", ""),
+    ("unicode", "unicode license|unicode licence", "unicode", ""),
+    ("postgresql", "postgresql", "postgresql", ""),
+    ("ncsa", "ncsa", "university of illinois ncsa open? source?/ncsa", ""),
+    ("w3c", "w3c", "w3c software? and? document? notice? and?", ""),
+    ("curl", "curl license|curl licence", "curl", ""),
+    ("wtfpl", "wtfpl", "wtfpl!", ""),
+    ("unlicense", "unlicense", "unlicense!", ""),
+    ("public-domain", "public domain", "public domain dedication|mark!", ""),
+    ("odbl", "odbl|open database", "open database/odc? odbl!", "1.0"),
+    ("odc-by", "odc by|data commons", "open data commons attribution/odc by", "1.0"),
+    ("pddl", "pddl", "pddl!/odc pddl!", "1.0"),
+    ("sspl", "server side|sspl", "server side public/sspl!", "1.0"),
+    ("elastic", "elastic license|elastic licence", "elastic", "1.0 2.0"),
+    ("polyform", "polyform", "polyform noncommercial|strict|shield|perimeter", "1.0"),
+    ("cecill", "cecill", "cecill!", "1.0 2.0 2.1"),
+    ("ogl", "ogl|open government", "open government/ogl", "1.0 2.0 3.0"),
+    ("openrail", "openrail|bigscience", "openrail m?!/bigscience rail!", ""),
+    ("cc0", "cc0|commons zero", "cc0!/creative commons cc0!/creative commons zero!", "1.0"),
+    ("cc-by", "cc by|commons attribution", "cc by!/creative commons attribution!", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-sa", "cc by|commons attribution", "cc by sa!/creative commons attribution share? sharealike|alike!", "1.0 2.0 2.5 3.0 4.0"),
+    ("cc-by-nd", "cc by|commons attribution", "cc by nd!/creative commons attribution no? noderivs|noderivatives|derivatives|derivs!", "2.0 3.0 4.0"),
+    ("cc-by-nc", "cc by|commons attribution", "cc by nc!/creative commons attribution non? noncommercial|commercial!", "1.0 2.0 3.0 4.0"),
+    ("cc-by-nc-sa", "cc by|commons attribution", "cc by nc sa!/creative commons attribution non? noncommercial|commercial share? sharealike|alike!", "1.0 2.0 3.0 4.0"),
+    ("cc-by-nc-nd", "cc by|commons attribution", "cc by nc nd!/creative commons attribution non? noncommercial|commercial no? noderivs|noderivatives|derivatives|derivs!", "2.0 3.0 4.0"),
 )
 #: Label, keyword and passage of a license's own text or of a notice that its authors ask for.
 TEXTS = (
@@ -154,15 +154,15 @@ def rules() -> list[Rule]:
         out.append((0, label, phrase, "".join(f" {w} " for w in phrase.split())))
     for label, keyword, phrase in TEXTS:
         out.append((2, label, keyword, atoms(phrase)))
-    for label, keywords, names, versions, alone in FAMILIES:
-        name = "(?:" + "|".join(atoms(n) for n in names.split("/")) + ")"
+    for label, keywords, names, versions in FAMILIES:
         licence = atoms("public? license|licence")
+        name = "|".join(atoms(n.rstrip("!")) + f"(?:{licence})" + "?" * n.endswith("!") for n in names.split("/"))
         tag = atoms("spdx license identifier " + " ".join(label.split("-")))
         for v in versions.split():
             full = f"{label}-{v}"
             out.append((1, full, keywords, tag + _version(v) + atoms("only|or? later?")))
             glued = [f"{w}v{v[0]}" for w in keywords.split("|") if " " not in w]  # as in gplv3
-            mention = name + f"(?:{licence})?" + _version(v)
+            mention = f"(?:{name})" + _version(v)
             if glued:
                 mention = f"(?:{mention}|(?: {' | '.join(glued)} )(?: {v[2:]} )?)"
             keys = "|".join([keywords, *glued])
@@ -170,8 +170,8 @@ def rules() -> list[Rule]:
             out.append((4, full, keys, mention))
         if not versions:
             out.append((1, label, keywords, tag))
-        out.append((5, label, keywords, granted + name + f"(?:{licence})" + "?" * alone))
-        out.append((6, label, keywords, name + f"(?:{licence})" + "?" * alone))
+        out.append((5, label, keywords, f"{granted}(?:{name})"))
+        out.append((6, label, keywords, f"(?:{name})"))
     return [Rule(i, rank, label, keys, pattern) for i, (rank, label, keys, pattern) in enumerate(out)]
 
 
