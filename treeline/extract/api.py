@@ -51,7 +51,7 @@ def scaffolds(files: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for language, text, ranges in zip(frame["language"], frame["text"], frame["ranges"]):
-                spans = [(r["start"], r["end"], r["step"]) for r in ranges]
+                spans = [(r["start"], r["end"], r["step"]) for r in (ranges if ranges is not None else [])]
                 out.append((python if language == "python" else javascript).scaffold(text or "", spans))
             yield pd.DataFrame({"path": frame["path"], "text": out})
 

@@ -4,7 +4,9 @@ expressions, and matches brackets."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
+from treeline.extract.bodies import Body, Finder, placeholder
 from treeline.extract.python import first_paragraph
 
 _TOKEN = re.compile(
@@ -18,7 +20,7 @@ _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
 def tokens(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, text, start, line) without spaces; a template is one token."""
+    """(kind, text, start, line) without spaces; a template is one token, and so is an element of markup."""
     out: list[tuple[str, str, int, int]] = []
     at, line, before = 0, 1, "("
     while at < len(text):
@@ -27,6 +29,8 @@ def tokens(text: str) -> list[tuple[str, str, int, int]]:
             kind = "string"
         elif text[at] == "/" and before in _BEFORE_REGEX and (m := _REGEX.match(text, at)):
             kind, end = "regex", m.end()
+        elif text[at] == "<" and before in _BEFORE_ELEMENT and (stop := _element_end(text, at)):
+            kind, end = "element", stop
         else:
             m = _TOKEN.match(text, at)
             kind, end = m.lastgroup, m.end()
@@ -39,6 +43,82 @@ def tokens(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+_BEFORE_ELEMENT = frozenset("( , = : [ ! & | ? { } ; => return yield default".split())
+_TAG = re.compile(r"<([A-Za-z_$][\w$.:-]*)?")
+
+
+def _code_end(text: str, at: int) -> int | None:
+    """Behind the brace that closes the one at ``at``."""
+    deep, before = 0, "("
+    while at < len(text):
+        if text[at] == "`":
+            end, last = _template_end(text, at), "x"
+        elif text[at] == "/" and before in _BEFORE_REGEX and (m := _REGEX.match(text, at)):
+            end, last = m.end(), "x"
+        elif text[at] == "<" and before in _BEFORE_ELEMENT and (stop := _element_end(text, at)):
+            end, last = stop, "x"
+        else:
+            m = _TOKEN.match(text, at)
+            end = m.end()
+            last = before if m.lastgroup in ("space", "comment") else m[0] if m.lastgroup in ("mark", "name", "arrow") else "x"
+            deep += (m[0] == "{") - (m[0] == "}")
+            if not deep:
+                return end
+        at, before = end, last
+    return None
+
+
+def _element_end(text: str, at: int) -> int | None:
+    """Behind an element of markup: its children are text, other elements and braces with code; none if it never closes."""
+    open_tags: list[str] = []
+    while True:
+        m = _TAG.match(text, at)
+        name, at = m[1] or "", m.end()
+        while at < len(text) and text[at] != ">" and not text.startswith("/>", at):  # attributes
+            if text[at] in "\"'":
+                at = text.find(text[at], at + 1) + 1
+            elif text.startswith("//", at):
+                at = text.find("\n", at)
+            elif text.startswith("/*", at):
+                at = text.find("*/", at) + 2
+            elif text[at] == "{":
+                at = _code_end(text, at) or 0
+            elif re.match(r"[\w\s.:$=-]", text[at]):
+                at += 1
+                continue
+            else:
+                return None
+            if at <= 1:
+                return None
+        if at >= len(text):
+            return None
+        if text[at] == ">":
+            open_tags.append(name)
+            at += 1
+        else:
+            at += 2
+        while True:  # children, up to the next tag that opens
+            if not open_tags:
+                return at
+            while at < len(text) and text[at] not in "<{":
+                at += 1
+            if at >= len(text):
+                return None
+            if text[at] == "{":
+                at = _code_end(text, at)
+                if at is None:
+                    return None
+            elif text.startswith("</", at):
+                stop = text.find(">", at)
+                if stop < 0 or text[at + 2 : stop].strip() != open_tags.pop():
+                    return None
+                at = stop + 1
+            elif re.match(r"<[A-Za-z_$>]", text[at : at + 2]):
+                break
+            else:
+                return None
+
+
 def _template_end(text: str, at: int) -> int:
     depth: list[str] = ["`"]
     at += 1
@@ -242,15 +322,29 @@ def extract(text: str) -> dict:
 
 
 def scaffold(text: str, ranges: list[tuple[int, int, int]]) -> str:
-    """``text`` with the first block of each range (start, end, step) replaced by a placeholder; what isn't
-    understood stays, and so does all text outside the ranges."""
+    """``text`` with the bodies of what each range (start, end, step) declares replaced by placeholders.
+
+    A range is whole lines; of ranges inside each other the outer one counts, of equal ones the first.  A range that cuts
+    through a bracket, a comment or a template stays, and so does a text whose brackets don't match, before or after;
+    no character outside the bodies changes.
+    """
     reader = _Reader(text)
     if reader.errors:
         return text
-    for start, end, step in sorted(ranges, reverse=True):
-        for i, (_, s, at, line) in enumerate(reader.t):
-            if s == "{" and line >= start and i in reader.close and reader.line(reader.close[i]) == end:
-                stop = reader.t[reader.close[i]][2]
-                text = f'{text[: at + 1]} throw new Error("step {step}"); {text[stop:]}'
-                break
-    return text
+    finder = Finder(reader)
+    opener = {c: o for o, c in reader.close.items()}
+    spread = [(x[3], x[3] + x[1].count("\n")) for x in (*reader.t, *reader.comments.values()) if "\n" in x[1]]
+    lines = [x[3] for x in reader.t]
+    edits: list[tuple[Body, int]] = []
+    for start, end, step in ranges:
+        a, b = bisect_left(lines, start), bisect_left(lines, end + 1)
+        if any(lo < start <= hi or lo <= end < hi for lo, hi in spread) or any(not a <= reader.close.get(k, opener.get(k, a)) < b for k in range(a, b)):
+            continue
+        edits += [(body, step) for body in finder.statements(a, b)]
+    out, at = [], 0
+    for body, step in sorted(edits, key=lambda e: (e[0].first, -e[0].last)):
+        if body.first >= at:
+            out += [text[at : body.first], placeholder(body, step)]
+            at = body.last
+    done = "".join([*out, text[at:]])
+    return text if _Reader(done).errors else done

@@ -65,25 +65,39 @@ def first_paragraph(doc: str | None) -> str | None:
 
 
 def scaffold(text: str, ranges: list[tuple[int, int, int]]) -> str:
-    """``text`` with the body of the function or class at each range (start, end, step) replaced by a
-    placeholder that names the step.  What isn't understood stays; so does every line outside the ranges."""
+    """``text`` with the body of the function or class at each range (start, end, step) replaced by a placeholder that
+    names the step: an indented one for a block, one on the same line for a body there.  A docstring stays.
+
+    A range may begin at the decorators.  Of ranges inside each other the outer one counts, of equal ones the first.  What
+    isn't understood stays; so does every byte outside the bodies.
+    """
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return text
-    lines = text.splitlines(keepends=True)
-    at = {(n.lineno, n.end_lineno): n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))}
-    for start, end, step in sorted(ranges, reverse=True):
+    raw = text.encode()
+    begin = [0, 0, *[m.end() for m in re.finditer(rb"\r\n?|\n", raw)]]  # of each line, as the parser counts them
+    begin[1] = 3 if raw.startswith(b"\xef\xbb\xbf") else 0  # columns don't count a byte order mark
+    at: dict[tuple[int, int], ast.AST] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            for top in {node.lineno, *(d.lineno for d in node.decorator_list)}:
+                at.setdefault((top, node.end_lineno), node)
+    edits: list[tuple[int, int, bytes]] = []
+    for start, end, step in ranges:
         node = at.get((start, end))
-        if node is None:
-            continue
-        body = node.body
-        keep = 1 if ast.get_docstring(node) is not None else 0
-        first = body[keep] if len(body) > keep else None
-        if first is None or first.lineno == node.lineno:
+        rest = node.body[1:] if node is not None and ast.get_docstring(node, clean=False) is not None else node.body if node is not None else []
+        if not rest:
             continue
-        top = min([first.lineno, *(d.lineno for d in getattr(first, "decorator_list", []))])
-        pad = re.match(r"\s*", lines[first.lineno - 1]).group()
-        feed = "\n" if lines[end - 1].endswith("\n") else ""
-        lines[top - 1 : end] = [f'{pad}raise NotImplementedError("step {step}"){feed}']
-    return "".join(lines)
+        first = rest[0]
+        top = min([(first.lineno, first.col_offset), *((d.lineno, d.col_offset - 1) for d in getattr(first, "decorator_list", []))])
+        lo, hi = begin[top[0]] + top[1], begin[rest[-1].end_lineno] + rest[-1].end_col_offset
+        if raw[lo : lo + 1] != b"@" and getattr(first, "decorator_list", []):
+            lo = raw.rindex(b"@", 0, lo + 1)  # blanks may follow the sign
+        edits.append((lo, hi, f'raise NotImplementedError("step {step}")'.encode()))
+    out, done = [], 0
+    for lo, hi, new in sorted(edits, key=lambda e: (e[0], -e[1])):
+        if lo >= done:
+            out += [raw[done:lo], new]
+            done = hi
+    return b"".join([*out, raw[done:]]).decode()

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
+from treeline.operators.peel import peeled
+from treeline.operators.rank import numbered_within
 
 
 def waves(nodes: list[str], needs: dict[str, set[str]], tie: dict[str, tuple]) -> list[str]:
     """Nodes so that each follows those it needs; each wave by its tie-break.  On a cycle, the node with the
-    fewest needs open, and then the least name, goes next."""
+    fewest needs open, and then the least name, goes next.  For a few nodes at hand; ``dependency_order`` is for tables."""
     here = set(nodes)
     open_needs = {n: {m for m in needs.get(n, ()) if m in here and m != n} for n in nodes}
     users: dict[str, list[str]] = {}
@@ -23,36 +24,30 @@ def waves(nodes: list[str], needs: dict[str, set[str]], tie: dict[str, tuple]) -
     ready = [n for n in nodes if not open_needs[n]]
     while left:
         wave = sorted(ready, key=lambda n: (tie[n], n)) or [min(left, key=lambda n: (len(open_needs[n]), n))]
-        ready = []
+        ready = []  # a need is discarded once, so a user gets here once
         for n in wave:
             left.discard(n)
             out.append(n)
         for n in wave:
             for user in users.get(n, ()):
                 open_needs[user].discard(n)
-                if user in left and not open_needs[user] and user not in ready:
+                if user in left and not open_needs[user]:
                     ready.append(user)
     return out
 
 
 def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``chapter``, ``node``, ``ordinal``: each chapter's nodes in waves.
+    """``chapter``, ``node``, ``ordinal``: each chapter's nodes in waves, a wave by tie and name.
 
-    ``nodes`` has chapter, node, tie (string); ``edges`` has chapter, from, to, where ``from`` needs ``to``.  A
-    chapter, the files of one part of a tree, is ordered in one task.
+    ``nodes`` has chapter, node, tie (string; null first, as if empty); ``edges`` has chapter, from, to, where ``from``
+    needs ``to``.  On a cycle, the node with the fewest needs open, and then the least name, goes next.  Waves are
+    peeled by joins and numbers come from a range sort, so a chapter may be of any size.
     """
-
-    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        needs: dict[str, set[str]] = {}
-        for a, b in zip(links["from"], links["to"]):
-            needs.setdefault(a, set()).add(b)
-        tie = {n: ("" if t is None else t,) for n, t in zip(own["node"], own["tie"])}
-        order = waves(sorted(tie), needs, tie)
-        return pd.DataFrame({"chapter": [key[0]] * len(order), "node": order, "ordinal": range(1, len(order) + 1)})
-
-    own = lambda df, *more: df.select(F.concat("chapter", F.lit("")).alias("chapter"), *more)  # noqa: E731  new columns, as both may stem from one table
-    both = own(nodes, "node", "tie").groupBy("chapter").cogroup(own(edges, "from", "to").groupBy("chapter"))
-    return both.applyInPandas(run, "chapter string, node string, ordinal long").filter("node IS NOT NULL")
+    own = nodes.select(F.col("chapter").alias("group"), "node", F.coalesce("tie", F.lit("")).alias("tie"))
+    need = edges.select(F.col("chapter").alias("group"), F.col("from").alias("node"), F.col("to").alias("need"))
+    waved = own.groupBy("group", "node").agg(F.max("tie").alias("tie")).join(peeled(own, need), ["group", "node"])
+    placed = numbered_within(waved, "group", [F.col("wave"), F.col("tie"), F.col("node")], "ordinal")
+    return placed.select(F.col("group").alias("chapter"), "node", "ordinal")
 
 
 def test_subject(path: Column) -> Column:

@@ -58,6 +58,21 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFr
     return held.join(F.broadcast(offsets), "__part").withColumn(name, place.cast("long")).drop("__id", "__part", "__before")
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their position from 1 in their group, without a task that holds a whole group.
+
+    As ``numbered``, with one count per partition and group; a null group is a group.
+    """
+    held = kept(rows.sort(group, *order)).withColumn("__id", F.monotonically_increasing_id())
+    held = held.withColumn("__part", F.shiftright("__id", 33))
+    runs = held.groupBy(F.col(group).alias("__group"), "__part").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("__group").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("__group", F.col("__part").alias("__at"), "__first", before.alias("__before"))
+    met = held.join(runs, held[group].eqNullSafe(runs["__group"]) & (held["__part"] == runs["__at"]))
+    place = F.col("__before") + F.col("__id") - F.col("__first") + 1
+    return met.withColumn(name, place.cast("long")).drop("__id", "__part", "__group", "__at", "__first", "__before")
+
+
 def deep_slice(ranked: DataFrame, key: str = "path") -> DataFrame:
     """Rows of score above 0: the first 15 %, and all of 0.30 or more, with their rank."""
     placed = numbered(ranked.filter("score > 0"), [F.col("score").desc(), F.col(key)])

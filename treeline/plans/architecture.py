@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths as P
 from treeline.functions import text as T
-from treeline.operators import graph as G
+from treeline.operators.peel import peeled
 
 
 def layered(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """``root``, ``layer``: ways in first (0), foundations last; parts without an edge have none.
+    """``root``, ``layer``: ways in first (0), foundations last; parts without an edge to another have none.
 
-    Parts are directories with code, a table far smaller than the files'; their graph is laid out on the driver.
+    Each layer holds what no remaining part imports; on a cycle, what the fewest import, and then the least name.
     """
-    nodes = [r["root"] for r in parts.select("root").collect()]
-    links = [(r["from"], r["to"]) for r in edges.select("from", "to").collect()]
-    rows, alone = G.layers(nodes, links)
-    placed = [(x, i) for i, row in enumerate(rows) for x in row] + [(x, None) for x in alone]
-    return parts.sparkSession.createDataFrame(placed, "root string, layer long")
+    names = parts.select("root").distinct()
+    there = edges.filter("from <> to").join(names.withColumnRenamed("root", "from"), "from", "left_semi").join(names.withColumnRenamed("root", "to"), "to", "left_semi")
+    ends = there.select(F.explode(F.array("from", "to")).alias("node")).distinct()
+    waves = peeled(ends.withColumn("group", F.lit("")), there.select(F.lit("").alias("group"), F.col("to").alias("node"), F.col("from").alias("need")))
+    return names.join(waves.select(F.col("node").alias("root"), F.col("wave").alias("layer")), "root", "left")
 
 
 def steps(parts: DataFrame, edges: DataFrame, total_files: DataFrame, name: str) -> DataFrame:
