@@ -111,7 +111,9 @@ def decision(question: Column, why: Column, source: Column) -> Column:
     )
 
 
-def notice(items: Column, one: str, many: str, n: int = NOTICE) -> Column:
-    """How many there are and the first of them by name; null for none."""
-    count = F.concat(F.size(items).cast("string"), F.when(F.size(items) == 1, f" {one}: ").otherwise(f" {many}: "))
-    return F.when(F.size(items) > 0, F.concat(count, limited(items, n)))
+def notice(items: Column, one: str, many: str, n: int = NOTICE, total: Column | None = None) -> Column:
+    """How many there are and the first of them by name; null for none.  With ``total``, ``items`` are but the first."""
+    there = F.size(items) if total is None else total
+    count = F.concat(there.cast("string"), F.when(there == 1, f" {one}: ").otherwise(f" {many}: "))
+    more = F.when(there > n, F.concat(F.lit(" and "), (there - n).cast("string"), F.lit(" more"))).otherwise("")
+    return F.when(there > 0, F.concat(count, F.array_join(F.slice(items, 1, n), ", "), more))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import subprocess
 from collections.abc import Iterator
 
@@ -113,59 +112,13 @@ def first_commits(commits: DataFrame) -> DataFrame:
 
 
 def diff_set(spark: SparkSession, repo: str, base: str, head: str) -> DataFrame:
-    """Paths that differ between two commits: path, status, from_path, lines."""
-    base, head = safe_ref(base), safe_ref(head)
-    rows = {p: (p, s, o, 0) for s, p, o in name_status(git(repo, "diff", "--name-status", "-z", "-M", base, head) or "")}
-    parts = iter((git(repo, "diff", "--numstat", "-z", "-M", base, head) or "").split("\0"))
-    for part in parts:
-        if m := re.match(r"(\d+|-)\t(\d+|-)\t(.*)", part, re.S):
-            path = m[3] or (next(parts), next(parts))[1]
-            if path in rows:
-                rows[path] = (*rows[path][:3], sum(int(x) for x in m.groups()[:2] if x != "-"))
-    return spark.createDataFrame(sorted(rows.values()), "path string, status string, from_path string, lines long")
+    """Paths that differ between two commits: path, status, from_path, lines (see :mod:`treeline.sources.change`)."""
+    from treeline.sources import change
+
+    return change.paths(spark, repo, base, head).select("path", "status", "from_path", "lines")
 
 
 def merge_base(repo: str, base: str, head: str) -> str:
     """The commit to compare with: the merge base where there is one, else the base."""
     got = git(repo, "merge-base", safe_ref(base), safe_ref(head))
     return (got or git(repo, "rev-parse", base) or base).strip()
-
-
-def diff_text(spark: SparkSession, repo: str, base: str, head: str, context: int = 6) -> DataFrame:
-    """A unified diff as lines (file, pos, line)."""
-    raw = git(repo, "-c", "core.quotePath=false", "diff", f"-U{context}", "-M", safe_ref(base), safe_ref(head)) or ""
-    rows, file = [], ""
-    for i, line in enumerate(raw.split("\n")[:-1]):
-        if m := re.match(r"diff --git a/.* b/(.*)$", line):
-            file = m[1]
-        rows.append((file, i, line))
-    return spark.createDataFrame(rows, "file string, pos long, line string")
-
-
-def side(spark: SparkSession, repo: str, commit: str, paths: list[str], limit: int = 64 << 20) -> DataFrame:
-    """Files of one commit as raw rows (see ``files.SCHEMA``); links, submodules and too large files are skipped
-    with the reason, and absent ones left out.  ``paths`` are those of one change."""
-    import hashlib
-
-    from treeline.sources.files import MAX_READ, PROBE, SCHEMA
-
-    commit, rows = safe_ref(commit), []
-    for at in range(0, len(paths), 500):
-        for entry in (git(repo, "ls-tree", "-z", "-l", commit, "--", *paths[at : at + 500]) or "").split("\0"):
-            if not (m := re.match(r"(\d+) (\w+) \w+ +(\d+|-)\t(.*)", entry, re.S)):
-                continue
-            mode, kind, size, path = m.groups()
-            reason = "symlink" if mode == "120000" else "submodule" if kind == "commit" else "folder" if kind == "tree" else None
-            if not reason and int(size) > limit:
-                reason = "too large"
-            if reason:
-                rows.append((path, None, None, None, None, None, reason))
-                continue
-            got = subprocess.run(["git", "-C", repo, "show", f"{commit}:{path}"], capture_output=True)
-            if got.returncode:
-                rows.append((path, None, None, None, None, None, "unfetchable"))
-                continue
-            body, binary = got.stdout, b"\0" in got.stdout[:PROBE]
-            text = None if binary else body[:MAX_READ].decode("utf-8", "replace")
-            rows.append((path, len(body), hashlib.sha256(body).hexdigest(), binary, len(body) > MAX_READ, text, None))
-    return spark.createDataFrame(rows, SCHEMA)
