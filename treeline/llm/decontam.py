@@ -4,6 +4,9 @@ Texts are folded (case, punctuation and white space) to bytes.  Benchmark items
 windows.  A window of n bytes within e edits of a region shares at least ``n - q + 1 - q * e`` q-grams with it
 (q-gram lemma), and they lie on neighbouring diagonals.  So shared q-grams are counted in overlapping bands of
 diagonals, regions that meet the bound are kept, and each is verified by banded alignment.
+
+Which bands are counted at all is told by a window's n // q blocks of q bytes side by side: e edits leave
+``n // q - e`` of them whole, so only these are looked up, an eighth of all q-grams at q = 8.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from treeline.llm import common as C
 Q, WINDOW, STRIDE, EDIT_RATE, BAND = 8, 80, 8, 0.1, 16
 #: Bytes of benchmark text that go to the workers at once; a larger benchmark is run in blocks.
 BLOCK_BYTES = 8 << 20
+#: Pairs of a text's q-gram and a block's place that are held at once, and candidates counted or aligned at once.
+PAIRS, BATCH = 1 << 18, 1024
 _BITS = 24
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -182,11 +187,18 @@ class Index:
         self.last = size - self.size  # start of its last window
         self.edits = np.minimum((edit_rate * self.size + 1e-9).astype(np.int64), np.maximum(self.size - q, 0) // q)
         self.least = self.size - q + 1 - q * self.edits
-        gram = np.concatenate([gram_hashes(x, q) for x in folds]) if folds else np.zeros(0, dtype=np.uint64)
-        place = np.concatenate([np.arange(len(x) - q + 1) + f for x, f in zip(folds, self.first)]) if folds else none
+        aligned = stride % q == 0  # else windows share no blocks, and every q-gram is a seed
+        self.need = self.size // q - self.edits if aligned else self.least
+        seeds = []
+        for x, f, n in zip(folds, self.first, self.size):
+            own = np.arange(len(x) - q + 1)
+            if aligned:
+                own = np.union1d(own[::q], len(x) - n + np.arange(0, n - q + 1, q))
+            seeds.append(own + f)
+        place = np.concatenate(seeds) if seeds else none
+        gram = gram_hashes(self.text, q)[place] if len(place) else np.zeros(0, dtype=np.uint64)
         order = np.argsort(gram, kind="stable")
         self.gram, self.place = gram[order], place[order]
-        self.item = np.searchsorted(self.first, self.place, "right") - 1
         self.distinct, starts = np.unique(self.gram, return_index=True)
         self.starts = np.append(starts, len(self.gram))
         self.depth = window + 2 * q + int(2 * edit_rate * window)
@@ -195,16 +207,17 @@ class Index:
     def _mark(self) -> None:
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.short_hash = (gram_hashes(self.text, self.q) >> np.uint64(33)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("bits", "short_hash")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._mark()
 
     def candidates(self, row: np.ndarray, diagonal: np.ndarray, place: np.ndarray, band: int) -> np.ndarray:
-        """Windows that share enough q-grams with a band of diagonals: row, item, start in the item, band."""
+        """Windows with enough whole blocks in a band of diagonals: row, item, start in the item, first diagonal."""
         shift = (-(-len(self.text) // band) + 1) * band  # so that diagonals and bands aren't negative
         step = (diagonal + shift) // band
         wide, all_places = int(step.max()) + 2, len(self.text)
@@ -214,7 +227,7 @@ class Index:
         place = key % all_places
         group = key // all_places
         item = np.searchsorted(self.first, place, "right") - 1
-        j = np.arange(len(key)) + self.least[item] - 1
+        j = np.arange(len(key)) + self.need[item] - 1
         ok = j < len(key)
         i, j = np.flatnonzero(ok), j[ok]
         ok = (group[i] == group[j]) & (item[i] == item[j]) & (place[j] - place[i] <= self.size[item[i]] - self.q)
@@ -234,6 +247,30 @@ class Index:
         item = np.searchsorted(self.first, at, "right") - 1
         return np.stack([group // wide, item, at - self.first[item], (group % wide) * band - shift], axis=1)
 
+    def counted(self, found: np.ndarray, size: int, edits: int, h: np.ndarray, foff: np.ndarray, band: int) -> np.ndarray:
+        """Candidates of one window size that share enough q-grams with a part of their band.
+
+        An alignment visits at most ``edits + 1`` neighbouring diagonals, so q-grams are counted in parts of the band that
+        overlap by as many.  A few bits of a hash are compared: a count may be too high, never too low.
+        """
+        r, item, start, low = found.T
+        grams = size - self.q + 1
+        spot = (low + start)[:, None] + np.arange(grams + 2 * band - 1)
+        inside = (spot >= 0) & (spot <= (foff[r + 1] - foff[r] - self.q)[:, None])
+        text = np.where(inside, h[np.where(inside, foff[r][:, None] + spot, 0)], -1)
+        pattern = self.short_hash[(self.first[item] + start)[:, None] + np.arange(grams)]
+        fours = []
+        for k in range(0, 2 * band, 4):
+            same = text[:, k : k + grams] == pattern
+            for j in range(k + 1, min(k + 4, 2 * band)):
+                same |= text[:, j : j + grams] == pattern
+            fours.append(same)
+        many = min(-(-(edits + 4) // 4), len(fours))
+        least, keep = self.least[item], np.zeros(len(found), dtype=bool)
+        for k in range(len(fours) - many + 1):
+            keep |= np.logical_or.reduce(fours[k : k + many]).sum(axis=1) >= least
+        return found[keep]
+
     def whole_words(self, folded: np.ndarray, foff: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Row, item, start and end (folded) of items shorter than q."""
         for n, items in self.short.items():
@@ -246,8 +283,9 @@ class Index:
             for i in np.flatnonzero(before & after).tolist():
                 yield int(row[i]), items[int(h[hit[i]])], int(hit[i] - lo[i]), int(hit[i] - lo[i]) + n
 
-    def find(self, buf: np.ndarray, off: np.ndarray, band: int, once: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
-        """Verified regions as (row, item, edits, start, end), in bytes of ``buf`` from the row's start.
+    def find(self, buf: np.ndarray, off: np.ndarray, band: int, once: bool = False) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """Verified regions as (row, item, edits, start, end), in bytes of ``buf`` from the row's start, and which window it
+        is (the item's number in the index, -1 for a whole word, and the window's start).
 
         With ``once``, a row's other candidates are let be as soon as one is verified.
         """
@@ -255,7 +293,7 @@ class Index:
         seen = np.zeros(len(off) - 1, dtype=bool)
         for r, item, s, e in self.whole_words(folded, foff):
             seen[r] = True
-            yield self._region(r, item, 0, s, e, buf, off, foff, at)
+            yield (*self._region(r, item, 0, s, e, buf, off, foff, at), -1, 0)
         if not len(self.gram) or len(folded) < self.q:
             return
         h = gram_hashes(folded, self.q)
@@ -267,40 +305,97 @@ class Index:
         at_gram = np.minimum(np.searchsorted(self.distinct, h[hit]), len(self.distinct) - 1)
         known = self.distinct[at_gram] == h[hit]
         hit, row, at_gram = hit[known], row[known], at_gram[known]
-        lo = self.starts[at_gram]
-        n = self.starts[at_gram + 1] - lo
-        total = np.cumsum(n)
-        first = 0
-        while first < len(hit):  # whole rows, of about two million pairs at a time
-            done = total[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(total, done + 2_000_000, "right")))
-            if last < len(hit):
-                last = max(int(np.searchsorted(row, row[last], "left")), first)
-                if last == first:
-                    last = int(np.searchsorted(row, row[first], "right"))
-            c = n[first:last]
-            span = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo[first:last], c)
-            r, p = np.repeat(row[first:last], c), np.repeat(hit[first:last], c)
-            first = last
-            if not len(span):
-                continue
-            place, item = self.place[span], self.item[span]
-            found = self.candidates(r, p - foff[r] - place + self.first[item], place, band)
+        short = (h >> np.uint64(33)).astype(np.int32)
+        for found in self._pairs(hit, row, self.starts[at_gram], self.starts[at_gram + 1], foff, band, seen if once else None):
             for size, edits in sorted({(int(a), int(b)) for a, b in zip(self.size[found[:, 1]], self.edits[found[:, 1]])}):
                 some = found[(self.size[found[:, 1]] == size) & (self.edits[found[:, 1]] == edits)]
-                for k in range(0, len(some), 1024):
-                    part = some[k : k + 1024]
+                for k in range(0, len(some), BATCH):
+                    part = some[k : k + BATCH]
                     if once:
                         part = part[~seen[part[:, 0]]]
-                        if not len(part):
-                            continue
+                    part = self.counted(part, size, edits, short, foff, band)
+                    if not len(part):
+                        continue
                     r, item, start, low = part.T
                     patterns = self.text[(self.first[item] + start)[:, None] + np.arange(size)]
                     # a window's diagonals begin where the item's do, further on by its start
                     got = banded_distances(patterns, folded, foff[r], foff[r + 1], low + start, 2 * band, edits)
                     seen[r[got[0]]] = True
                     for x, e_, s, e in zip(*(v.tolist() for v in got)):
-                        yield self._region(int(r[x]), self.owner[int(item[x])], e_, s, e, buf, off, foff, at)
+                        yield (*self._region(int(r[x]), self.owner[int(item[x])], e_, s, e, buf, off, foff, at), int(item[x]), int(start[x]))
+
+    def _pairs(self, hit: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, foff: np.ndarray, band: int, seen: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Candidates of all rows, from about ``PAIRS`` pairs of a q-gram and a place at a time.
+
+        Rows of few pairs go together.  A row of more is cut by where a candidate's band begins in it, and a piece of it that
+        can't be cut further by where its window begins in the benchmark; what lies ahead is looked at from both pieces.
+        """
+        n = hi - lo
+        total = np.cumsum(n)
+        first = 0
+        while first < len(hit):
+            done = total[first - 1] if first else 0
+            last = int(np.searchsorted(total, done + PAIRS, "right"))
+            last = len(hit) if last >= len(hit) else int(np.searchsorted(row, row[last], "left"))
+            if last > first:
+                yield from self._leaf(hit[first:last], row[first:last], lo[first:last], hi[first:last], foff, band)
+            else:
+                last = int(np.searchsorted(row, row[first], "right"))
+                r = row[first]
+                if seen is None or not seen[r]:
+                    begin = -(len(self.text) + 4 * band)
+                    work = [(begin, int(foff[r + 1] - foff[r]), 0, len(self.text))]
+                    while work and not (seen is not None and seen[r]):
+                        yield from self._piece(hit[first:last], int(r), lo[first:last], hi[first:last], foff, band, work)
+            first = last
+
+    def _piece(self, hit: np.ndarray, r: int, lo: np.ndarray, hi: np.ndarray, foff: np.ndarray, band: int, work: list[tuple[int, int, int, int]]) -> Iterator[np.ndarray]:
+        """The candidates of the last piece of ``work`` (text from, to, benchmark from, to), or two halves of it instead."""
+        x, y, a, b = work.pop()
+        widest = int(self.size.max())
+        reach = widest + 2 * band
+        i, j = np.searchsorted(hit, [foff[r] + x, foff[r] + y + reach])
+        if i == j:
+            return
+        lo, hi, part = lo[i:j], hi[i:j], hit[i:j]
+        if a > 0 or b < len(self.text):
+            lo, hi = self._between(lo, hi, a), self._between(lo, hi, b + widest)
+        pairs = int((hi - lo).sum())
+        if pairs > PAIRS:
+            x = max(x, int(part[0] - foff[r]) - reach)
+            if y - x > 2 * reach:
+                work += [((x + y) // 2, y, a, b), (x, (x + y) // 2, a, b)]
+                return
+            if b - a > 4 * widest:
+                work += [(x, y, (a + b) // 2, b), (x, y, a, (a + b) // 2)]
+                return
+        for found in self._leaf(part, np.full(len(part), r), lo, hi, foff, band):
+            begin, window = found[:, 3] + found[:, 2], self.first[found[:, 1]] + found[:, 2]
+            found = found[(begin >= x) & (begin < y) & (window >= a) & (window < b)]
+            if len(found):
+                yield found
+
+    def _between(self, lo: np.ndarray, hi: np.ndarray, place: int) -> np.ndarray:
+        """Per run of places ``lo`` to ``hi``, the first one at ``place`` or further on, by bisection of all runs at once."""
+        lo, hi = lo.copy(), hi.copy()
+        while True:
+            open_ = lo < hi
+            if not open_.any():
+                return lo
+            mid = (lo + hi) // 2
+            less = open_ & (self.place[np.minimum(mid, len(self.place) - 1)] < place)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
+
+    def _leaf(self, hit: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, foff: np.ndarray, band: int) -> Iterator[np.ndarray]:
+        c = hi - lo
+        span = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(lo, c)
+        if len(span):
+            r, place = np.repeat(row, c), self.place[span]
+            item = np.searchsorted(self.first, place, "right") - 1
+            found = self.candidates(r, np.repeat(hit, c) - foff[r] - place + self.first[item], place, band)
+            if len(found):
+                yield found
 
     def _region(self, r: int, item: int, edits: int, s: int, e: int, buf: np.ndarray, off: np.ndarray, foff: np.ndarray, at: np.ndarray) -> tuple:
         s, e = max(s, 0), max(e, s + 1)
@@ -327,13 +422,13 @@ def findings(
     q: int = Q, window: int = WINDOW, stride: int = STRIDE, edit_rate: float = EDIT_RATE, band: int = BAND,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document and benchmark item found in it: key, ``item_id``, ``n_windows`` found,
+    """One row per document and benchmark item found in it: key, ``item_id``, ``n_windows`` of the item found,
     ``edits`` (least of a window), ``start`` and ``end`` (bytes of the text, around all windows found).
 
     Every document is read once per block of the benchmark, whole; nothing is shuffled.  The index of a block is
     built once and broadcast, its size checked.  A null or empty text, an item without letters and digits and an
-    empty benchmark give no rows; an item of under q folded bytes must occur as whole words.  Inside a long
-    stretch of one repeated pattern, matches are found at its ends.  Repeated rows give a row each.
+    empty benchmark give no rows; an item of under q folded bytes must occur as whole words.  Repeated rows give a row
+    each.  What a text of any length takes is bounded: ``PAIRS`` seeds and ``BATCH`` candidates at a time.
     """
     if not q <= window < 1 << 16 or edit_rate * window > band:
         raise ValueError("window must be from q to 65535, and its edits at most band")
@@ -350,9 +445,12 @@ def findings(
             for batch in batches:
                 for lo, _, buf, off in C.slices(batch.column(1)):
                     merged: dict[tuple[int, int], list[int]] = {}
-                    for r, owner, edits, s, e in index.find(buf, off, band):
+                    windows: set[tuple[int, int, int, int]] = set()
+                    for r, owner, edits, s, e, number, window in index.find(buf, off, band):
                         x = merged.setdefault((r, owner), [0, edits, s, e])
-                        x[:] = [x[0] + 1, min(x[1], edits), min(x[2], s), max(x[3], e)]
+                        new = (r, owner, number, window) not in windows
+                        windows.add((r, owner, number, window))
+                        x[:] = [x[0] + new, min(x[1], edits), min(x[2], s), max(x[3], e)]
                     if merged:
                         keys = list(merged)
                         ids = batch.column(0).take(pa.array([lo + r for r, _ in keys]))
