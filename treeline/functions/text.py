@@ -61,12 +61,11 @@ def compress(text: Column, size: int = SUMMARY_CHARS) -> Column:
 
 
 def clamp(text: Column, size: int) -> Column:
-    """At most ``size`` characters: up to the last sentence that ends past half of them, else cut with an ellipsis."""
-    cut = F.substring(text, 1, size)
-    turned = F.reverse(cut)
-    stops = [F.when(F.instr(turned, f" {x}") > 0, size - F.instr(turned, f" {x}")).otherwise(0) for x in ".?!"]
-    last = F.greatest(*stops)
-    return F.when(F.length(text) <= size, text).when(last - 1 > size * 0.5, F.substring(cut, F.lit(1), last)).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    """At most ``size`` characters: the sentences that end before a space within them, if these are over half of it; else a
+    cut with an ellipsis."""
+    head = F.substring(text, 1, size)
+    whole = F.regexp_extract(head, r"(?s)^.*[.?!](?= )", 0)
+    return F.when(F.length(text) <= size, text).when(F.length(whole) * 2 > size + 2, whole).otherwise(F.concat(F.rtrim(head), F.lit("…")))
 
 
 def as_sentence(text: Column) -> Column:
@@ -76,9 +75,14 @@ def as_sentence(text: Column) -> Column:
 
 
 def opener(text: Column) -> Column:
-    """A text with a capital first, unless its first word is spelled as code."""
+    """A text with a capital first, unless its first word is spelled as code: a capital right after a small letter, an
+    underscore, a dot or a call's parentheses."""
     t = F.trim(text)
-    code = F.element_at(F.split(t, r"\s"), 1).rlike(r"[a-z][A-Z]|[_.]|\(\)")
+    word = F.regexp_extract(t, r"^\S*", 0)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    shape = F.translate(word, small + small.upper(), "a" * 26 + "A" * 26)
+    marks = [shape.contains("aA"), *[word.contains(x) for x in ("_", ".", "()")]]
+    code = marks[0] | marks[1] | marks[2] | marks[3]
     return F.when(code, t).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))))
 
 
@@ -95,14 +99,25 @@ def narrate(text: Column, summary: Column) -> Column:
     return F.struct(short.alias("summary"), text.alias("full"), (F.length(F.trim(text)) > F.length(short) + 8).alias("expandable"))
 
 
+#: The words that close an issue.
+CLOSING = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
+
+
 def issue_refs(text: Column) -> Column:
-    """``#n`` references, those after a closing keyword first, each once, in order.
+    """``#n`` references, those after a closing word first, each once, in order.
 
-    A keyword and white space stand before the one kind, white space or nothing before the other.
+    A reference begins a word.  One behind a word that ends in a closing word may go on after its digits; any other ends
+    there, or goes on with something that isn't part of a name.
     """
-    closing = F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\s+#(\d+)"), F.lit(1))
-    bare = F.regexp_extract_all(text, F.lit(r"(?<!\S)#(\d+)(?![A-Za-z0-9_])"), F.lit(1))
-    return F.transform(F.array_distinct(F.concat(closing, bare)), lambda n: F.concat(F.lit("#"), n))
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    before = F.concat(F.array(F.lit("")), words)
+    digits = lambda w: F.regexp_extract(w, r"^#(\d+)", 1)
+    name = lambda w: F.regexp_extract(w, r"^#([A-Za-z0-9_]*)", 1)
+    closes = lambda w: F.lower(F.regexp_extract(w, r"[A-Za-z0-9_]*$", 0)).isin(*CLOSING)
+    closed = F.transform(words, lambda w, i: F.when(closes(F.element_at(before, i + 1)), digits(w)).otherwise(""))
+    named = F.transform(words, lambda w: F.when(name(w) == digits(w), name(w)).otherwise(""))
+    found = F.array_distinct(F.filter(F.concat(closed, named), lambda n: n != ""))
+    return F.transform(found, lambda n: F.concat(F.lit("#"), n))
 
 
 def plural(n: Column, word: str) -> Column:

@@ -20,15 +20,20 @@ def tour_id(head: Column, dirty: Column) -> Column:
 def find(registry: DataFrame, wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """Per ``want`` of ``wanted``, the tour (id, generated_at, page) of that id; else the newest whose id begins with it.
 
-    Tours whose page is not in ``pages`` (page) are left out.  Ids meet requests by equality on their prefixes of the
-    lengths asked for, so no tour meets every request.
+    Tours whose page is not in ``pages`` (page) are left out.  Equal ids meet by a join; what is left of the requests
+    meets the ids' prefixes of the lengths asked for, of which there are at most as many as the longest id has characters.
     """
     alive = registry.join(pages.select("page").distinct(), "page", "left_semi")
-    sizes = wanted.select(F.length("want").alias("size")).distinct()
-    cut = alive.join(F.broadcast(sizes.filter(f"size <= {64}"))).withColumn("want", F.expr("left(id, size)"))
-    best = F.max_by(F.struct("id", "generated_at", "page"), F.struct((F.col("id") == F.col("want")).alias("same"), "generated_at", "id"))
-    met = cut.filter("length(id) >= size").groupBy("want").agg(best.alias("t"))
-    return wanted.join(met, "want", "left").select("want", "t.*")
+    tour = F.struct("id", "generated_at", "page")
+    asked = wanted.select("want").filter("want IS NOT NULL").distinct()
+    newest = F.max_by(tour, F.struct("generated_at", "id")).alias("t")
+    same = alive.join(asked, F.col("id") == F.col("want")).groupBy("want").agg(newest)
+    rest = asked.join(same, "want", "left_anti")
+    longest = alive.agg(F.max(F.length("id")).alias("longest"))
+    sizes = rest.select(F.length("want").alias("size")).distinct().join(F.broadcast(longest)).filter("size < longest").select("size")
+    cut = alive.join(F.broadcast(sizes), F.length("id") > F.col("size")).withColumn("want", F.expr("left(id, size)"))
+    begun = cut.join(rest, "want", "left_semi").groupBy("want").agg(newest)
+    return wanted.join(same.unionByName(begun), "want", "left").select("want", "t.*")
 
 
 def with_heads(tours: DataFrame, heads: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ SQUEEZED = r"regexp_replace(regexp_replace(text, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+
 
 
 @query(rf"""WITH {DOCS}, c AS (SELECT doc_id, text, {SQUEEZED} AS clean FROM d),
-s AS (SELECT *, list_transform(regexp_extract_all(clean, '[^.!?]+[.!?]+(?:\s|$)'), lambda x: trim(x)) AS told FROM c),
+e AS (SELECT *, string_split_regex(clean, '[.!?]+') AS between, regexp_extract_all(clean, '[.!?]+') AS stops FROM c),
+s AS (SELECT *, [trim(between[i]) || stops[i] for i in range(1, len(stops) + 1) if trim(between[i]) <> '' AND between[i + 1][1] IN ('', ' ') AND (between[i + 1] <> '' OR i = len(stops))] AS told FROM e),
 f AS (SELECT *, list_filter(list_transform(range(1, least(len(told), 200) + 1), lambda i: array_to_string(told[1:i], ' ')), lambda x: length(x) <= 400) AS fits,
   clean[1:399] AS cut FROM s),
 w AS (SELECT *, regexp_replace(cut, ' [^ ]*$', '') AS words FROM f),

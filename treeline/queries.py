@@ -511,14 +511,30 @@ def tokens(c: str = "text") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({TOKENS}) AS t FROM documents)
-SELECT a.doc_id, CASE WHEN len(a.t) + len(b.t) = 0 THEN 0 ELSE round(1 - len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 9) END AS distance
-FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
+SHINGLE = 5
+
+
+def shingles(t: str) -> Column:
+    """The distinct runs of ``SHINGLE`` tokens."""
+    n = F.size(t) - SHINGLE + 1
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(t, i, F.lit(SHINGLE)), " "))
+    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _shingled(table_: str, key: str) -> str:
+    return f"SELECT {key}, t, unnest(list_distinct([array_to_string(t[i:i + {SHINGLE - 1}], ' ') for i in range(1, len(t) - {SHINGLE - 2})])) AS s FROM {table_}"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), b AS (SELECT item_id, {TOKENS} AS t FROM benchmark),
+p AS (SELECT DISTINCT doc_id, item_id FROM ({_shingled("d", "doc_id")}) x JOIN ({_shingled("b", "item_id")}) y USING (s))
+SELECT doc_id, item_id, round(1 - len(list_intersect(d.t, b.t))::DOUBLE / len(list_distinct(list_concat(d.t, b.t))), 9) AS distance FROM p JOIN d USING (doc_id) JOIN b USING (item_id)""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document and the next."""
-    a = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens()).alias("t"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return a.join(b, "doc_id").select("doc_id", F.round(D.jaccard_distance(F.col("t"), F.col("u")), 9).alias("distance"))
+    """Each document and the benchmark items that it has a run of words in common with."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tokens().alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", tokens().alias("u"))
+    runs = d.select("doc_id", F.explode(shingles("t")).alias("s")).join(b.select("item_id", F.explode(shingles("u")).alias("s")), "s")
+    met = runs.select("doc_id", "item_id").distinct().join(d, "doc_id").join(b, "item_id")
+    return met.select("doc_id", "item_id", F.round(D.jaccard_distance(F.col("t"), F.col("u")), 9).alias("distance"))
 
 
 @query(f"""WITH d AS (SELECT {TOKENS} AS t FROM documents), p AS (SELECT unnest(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS pair FROM d)
@@ -573,6 +589,7 @@ def delta_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.file_delta(delta_rows(spark, sf_dir)).groupBy(D.band(F.col("meaning_delta")).alias("band")).agg(F.count("*").alias("n"))
 
 
+SMALL = "abcdefghijklmnopqrstuvwxyz"
 CLAIMLESS = ", ".join(f"'{w}'" for w in sorted(D.CLAIMLESS))
 
 
@@ -580,8 +597,11 @@ CLAIMLESS = ", ".join(f"'{w}'" for w in sorted(D.CLAIMLESS))
 w AS (SELECT doc_id, [x for x in vocab if length(x) > 2] AS vocab, unnest([text, replace(text, 'and', 'handles')]) AS body, unnest([1, 2]) AS side FROM v),
 t AS (SELECT doc_id, side, vocab, [x for x in list_distinct(regexp_split_to_array(body, '[^A-Za-z0-9_]+')) if x <> ''] AS tokens,
   [x for x in [trim(lower(y), '-') for y in regexp_split_to_array(body, '[^A-Za-z0-9_-]+')] if length(x) > 2 AND regexp_full_match(x, '[a-z-]+')] AS words FROM w),
-i AS (SELECT *, list_distinct([lower(x) for x in tokens if regexp_full_match(x, '[a-z]+([A-Z][a-z0-9]*)+') OR regexp_full_match(x, '[A-Z][a-z0-9]+([A-Z][a-z0-9]*)+')
-  OR regexp_full_match(x, '[a-z0-9]+_[a-z0-9_]+') OR regexp_full_match(x, '[a-z][A-Za-z]*[A-Z][A-Za-z0-9]*') OR lower(x) IN ('thandat', 'ontheheon')]) AS ids FROM t),
+h AS (SELECT *, [{{'x': x, 's': translate(x, '{SMALL}{SMALL.upper()}0123456789', '{"a" * 26}{"A" * 26}{"0" * 10}')}} for x in tokens] AS shapes FROM t),
+i AS (SELECT * EXCLUDE shapes, list_distinct([lower(z.x) for z in shapes if lower(z.x) IN ('thandat', 'ontheheon')
+  OR (instr(z.s, 'A') = 0 AND instr(z.s, '_') BETWEEN 2 AND length(z.s) - 1)
+  OR (instr(z.s, '_') = 0 AND z.s[1] = 'a' AND instr(z.s, 'A') > 0 AND instr(replace(z.s[1:instr(z.s, 'A')], 'a', ''), '0') = 0)
+  OR (instr(z.s, '_') = 0 AND z.s[1] = 'A' AND z.s[2] IN ('a', '0') AND instr(z.s[3:], 'A') > 0)]) AS ids FROM h),
 k AS (SELECT *, [x for x in words if x NOT IN ({CLAIMLESS}) AND NOT list_contains(ids, x)] AS told FROM i),
 g AS (SELECT *, [x for x in told if list_contains(vocab, x)] AS ground FROM k),
 c AS (SELECT doc_id, side, ids, list_distinct(ground) AS grounded, list_distinct([x for x in told if NOT list_contains(vocab, x)]) AS prose,
