@@ -705,8 +705,8 @@ def check_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.check_symbols(side(2, 50), side(3, 60))
 
 
-@query("""WITH c AS (SELECT o_orderkey AS pos, o_custkey AS k, o_orderpriority || ' part' || o_custkey || '.py' AS message FROM orders),
-w AS (SELECT k, min_by(message, pos) AS why FROM c GROUP BY k)
+@query("""WITH c AS (SELECT o_orderkey AS pos, o_orderpriority || ' part' || o_custkey || '.py' AS message FROM orders),
+w AS (SELECT p_partkey AS k, min_by(message, pos) AS why FROM part JOIN c ON contains(message, 'part' || p_partkey) GROUP BY k)
 SELECT 'src/part' || p_partkey || '.py' AS path, why FROM part LEFT JOIN w ON k = p_partkey""")
 def why_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/part"), text_of("p_partkey"), F.lit(".py")).alias("path"))
