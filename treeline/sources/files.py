@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import stat
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -93,20 +96,130 @@ class _TreeReader(DataSourceReader):
                 yield path, None, None, None, None, None, e.strerror or "unreadable"
 
     def one(self, path: str) -> tuple[int, str, bool, bool, str | None]:
-        """Size, hash of all bytes, binary, truncated, text kept; a megabyte at a time, no link followed."""
-        fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
-        with os.fdopen(fd, "rb") as f:
-            if not stat.S_ISREG(os.fstat(f.fileno()).st_mode):
-                raise OSError(0, "not a regular file")
-            sha, size, kept, binary = hashlib.sha256(), 0, bytearray(), False
-            while chunk := f.read(CHUNK):
-                if not size:
-                    binary = b"\0" in chunk[:PROBE]
-                sha.update(chunk)
-                size += len(chunk)
-                if len(kept) < self.max_read:
-                    kept += chunk[: self.max_read - len(kept)]
-        return size, sha.hexdigest(), binary, size > self.max_read, None if binary else kept.decode("utf-8", "replace")
+        return content(path, self.max_read)
+
+
+def guarded(path: str, most: int | None = None) -> BinaryIO:
+    """The file at ``path``, opened for reading if it is a regular file of at most ``most`` bytes; else an OSError.
+
+    No link is followed and no pipe waited for.  What was opened is looked at again: it must be of that kind and size, and the
+    file that was there before.
+    """
+    before = os.lstat(path)
+    fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
+    opened = os.fstat(fd)
+    reason = None
+    if not stat.S_ISREG(before.st_mode) or not stat.S_ISREG(opened.st_mode):
+        reason = "not a regular file"
+    elif (before.st_dev, before.st_ino) != (opened.st_dev, opened.st_ino):
+        reason = "another file while it was opened"
+    elif most is not None and max(before.st_size, opened.st_size) > most:
+        reason = "too large"
+    if reason:
+        os.close(fd)
+        raise OSError(0, reason)
+    return os.fdopen(fd, "rb")
+
+
+def read_guarded(path: str, most: int) -> bytes | None:
+    """The bytes of a regular file of at most ``most``; None for anything else, as for a file that isn't there.
+
+    A file that grows meanwhile is read up to the size it had.
+    """
+    try:
+        with guarded(path, most) as f:
+            return f.read(os.fstat(f.fileno()).st_size)
+    except OSError:
+        return None
+
+
+def content(path: str, max_read: int = MAX_READ) -> tuple[int, str, bool, bool, str | None]:
+    """Size, hash of all bytes, binary, truncated, text kept; a megabyte at a time."""
+    with guarded(path) as f:
+        sha, size, kept, binary = hashlib.sha256(), 0, bytearray(), False
+        while chunk := f.read(CHUNK):
+            if not size:
+                binary = b"\0" in chunk[:PROBE]
+            sha.update(chunk)
+            size += len(chunk)
+            if len(kept) < max_read:
+                kept += chunk[: max_read - len(kept)]
+    return size, sha.hexdigest(), binary, size > max_read, None if binary else kept.decode("utf-8", "replace")
+
+
+def entries(root: str, folder: str) -> Iterator[tuple[str, str, str | None]]:
+    """(path, kind, reason) of what a folder holds: file, folder, repo (the folder itself, if it holds ``.git``) or skipped.
+
+    Links aren't followed, only regular files are files, and a folder that can't be read is skipped with the reason.
+    """
+    try:
+        found = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError as e:
+        yield folder, "skipped", e.strerror or "unreadable"
+        return
+    for e in found:
+        path = os.path.join(folder, e.name)
+        if e.name == ".git":
+            yield folder, "repo", "pointer" if e.is_symlink() or not e.is_dir() else None
+        if e.is_symlink():
+            yield path, "skipped", "symlink"
+        elif e.is_dir():
+            if e.name not in NEVER:
+                yield path, "folder", None
+        elif e.is_file():
+            yield path, "file", None
+
+
+def walk(spark: SparkSession, root: str, parallel: int = 200) -> DataFrame:
+    """``path``, ``kind``, ``reason`` of all that lies under a folder that every executor sees (see :func:`entries`).
+
+    One round a level: the folders of a level are dealt to tasks, and what they list is kept, its folders being the next
+    level.  The driver holds no name.
+    """
+    from treeline.plans.session import kept
+
+    at = os.path.realpath(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["path"]:
+                found = entries(at, folder)
+                while some := list(itertools.islice(found, 4096)):
+                    yield pd.DataFrame(some, columns=["path", "kind", "reason"])
+
+    level, out, n = spark.createDataFrame([("",)], "path string"), None, 0
+    while True:
+        here = kept(level.repartition(parallel, "path").mapInPandas(run, "path string, kind string, reason string"))
+        out = here if out is None else out.unionByName(here)
+        level, n = here.filter("kind = 'folder'").select("path"), n + 1
+        if level.isEmpty():
+            return out
+        if n % 16 == 0:
+            out = kept(out)
+
+
+def walked(found: DataFrame, root: str, max_read: int = MAX_READ, parallel: int = 200) -> DataFrame:
+    """The files of a walk as raw rows (``SCHEMA``), read by whoever holds their names; skipped ones with the reason."""
+    at = os.path.realpath(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, kind, reason in zip(frame["path"], frame["kind"], frame["reason"]):
+                if kind == "file":
+                    try:
+                        row = (path, *content(os.path.join(at, path), max_read), None)
+                    except OSError as e:
+                        row = (path, None, None, None, None, None, e.strerror or "unreadable")
+                else:
+                    row = (path, None, None, None, None, None, reason)
+                yield pd.DataFrame([row], columns=["path", "bytes", "sha256", "binary", "truncated", "text", "skipped"])
+
+    return found.filter("kind IN ('file', 'skipped')").repartition(parallel, "path").mapInPandas(run, SCHEMA)
+
+
+def repositories(found: DataFrame) -> DataFrame:
+    """``root``, ``pointer`` of the nested repositories of a walk: folders that hold ``.git``, a pointer if that is no folder."""
+    return found.filter("kind = 'repo'").select(F.col("path").alias("root"), F.col("reason").isNotNull().alias("pointer"))
 
 
 class TreeSource(DataSource):
