@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treeline.extract import api
 from treeline.operators import order as O
 from treeline.plans import architecture as AR
+from treeline.plans import verdicts as V
 from treeline.queries import query, table, text_of
 
 #: A declaration with what is its body between « and », and what stands there afterwards; §B is a block and §T a text made of a
@@ -102,3 +103,20 @@ def layers_of_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.explode(F.array((k * 2) % 25, (k * 3 + 1) % 25)).alias("to")
     edges = nation.filter(k % 5 != 4).select(k.cast("string").alias("from"), to).withColumn("to", text_of("to"))
     return AR.layered(nation.select(k.cast("string").alias("root")), edges)
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_size AS z, p_name AS n FROM part), r AS (SELECT k, 'p' || k AS path, k % 5 < 4 AND k % 7 < 6 AS readable, k % 5 = 0 AND k % 7 < 6 AS cached, z / 40.0 AS m, n, z FROM t)
+SELECT path, CASE WHEN NOT readable THEN 'unclear' WHEN z % 3 = 0 THEN 'surface' ELSE 'unclear' END AS kind, CASE WHEN readable AND m <= 1 THEN m ELSE 0.5 END::DOUBLE AS magnitude,
+  CASE WHEN NOT readable THEN 'not judged: there was no answer that could be read' WHEN z % 4 = 0 THEN 'no headline was given' ELSE n END AS headline,
+  CASE WHEN NOT readable THEN 'not judged: there was no answer that could be read' WHEN z % 2 = 0 THEN 'told ' || n WHEN z % 4 = 0 THEN 'no headline was given' ELSE n END AS narrative,
+  CASE WHEN NOT readable THEN 'unavailable' WHEN cached THEN 'cache' ELSE 'model' END AS source, readable AND (m > 1 OR m >= 0.15) AS changed FROM r""")
+def model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as changed files: a fifth is cached, a fifth has no answer, a seventh one that can't be read."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part").select(text_of("p_partkey").alias("key"), F.concat(F.lit("p"), k.cast("string")).alias("path"), F.lit("?").alias("prompt"), k.alias("k"), z.alias("z"), "p_name")
+    kind = F.when(F.col("z") % 3 == 0, "surface").otherwise("of its own")
+    body = F.to_json(F.struct(kind.alias("kind"), (F.col("z") / 40).alias("magnitude"), F.when(F.col("z") % 4 == 0, "  ").otherwise(F.col("p_name")).alias("headline"), F.when(F.col("z") % 2 == 0, F.concat(F.lit("told "), F.col("p_name"))).alias("narrative")))
+    reply = F.when(F.col("k") % 7 == 6, F.concat(F.lit("no: "), F.substring(body, 1, 9))).otherwise(F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\n")))
+    replies = part.select("key", F.when(F.col("k") % 5 < 4, reply).alias("answer"), "k")
+    provider = lambda asked: asked.join(replies.filter("k % 5 > 0 OR k % 7 = 6"), "key", "left").select("key", "answer")
+    return V.judged(part.select("key", "path", "prompt"), replies.filter("k % 5 = 0").select("key", "answer"), provider).drop("key")
