@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from treeline.extract import api
 from treeline.operators import order as O
+from treeline.operators import windows as WN
 from treeline.plans import architecture as AR
+from treeline.plans import tour as TR
 from treeline.plans import verdicts as V
-from treeline.queries import query, table, text_of
+from treeline.plan_queries import overlay_targets
+from treeline.queries import SQL, query, table, text_of
 
 #: A declaration with what is its body between « and », and what stands there afterwards; §B is a block and §T a text made of a
 #: document, §N the step.
@@ -120,3 +123,25 @@ def model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = part.select("key", F.when(F.col("k") % 5 < 4, reply).alias("answer"), "k")
     provider = lambda asked: asked.join(replies.filter("k % 5 > 0 OR k % 7 = 6"), "key", "left").select("key", "answer")
     return V.judged(part.select("key", "path", "prompt"), replies.filter("k % 5 = 0").select("key", "answer"), provider).drop("key")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS file, l_orderkey * 8 + l_linenumber AS pos, CASE WHEN l_partkey % 4 = 0 THEN 'variable' ELSE 'function' END AS kind, CASE WHEN l_returnflag <> 'A' THEN 'said' END AS doc,
+  l_linestatus = 'O' AS exported, l_orderkey % 997 + 1 AS line, (l_orderkey % 997 + 1 + l_quantity)::BIGINT AS last FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc IS NULL, NOT exported, last - line DESC, pos) AS r FROM s WHERE kind <> 'variable')
+SELECT file, pos, row_number() OVER (PARTITION BY file ORDER BY line, pos) AS rank FROM r WHERE r <= 6""")
+def headline_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as symbols of their suppliers' files."""
+    line = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_partkey") % 4 == 0, "variable").otherwise("function")
+    start = F.col("l_orderkey") % 997 + 1
+    symbols = line.select(
+        F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), kind.alias("kind"), F.when(F.col("l_returnflag") != "A", "said").alias("doc"),
+        (F.col("l_linestatus") == "O").alias("exported"), start.alias("start"), (start + F.col("l_quantity")).cast("long").alias("end"),
+    )
+    return WN.headline(symbols, ["file"], 6).select("file", "pos", "rank")
+
+
+@query(f"""WITH t AS ({SQL["overlay_targets"]}), s AS (SELECT unnest([0, 1, 2, 3, 4, 5])::BIGINT AS ordinal, unnest(['top', 'churned_small', 'largest', 'hub', 'subsystem', 'deepest']) AS target,
+  unnest([top, churned_small, largest, hub, subsystem, deepest]) AS path FROM t) SELECT ordinal, target, path FROM s WHERE path IS NOT NULL""")
+def overlay_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.overlay_steps(overlay_targets(spark, sf_dir))

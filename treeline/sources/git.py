@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -30,12 +31,56 @@ def facts(repo: str) -> dict:
     return {"head": head and head.strip(), "branch": branch and branch.strip(), "commit_count": int(count or 0)}
 
 
-def fingerprint(repo: str, own: str = ".treeline") -> str | None:
-    """24 hex digits from the head and what differs from it, the digest's own folder aside; None without git."""
+def fingerprint(repo: str, own: str = ".treeline", depth: int = 4) -> str | None:
+    """24 hex digits from the head and what differs from it, the digest's own folder aside.
+
+    Without git, from the newest time of change of what lies at most ``depth`` folders below, hidden names and
+    ``node_modules`` aside; None if there is nothing to look at.
+    """
     import hashlib
 
     head, dirty = git(repo, "rev-parse", "HEAD"), git(repo, "status", "--porcelain", "--", ".", f":(exclude){own}")
-    return hashlib.sha256(f"{head}{dirty}".encode()).hexdigest()[:24] if head is not None and dirty is not None else None
+    if dirty is not None:
+        return hashlib.sha256(f"{head or ''}{dirty}".encode()).hexdigest()[:24]
+    newest = max(_times(repo, own, depth), default=None)
+    return None if newest is None else hashlib.sha256(str(newest).encode()).hexdigest()[:24]
+
+
+def _times(folder: str, own: str, depth: int) -> Iterator[int]:
+    try:
+        found = list(os.scandir(folder))
+    except OSError:
+        return
+    for e in found:
+        if e.name.startswith(".") or e.name in ("node_modules", own):
+            continue
+        try:
+            yield e.stat().st_mtime_ns
+            if depth and e.is_dir():
+                yield from _times(e.path, own, depth - 1)
+        except OSError:
+            continue
+
+
+def compared(repo: str, base: str | None = None, head: str | None = None, number: int | None = None) -> tuple[str, str]:
+    """The commits of a change that is named by its two refs, and by nothing else.
+
+    Exactly one form is taken: a number together with refs, or one ref alone, is an error, and so is a ref that names no
+    commit.  Looking a number up needs a network, so that form is refused by name.
+    """
+    if number is not None and (base or head):
+        raise ValueError("give either a number or two refs, not both")
+    if number is not None:
+        raise ValueError(f"change {number} can't be looked up here: give its two refs")
+    if not base or not head:
+        raise ValueError("give both refs of the change")
+    found = []
+    for name, ref in (("base", base), ("head", head)):
+        sha = git(repo, "rev-parse", "--verify", "--quiet", f"{safe_ref(ref)}^{{commit}}")
+        if not sha:
+            raise ValueError(f"the {name} {ref!r} names no commit")
+        found.append(sha.strip())
+    return found[0], found[1]
 
 
 def is_dirty(repo: str) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,26 @@ def write(relations: dict[str, DataFrame], folder: str, snapshot: str) -> None:
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
 
 
+def try_write(relations: dict[str, DataFrame], folder: str, snapshot: str) -> str | None:
+    """As :func:`write`, but a failure is told, not raised: the digest is there even if it can't be kept.
+
+    Returns why nothing was written, or None.  A local folder that is a link, or is reached through one below the given
+    folder, isn't written into.  What was begun has no manifest, so it isn't read.
+    """
+    local = folder.removeprefix("file://") if folder.startswith("file:") or "://" not in folder else None
+    if local is not None:
+        at = local.rstrip("/")
+        for part in ("", f"v{VERSION}", snapshot):
+            at = os.path.join(at, part) if part else at
+            if os.path.islink(at):
+                return f"{at} is a link"
+    try:
+        write(relations, folder, snapshot)
+    except Exception as e:
+        return " ".join(str(e).split())[:200] or type(e).__name__
+    return None
+
+
 def read(spark: SparkSession, folder: str, snapshot: str) -> dict[str, DataFrame]:
     """All relations of a snapshot; one that is missing or of another version is refused."""
     at = f"{folder.rstrip('/')}/v{VERSION}/{snapshot}"
