@@ -68,6 +68,25 @@ def transcript(raw: Column) -> Column:
     ))
 
 
+def store_key(kind: str, repo: Column, change: Column) -> Column:
+    """The name under which a repository's ``chat`` or ``notes`` are kept, and those on one of its changes apart; not by
+    commit, so that they outlive a new digest."""
+    return F.concat(F.lit(f"treeline:{kind}:"), repo, F.when(F.coalesce(change, F.lit(0)) != 0, F.concat(F.lit("#pr-"), change.cast("string"))).otherwise(""))
+
+
+def stamped(role: Column, content: Column, stop: Column, title: Column, file: Column, ts: Column) -> Column:
+    """A message with where its reader stood (stop -1: nowhere on the tour) and when, as :func:`transcript` reads it back."""
+    return F.struct(
+        role.alias("role"), content.alias("content"), F.coalesce(stop, F.lit(-1)).cast("int").alias("stopIndex"), title.alias("stopTitle"), file.alias("file"), ts.cast("long").alias("ts"),
+    )
+
+
+def note_of(exchanges: DataFrame) -> DataFrame:
+    """``exchanges`` (an anchor's columns with start; question, answer, ts) as notes: the answer is the body."""
+    id_ = F.concat(F.col("ts").cast("string"), F.lit("-"), F.col("start").cast("string"))
+    return exchanges.withColumns({"id": id_, "body": F.col("answer"), "source": F.lit("tutor")}).drop("answer", "ts")
+
+
 def at_stop(messages: Column, stop: Column) -> Column:
     return F.filter(messages, lambda m: m["stop"] == stop)
 

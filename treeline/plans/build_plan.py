@@ -99,3 +99,48 @@ def decisions(steps: DataFrame, extracts: DataFrame, sizes: DataFrame) -> DataFr
     )
     why = F.when(F.col("sha").isNotNull(), F.concat(F.lit("added in "), F.substring("sha", 1, 8)))
     return met.withColumn("__q", asked).select("id", RP.decision(F.col("__q"), why, F.when(F.col("sha").isNotNull(), "commit").otherwise("none")).alias("decision"))
+
+
+#: Fixed value: lines of a file that its own step shows.
+HEAD_LINES = 120
+
+
+def ranges(steps: DataFrame, loc: DataFrame) -> DataFrame:
+    """``steps`` with ``from``, ``to``: the lines an interpretation is asked for; null where there is nothing to show.
+
+    A symbol's own lines, the head of a file (``loc``: path, loc), and none for the shape of a chapter.
+    """
+    met = steps.join(loc.select("path", "loc"), "path", "left")
+    head = F.when(F.col("loc") > 0, F.least("loc", F.lit(HEAD_LINES)))
+    last = F.when(F.col("kind") == "symbol", F.col("end")).when(F.col("kind") == "file", head).cast("long")
+    first = F.when(F.col("kind") == "symbol", F.col("start")).when(head.isNotNull() & (F.col("kind") == "file"), F.lit(1)).cast("long")
+    return met.withColumns({"from": F.when(last.isNotNull(), first), "to": F.when(first.isNotNull(), last)}).drop("loc")
+
+
+def asked(steps: DataFrame, loc: DataFrame) -> DataFrame:
+    """``path``, ``start``, ``end`` to be interpreted, each once, whoever asks for the same lines."""
+    return ranges(steps, loc).filter("from IS NOT NULL").select("path", F.col("from").alias("start"), F.col("to").alias("end")).distinct()
+
+
+def interpreted(steps: DataFrame, decided: DataFrame, loc: DataFrame, meanings: DataFrame) -> DataFrame:
+    """``id``, ``decision`` of every step, with what an interpretation of its lines says, where there is one.
+
+    ``meanings`` has path, start, end, summary, why, alternatives (array<struct<label,consequence>>).  The author's choice
+    stays as it is, only what follows from it is told by the summary; alternatives become options that weren't taken.  A
+    step without a meaning keeps its decision.
+    """
+    said = meanings.select("path", F.col("start").cast("long").alias("from"), F.col("end").cast("long").alias("to"), F.struct("summary", "why", "alternatives").alias("m"))
+    met = ranges(steps, loc).join(said, ["path", "from", "to"], "left").select("id", "m").join(decided, "id")
+    d, m = F.col("decision"), F.col("m")
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    option = lambda id_, label, consequence, taken: F.struct(id_.alias("id"), label.alias("label"), consequence.alias("consequence"), taken.alias("taken"))
+    own = F.transform(
+        F.filter(d["options"], lambda o: o["id"] == d["author_choice"]), lambda o: option(o["id"], o["label"], F.coalesce(text(m["summary"]), o["consequence"]), o["taken"])
+    )
+    none = F.array().cast("array<struct<label:string,consequence:string>>")
+    other = F.transform(F.coalesce(m["alternatives"], none), lambda a, i: option(F.concat(F.lit("alt-"), (i + 1).cast("string")), a["label"], a["consequence"], F.lit(False)))
+    folded = F.struct(
+        d["question"].alias("question"), F.concat(own, other).alias("options"), d["author_choice"].alias("author_choice"), d["chosen"].alias("chosen"),
+        F.coalesce(text(m["why"]), d["why"]).alias("why"), F.lit("interpret").alias("why_source"),
+    )
+    return met.select("id", F.when(m.isNotNull(), folded).otherwise(d).alias("decision"))

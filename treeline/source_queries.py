@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.extract import api
+from treeline.operators import lookup as L
 from treeline.operators import order as O
+from treeline.operators import reports as RP
 from treeline.operators import windows as WN
 from treeline.plans import architecture as AR
+from treeline.plans import build_plan as BP
 from treeline.plans import tour as TR
 from treeline.plans import verdicts as V
 from treeline.plan_queries import overlay_targets
@@ -145,3 +148,45 @@ def headline_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
   unnest([top, churned_small, largest, hub, subsystem, deepest]) AS path FROM t) SELECT ordinal, target, path FROM s WHERE path IS NOT NULL""")
 def overlay_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.overlay_steps(overlay_targets(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations), m AS (
+  SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text FROM t WHERE trim(text) <> '')
+SELECT 'treeline:chat:r' || conv_id // 3 || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '#pr-' || conv_id % 3 END AS key, conv_id, count(*) AS n, count(*) FILTER (turn % 4 = 0) AS nowhere,
+  sha256(string_agg(role || ':' || text || ':' || turn, '|' ORDER BY turn, role, text)) AS told FROM m GROUP BY conv_id""")
+def chats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations stamped, kept as JSON under their keys, and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    stop = F.when(F.col("turn") % 4 != 0, F.col("turn"))
+    none = F.lit(None).cast("string")
+    said = turns.withColumn("m", L.stamped(F.col("role"), F.col("text"), stop, none, none, F.col("turn")))
+    kept = said.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "m"))), lambda x: x["m"])).alias("stored"))
+    c = F.col("conv_id")
+    read = kept.select(L.store_key("chat", F.concat(F.lit("r"), F.floor(c / 3).cast("string")), c % 3).alias("key"), "conv_id", L.transcript(F.col("stored")).alias("told"))
+    line = F.transform("told", lambda m: F.concat_ws(":", m["role"], m["content"], m["ts"].cast("string")))
+    rows = read.select("key", "conv_id", F.size("told").cast("long").alias("n"), F.size(L.at_stop(F.col("told"), F.lit(-1))).cast("long").alias("nowhere"), F.sha2(F.array_join(line, "|"), 256).alias("told"))
+    return rows.filter("n > 0")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS z, p_name AS n, 'f' || p_partkey // 2 AS path, CASE p_partkey % 3 WHEN 0 THEN 'shape' WHEN 1 THEN 'file' ELSE 'symbol' END AS kind FROM part),
+l AS (SELECT path, max(z) * 7 - 20 AS loc FROM p GROUP BY path), r AS (SELECT p.*, CASE WHEN kind = 'symbol' THEN z WHEN kind = 'file' AND loc > 0 THEN 1 END AS a, CASE WHEN kind = 'symbol' THEN z + 4 WHEN kind = 'file' AND loc > 0 THEN least(loc, 120) END AS b
+  FROM p JOIN l USING (path)), m AS (SELECT DISTINCT path, a, b FROM r WHERE a IS NOT NULL AND b % 2 = 0)
+SELECT k::VARCHAR AS id, CASE WHEN m.a IS NULL THEN n ELSE 'does ' || m.a || '-' || m.b END AS consequence, CASE WHEN m.a IS NULL THEN 1 ELSE 1 + m.b % 3 END AS n_options,
+  CASE WHEN m.a IS NULL OR m.b % 3 < 2 THEN NULL ELSE 'alt-2' END AS last_id, CASE WHEN m.a IS NULL OR m.a % 2 = 0 THEN 'old' ELSE 'because ' || m.path END AS why, CASE WHEN m.a IS NULL THEN 'commit' ELSE 'interpret' END AS why_source
+FROM r LEFT JOIN m ON m.path = r.path AND m.a = r.a AND m.b = r.b""")
+def plan_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as steps of a plan; lines that end on an even number are interpreted."""
+    k, z = F.col("p_partkey"), F.col("p_size").cast("long")
+    kind = F.when(k % 3 == 0, "shape").when(k % 3 == 1, "file").otherwise("symbol")
+    part = table(spark, sf_dir, "part").select(text_of("p_partkey").alias("id"), F.concat(F.lit("f"), F.floor(k / 2).cast("string")).alias("path"), kind.alias("kind"), z.alias("z"), F.col("p_name").alias("n"))
+    steps = part.select("id", "path", "kind", F.when(F.col("kind") == "symbol", F.col("z")).alias("start"), F.when(F.col("kind") == "symbol", F.col("z") + 4).alias("end"))
+    decided = part.select("id", RP.decision(F.struct(F.lit("?").alias("question"), F.col("n").alias("consequence")), F.lit("old"), F.lit("commit")).alias("decision"))
+    loc = part.groupBy("path").agg((F.max("z") * 7 - 20).alias("loc"))
+    asked = BP.asked(steps, loc).filter("end % 2 = 0")
+    other = F.struct(F.lit("another way").alias("label"), F.lit("so so").alias("consequence"))
+    meanings = asked.select(
+        "path", "start", "end", F.concat_ws("", F.lit("does "), "start", F.lit("-"), "end").alias("summary"), F.when(F.col("start") % 2 == 1, F.concat(F.lit("because "), "path")).otherwise(" ").alias("why"),
+        F.array_repeat(other, (F.col("end") % 3).cast("int")).alias("alternatives"),
+    )
+    d = BP.interpreted(steps, decided, loc, meanings).select("id", "decision.*")
+    return d.select("id", F.col("options")[0]["consequence"].alias("consequence"), F.size("options").cast("long").alias("n_options"), F.get(F.col("options"), F.lit(2))["id"].alias("last_id"), "why", "why_source")
