@@ -58,7 +58,11 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
             part = h[first[i] : first[i] + counts[i]]
             whole.append(C.mix(C.hash_grams(part, len(part)) + np.uint64(len(part)))[0])
         g, r = np.concatenate([g, np.array(whole, dtype=np.uint64)]), np.concatenate([r, short])
-    order = np.argsort((r.astype(np.uint64) << np.uint64(44)) | (g >> np.uint64(20)))
+    key = (r.astype(np.uint64) << np.uint64(44)) | (g >> np.uint64(20))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    if (g[order[1:]] != g[order[:-1]])[same].any():  # hashes of a row that differ in low bits only may lie mixed
+        order = np.lexsort((g, r))
     g, r = g[order], r[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
