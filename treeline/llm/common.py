@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 12
+#: Rows up to which Spark may broadcast a side of a join: the driver holds such a table several times over, by each join.
+BROADCAST_ROWS = 100_000
 
 _rng = np.random.default_rng(20240117)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,6 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, as a side of a join; a large one is never broadcast, whatever Spark measures."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit hashes, so that every bit depends on every input bit."""
     h = (h ^ (h >> np.uint64(30))) * _MIX1

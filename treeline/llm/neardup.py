@@ -232,20 +232,22 @@ def classes(
     full = signed.filter("n > 0")
     lead = full.groupBy("n", "one", "two").agg(F.min(F.struct("id", "row")).alias("rep"))
     lead = C.cut(lead.select("n", "one", "two", F.col("rep.id").alias("rep_id"), F.col("rep.row").alias("rep")))
-    reps = full.join(lead.select("rep"), F.col("row") == F.col("rep"), "left_semi")
+    many = lead.count()
+    reps = full.join(C.side(lead.select("rep"), many), F.col("row") == F.col("rep"), "left_semi")
     keyed = reps.select("row", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
     # A document's bands have one least row each: it is tied to the least of them, and that one to the others,
     # so the members of a large group share these ties instead of having one for each band.
-    tied = keyed.join(shared, "band").groupBy("row").agg(F.min("least").alias("label"), F.collect_set("least").alias("leasts"))
+    tied = keyed.join(C.side(shared, bands * many), "band").groupBy("row").agg(F.min("least").alias("label"), F.collect_set("least").alias("leasts"))
     across = tied.select("label", F.explode("leasts").alias("least")).filter("label <> least").distinct()
     ties = tied.filter("row <> label").select(F.col("row").alias("a"), F.col("label").alias("b")).unionAll(across)
     clusters = components(ties).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    clusters = C.cut(clusters.join(lead.select(F.col("rep").alias("row"), "n"), "row"))
-    sizes = C.cut(clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("held")))
+    clusters = C.cut(clusters.join(C.side(lead.select(F.col("rep").alias("row"), "n"), many), "row"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("held"))
     parts = F.ceil(F.greatest(F.col("size") / block, F.col("held") / block_shingles)).cast("long")
-    placed = clusters.join(sizes.select("cluster", "size", parts.alias("parts")), "cluster")
-    texts = C.cut(placed.join(body.select("row", "text"), "row").select("row", "cluster", "size", "parts", "n", "text"))
+    large = sizes.select("cluster", "size", parts.alias("parts")).filter("parts > 1")  # a row for each block of members, at most
+    placed = clusters.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    texts = C.cut(C.side(placed, many).join(body.select("row", "text"), "row").select("row", "cluster", "size", "parts", "n", "text"))
     parts = F.col("parts")
     hub = (parts > 1) & (F.pmod(F.xxhash64("row"), F.col("size")) < hubs)
     own = F.array(F.pmod(F.xxhash64("row", F.lit(1)), parts))
@@ -256,14 +258,14 @@ def classes(
     links = C.cut(compare(tasks, shingle, percent, count, bits, margin))
     roots = components(links)
     if texts.filter("parts > 1").limit(1).count():
-        more = _rest(texts.filter("parts > 1"), roots, block, block_shingles)
+        more = _rest(texts.filter("parts > 1"), C.side(roots, many), block, block_shingles)
         links = C.cut(links.unionByName(compare(more, shingle, percent, count, bits, margin)))
         roots = components(links)
-    rooted = lead.join(roots, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root", "rep").alias("root"))
-    member = signed.select("id", "row", "n", "one", "two").join(rooted, ["n", "one", "two"], "left")
+    rooted = lead.join(C.side(roots, many), F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root", "rep").alias("root"))
+    member = signed.select("id", "row", "n", "one", "two").join(C.side(rooted, many), ["n", "one", "two"], "left")
     member = C.cut(member.select("id", "row", "one", "two", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("root")))
     best = C.cut(member.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.min("id").alias("component_id")))
-    out = member.join(best, "root")
+    out = member.join(C.side(best, best.count()), "root")
     return out.select("id", "row", "one", "two", "n_shingles", "component_id", (F.col("row") == F.col("best.row")).alias("first"))
 
 
@@ -293,7 +295,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     on rows of different texts, each row is told by its set as well.
     """
     found = classes(docs, key, text, shingle, **options).withColumnsRenamed({c: f"__{c}" for c in ("id", "one", "two")})
-    stays = found.filter("first OR n_shingles = 0").select("__id").distinct()
+    stays = found.filter("first OR n_shingles = 0").select("__id").distinct().hint("merge")  # about a row for each document
     ids = found.groupBy("__id").agg(F.count("*").alias("n"))
     repeated = C.cut(ids.filter("n > 1").select("__id"))
     same = F.col(key).eqNullSafe(F.col("__id"))
