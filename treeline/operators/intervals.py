@@ -75,15 +75,30 @@ def sections(start: Column, end: Column, blanks: Column, lines: int = SECTION_LI
     Spans up to 1.4 times ``lines`` stay whole, and so does one without a blank line 5 lines from its ends.
     ``blanks`` are the file's blank lines.
     """
-    span = end - start + 1
-    n = F.least(F.ceil(span / lines), F.lit(3)).cast("int")
-    inner = F.filter(blanks, lambda b: (b >= start + 5) & (b <= end - 5))
-    near = lambda at: F.array_min(F.transform(inner, lambda b: F.struct(F.abs(b - at).alias("far"), b.alias("line"))))["line"]
-    points = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: near(start + (span * i / n)))))
-    starts, ends = F.concat(F.array(start.cast("long")), F.transform(points, lambda p: (p + 1).cast("long"))), F.concat(F.transform(points, lambda p: p.cast("long")), F.array(end.cast("long")))
-    cut = F.arrays_zip(starts.alias("start"), ends.alias("end"))
-    whole = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-    return F.when((span <= 1.4 * lines) | (F.size(inner) == 0) | (n < 2), whole).otherwise(cut)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  an expression named twice is computed twice
+
+    def cut(own: Column) -> Column:
+        start, end, n = own["start"], own["end"], own["n"]
+        span = end - start + 1
+        whole = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+        near = lambda inner, at: F.array_min(F.transform(inner, lambda b: F.struct(F.abs(b - at).alias("far"), b.alias("line"))))["line"]
+
+        def ranges(points: Column) -> Column:
+            starts, ends = F.concat(F.array(start.cast("long")), F.transform(points, lambda p: (p + 1).cast("long"))), F.concat(F.transform(points, lambda p: p.cast("long")), F.array(end.cast("long")))
+            return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+        def points(inner: Column) -> Column:
+            each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: start + (span * i / n))
+            nearest = F.array_sort(F.array_distinct(F.transform(each, lambda at: near(inner, at))))
+            return F.when(F.size(inner) == 0, whole).otherwise(once(nearest, ranges))
+
+        # the bounds are elements of an array of one, so that a line costs a comparison and not their computation
+        low, high = start + 5, end - 5
+        inner = once(F.struct(low.alias("low"), high.alias("high")), lambda x: F.filter(blanks, lambda b: (b >= x["low"]) & (b <= x["high"])))
+        return F.when((span <= 1.4 * lines) | (n < 2), whole).otherwise(once(inner, points))
+
+    n = F.least(F.ceil((end - start + 1) / lines), F.lit(3)).cast("int")
+    return once(F.struct(start.alias("start"), end.alias("end"), n.alias("n")), cut)
 
 
 def change_stop(hunks: DataFrame, by: list[str]) -> DataFrame:
