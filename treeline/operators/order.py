@@ -45,7 +45,7 @@ def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     own = nodes.select(F.col("chapter").alias("group"), "node", F.coalesce("tie", F.lit("")).alias("tie"))
     need = edges.select(F.col("chapter").alias("group"), F.col("from").alias("node"), F.col("to").alias("need"))
-    waved = own.groupBy("group", "node").agg(F.max("tie").alias("tie")).join(peeled(own, need), ["group", "node"])
+    waved = own.repartition("group", "node").groupBy("group", "node").agg(F.max("tie").alias("tie")).hint("merge").join(peeled(own, need), ["group", "node"])
     placed = numbered_within(waved, "group", [F.col("wave"), F.col("tie"), F.col("node")], "ordinal")
     return placed.select(F.col("group").alias("chapter"), "node", "ordinal")
 

@@ -15,11 +15,13 @@ def peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     of a group waits for each other, the node with the fewest open needs, and then the least, goes alone.
 
     One round a wave for all groups together: the last wave meets the edges that need it, and the counts of open needs
-    fall.  A group is never one task's: rows are dealt by node.  Every round's table is kept by checkpoint.
+    fall.  A group is never one task's: rows are dealt by node, before repeated ones are
+    looked for, as an input of few files would else be few tasks' to hold.  Every round's table is kept by checkpoint.
     """
-    nodes = kept(nodes.select("group", "node").distinct())
-    real = edges.select("group", "node", "need").filter("node <> need").distinct()
-    real = real.join(nodes, ["group", "node"], "left_semi").join(nodes.select("group", F.col("node").alias("need")), ["group", "need"], "left_semi")
+    nodes = kept(nodes.select("group", "node").repartition("group", "node").distinct())
+    real = edges.select("group", "node", "need").filter("node <> need").repartition("group", "node", "need").distinct()
+    known = nodes.hint("merge")  # never broadcast: Spark may judge it by the files it came from, which are far smaller
+    real = real.join(known, ["group", "node"], "left_semi").join(known.select("group", F.col("node").alias("need")), ["group", "need"], "left_semi")
     edge = kept(real.repartition("group", "need"))
     needs = edge.groupBy("group", "node").agg(F.count("*").alias("open"))
     left = kept(nodes.join(needs, ["group", "node"], "left").withColumn("open", F.coalesce("open", F.lit(0).cast("long"))))

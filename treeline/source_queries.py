@@ -86,7 +86,7 @@ def cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = table(spark, sf_dir, "part").select(F.floor(k / 64).alias("g"), k.alias("k"), F.col("p_type").alias("tie"), (k % 64).alias("i"))
     halves = w.select("g", "k", "i", F.explode(F.array_distinct(F.array(F.floor(F.col("i") / 2), F.floor(F.col("i") / 3)))).alias("j"), (F.floor(F.col("i") / 2)).alias("half"))
     far = w.filter("k % 17 = 3").select("g", "k", "i", (F.col("i") + 3).alias("j"), F.lit(-1).cast("long").alias("half"))
-    other = w.select("g", F.col("k").alias("o"), F.col("i").alias("j"))
+    other = w.select("g", F.col("k").alias("o"), F.col("i").alias("j")).hint("merge")  # Spark judges it by its file, which is far smaller
     met = halves.unionByName(far).join(other, ["g", "j"]).filter("i <> j")
     back = met.filter("j = half AND (k * 7 + i) % 11 = 0").select("g", F.col("o").alias("from"), F.col("k").alias("to"))
     edges = met.select("g", F.col("k").alias("from"), F.col("o").alias("to")).unionByName(back)
