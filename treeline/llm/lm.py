@@ -33,6 +33,10 @@ SHARE = 2
 REPLICA_TOKENS = 4_000_000
 #: A window of few documents is up to so many times longer.
 LONGEST = 4
+#: Tokens whose softmaxes are computed at once, and documents scored side by side: what they need stays in a core's cache.
+BLOCK, ABREAST = 1024, 2048
+#: Where no state within -1 and 1 can make a logit beyond this, exponentials are taken without the maximum's subtraction.
+MILD = 40
 _POINT = 1 << 16  # replicas are summed in whole numbers, so that the order of the sum tells nothing
 #: Words up to which the count table goes to the workers whole (16 bytes each); beyond, it is joined.
 BROADCAST_WORDS = 8_000_000
@@ -40,13 +44,21 @@ END = 0x5EED_0E4D_0000_0001
 SMOOTH = 0.1
 
 
+def keep_memory() -> None:
+    """Frees a block of 24 MB, after which glibc keeps freed arrays up to this size for the next ones.
+
+    Otherwise each array beyond 128 kB is mapped and cleared anew, page by page; elsewhere this does nothing.
+    """
+    np.empty(24 << 20, dtype=np.uint8)
+
+
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each row's end included, and where each row's begin (one more at the end)."""
     starts, ends, rows = C.words(buf, off)
     n = len(off) - 1
     counts = C.row_counts(rows, n)
     out = np.full(len(rows) + n, END, dtype=np.uint64)
-    out[np.arange(len(rows)) + rows] = C.hash_words(buf, starts, ends, lower=True)
+    out[np.arange(len(rows)) + rows] = C.hash_words_by_sums(buf, starts, ends, lower=True)
     return out, np.concatenate([[0], np.cumsum(counts + 1)])
 
 
@@ -59,6 +71,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """``word`` (hash) and ``n`` over the column ``text`` of all rows; counted in the task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         word, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
         def out() -> pa.RecordBatch:
@@ -119,13 +132,43 @@ def shortlist(counts: DataFrame, classes: int, per_class: int, words: int) -> Sh
     return Shortlist(word[order], np.arange(len(word))[order].astype(np.int32), size, by_number, rest + SMOOTH * (kinds + 1))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def by_number(token: np.ndarray, kinds: int) -> np.ndarray:
+    """The stable order of token numbers below ``kinds``; those of 16 bits are sorted by radix."""
+    return np.argsort(token.astype(np.uint16) if kinds <= 1 << 16 else token, kind="stable")
+
+
+_GRID = np.float32(1 << 24)
+
+
+def exact(weights: np.ndarray) -> np.ndarray:
+    """Weights of 4-byte floats for ``product``, rounded to multiples of a power of 2, about as fine as their floats.
+
+    A sum of their products with states then has at most 53 bits, so its order, which BLAS chooses by a column's
+    place, tells nothing: a score depends on its own text only.
+    """
+    if weights.dtype != np.float32:
+        return weights
+    unit = 2.0 ** (28 - math.frexp(float(np.abs(weights).max(initial=0)) * weights.shape[-1])[1])
+    return np.rint(weights * np.float64(unit)) / (unit * float(_GRID))
+
+
+def on_grid(states: np.ndarray) -> np.ndarray:
+    return np.rint(states * _GRID).astype(np.float64)
+
+
+def product(weights: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """``weights @ states``; without rounding before the end for weights made by ``exact``."""
+    if weights.dtype == states.dtype:
+        return weights @ states
+    return (weights @ on_grid(states)).astype(states.dtype)
 
 
 @dataclass
 class Network:
-    """A gated recurrent network with a class-factored output; all weights in one vector."""
+    """A gated recurrent network with a class-factored output; all weights in one vector.
+
+    States are (documents, units); inside, units lie along the first axis, so that whole rows are worked on.
+    """
 
     hidden: int
     classes: int
@@ -156,97 +199,144 @@ class Network:
         net.word_bias[:] = np.log(freq / freq.sum(1, keepdims=True))
         return net
 
+    def recurrent(self) -> np.ndarray:
+        """The weights that meet a state, a row for each unit of both gates and the candidate."""
+        return np.ascontiguousarray(np.concatenate([self.gates, self.state], axis=1).T)
+
+    def advance(self, x: np.ndarray, h: np.ndarray, recurrent: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after inputs ``x``, with what the backward pass needs: gates, candidate's share of the state, candidate.
+
+        All have units along the first axis.
+        """
+        k = self.hidden
+        met = product(recurrent, h)
+        gates, lean = met[: 2 * k], met[2 * k :]
+        gates += x[: 2 * k]
+        np.negative(gates, out=gates)
+        np.minimum(gates, 80, out=gates)  # its exponential is finite
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = gates[:k] * lean
+        new += x[2 * k :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[k:]
+        out += new
+        return out, gates, lean, new
+
     def step(self, token: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """The state after ``token``, with what the backward pass needs."""
-        k = self.hidden
-        x = self.inputs[token]
-        gates = _sigmoid(x[:, : 2 * k] + h @ self.gates)
-        r, z = gates[:, :k], gates[:, k:]
-        lean = h @ self.state
-        new = np.tanh(x[:, 2 * k :] + r * lean)
-        return new + z * (h - new), r, z, lean, new
-
-    def output(self, h: np.ndarray, token: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of ``token`` after states ``h``; with ``grads``, the states' gradients."""
-        n, every = len(token), np.arange(len(token))
-        cls = (token // self.per_class).astype(np.int16)
-        # classes lie along the first axis, so that sums over them run along whole rows
-        logits = self.to_class.T @ h.T + self.class_bias[:, None]
-        logits -= logits.max(0)
-        chosen = logits[cls, every]
-        prob = np.exp(logits, out=logits)
-        total = prob.sum(0)
-        out = chosen - np.log(total)
-        back = None
-        if grads is not None:
-            prob /= total
-            prob[cls, every] -= 1
-            grads.to_class += (prob @ h).T
-            grads.class_bias += prob.sum(1)
-            back = (self.to_class @ prob).T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        states, words = h[order], (token % self.per_class)[order]
-        inside, deep = np.empty(n, dtype=out.dtype), np.empty_like(states)
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            at = slice(edges[c], edges[c + 1])
-            part, word = states[at], words[at]
-            few = every[: len(word)]
-            logits = self.to_word[c].T @ part.T + self.word_bias[c][:, None]
-            logits -= logits.max(0)
-            chosen = logits[word, few]
-            prob = np.exp(logits, out=logits)
-            total = prob.sum(0)
-            inside[at] = chosen - np.log(total)
-            if grads is not None:
-                prob /= total
-                prob[word, few] -= 1
-                grads.to_word[c] += (prob @ part).T
-                grads.word_bias[c] += prob.sum(1)
-                deep[at] = (self.to_word[c] @ prob).T
-        out[order] += inside
-        if grads is not None:
-            back[order] += deep
-        return out, back
+        return tuple(a.T for a in self.advance(self.rows(token), h.T, self.recurrent()))
+
+    def rows(self, token: np.ndarray) -> np.ndarray:
+        """The inputs of tokens, units along the first axis."""
+        return np.ascontiguousarray(np.take(self.inputs, token, axis=0, mode="clip").T)
+
+    def output(self, h: np.ndarray, token: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Natural log probabilities of ``token`` after states ``h``; with ``grads``, the states' gradients instead.
+
+        Tokens are sorted by number, thus by class, and taken in blocks.  Softmaxes run over a whole block; only
+        products with a class's own weights run by class.
+        """
+        k, n = self.hidden, len(token)
+        order = by_number(token, len(self.inputs))
+        cls, word = np.divmod(token[order], self.per_class)
+        states = np.ones((k + 1, n), dtype=np.result_type(h, self.weights))  # a last unit of 1 meets the biases
+        np.take(h.T.astype(states.dtype, copy=False), order, axis=1, out=states[:k], mode="clip")
+        to_class = np.ascontiguousarray(np.concatenate([self.to_class, self.class_bias[None]]).T)
+        to_word = np.ascontiguousarray(np.concatenate([self.to_word, self.word_bias[:, None]], axis=1).swapaxes(1, 2))
+        mild = max(np.abs(w).sum(-1).max() for w in (to_class, to_word)) <= MILD
+        kind, meeting = states.dtype, states
+        if grads is None and kind == np.float32:
+            to_class, to_word, meeting = exact(to_class), exact(to_word), on_grid(states)
+        class_grads, word_grads = np.zeros_like(to_class), np.zeros_like(to_word if grads is not None else to_word[:0])
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        every = np.arange(min(n, BLOCK))
+        out = np.empty(n if grads is None else (k, n), dtype=states.dtype)
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            part, few = states[:, lo:hi], every[: hi - lo]
+            own = [(c, max(edges[c], lo) - lo, min(edges[c + 1], hi) - lo) for c in range(cls[lo], cls[hi - 1] + 1) if edges[c] < edges[c + 1]]
+            # classes and words lie along the first axis, so that sums over them run along whole rows
+            across, inside = to_class @ meeting[:, lo:hi], np.empty((self.per_class, hi - lo), dtype=meeting.dtype)
+            for c, i, j in own:
+                np.matmul(to_word[c], meeting[:, lo + i : lo + j], out=inside[:, i:j])
+            log, totals = 0, []
+            across, inside = across.astype(kind, copy=False), inside.astype(kind, copy=False)
+            for logits, chosen in ((across, cls[lo:hi]), (inside, word[lo:hi])):
+                if not mild:
+                    logits -= logits.max(0)
+                if grads is None:
+                    log = log + logits[chosen, few]
+                np.exp(logits, out=logits)
+                totals.append(np.add.reduce(logits, 0) if hi - lo > 1 else np.add.accumulate(logits, 0)[-1])  # a lone column in the same order
+                if grads is not None:
+                    logits[chosen, few] -= totals[-1]  # all gradients are divided by the totals below
+            if grads is None:
+                out[lo:hi] = log - np.log(totals[0] * totals[1])
+                continue
+            class_grads += across @ (part / totals[0]).T
+            back, deep, share = (across.T @ self.to_class.T).T, out[:, lo:hi], part / totals[1]
+            for c, i, j in own:
+                word_grads[c] += inside[:, i:j] @ share[:, i:j].T
+                np.matmul(self.to_word[c], inside[:, i:j], out=deep[:, i:j])
+            deep /= totals[1]
+            back /= totals[0]
+            deep += back
+        result = np.empty_like(out)
+        result[..., order] = out
+        if grads is None:
+            return result, None
+        grads.to_class += class_grads[:, :k].T
+        grads.class_bias += class_grads[:, k]
+        grads.to_word += word_grads[:, :, :k].swapaxes(1, 2)
+        grads.word_bias += word_grads[:, :, k]
+        return None, result.T
 
     def window(self, x: np.ndarray, h: np.ndarray, lengths: np.ndarray, grads: Network) -> np.ndarray:
         """One window of truncated backpropagation.  ``x`` is (time, stream), streams by length descending;
         ``lengths`` are the tokens each has here.  Adds gradients to ``grads`` and returns the new states."""
         k, t = self.hidden, len(x)
         active = [int(np.searchsorted(-lengths, -i, "left")) for i in range(t)]
-        states, saved = [h], []
-        for i in range(t):
-            n = active[i]
-            new, *rest = self.step(x[i, :n], states[-1][:n])
-            saved.append(rest)
-            states.append(new)
-        flat = np.concatenate([states[i][: active[i]] for i in range(t)])
+        ends = np.concatenate([[0], np.cumsum(active)]).tolist()
         token = np.concatenate([x[i, : active[i]] for i in range(t)]).astype(np.int64)
-        _, back = self.output(flat, token, grads)
-        ends = np.concatenate([[0], np.cumsum(active)])
-        dx = np.empty((ends[-1], 3 * k), dtype=np.float32)
-        later = np.zeros((0, k), dtype=np.float32)
-        for i in range(t - 1, -1, -1):
-            n = active[i]
-            r, z, lean, new = saved[i]
-            prior = states[i][:n]
-            d = np.zeros((n, k), dtype=np.float32)
-            d[: len(later)] = later
-            dn = d * (1 - z) * (1 - new * new)
-            dlean = dn * r
-            dg = np.concatenate([dn * lean * r * (1 - r), d * (prior - new) * z * (1 - z)], axis=1)
-            row = dx[ends[i] : ends[i + 1]]
-            row[:, : 2 * k], row[:, 2 * k :] = dg, dn
-            grads.gates += prior.T @ dg
-            grads.state += prior.T @ dlean
-            later = d * z + dg @ self.gates.T + dlean @ self.state.T + back[ends[i] : ends[i + 1]]
-        order = np.argsort(token, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) != 0]))
-        grads.inputs[token[order][at]] += np.add.reduceat(dx[order], at, axis=0)
-        out = h.copy()
-        for i in range(t):
-            out[: active[i]] = states[i + 1]
-        return out
+        inputs, recurrent = self.rows(token), self.recurrent()
+        now = h.T.copy()
+        prior, new, lean = (np.empty((k, ends[-1]), dtype=now.dtype) for _ in range(3))
+        gates = np.empty((2 * k, ends[-1]), dtype=now.dtype)
+        for n, s, e in zip(active, ends, ends[1:]):
+            prior[:, s:e] = now[:, :n]
+            now[:, :n], gates[:, s:e], lean[:, s:e], new[:, s:e] = self.advance(inputs[:, s:e], prior[:, s:e], recurrent)
+        _, back = self.output(prior.T, token, grads)
+        back = back.T
+        # how a state's gradient reaches the candidate, the gates and the candidate's share of the prior state
+        r, z = gates[:k], gates[k:]
+        to_new = (1 - z) * (1 - new * new)
+        to_met = np.concatenate([to_new * lean * r * (1 - r), (prior - new) * z * (1 - z), to_new * r])
+        down = np.ascontiguousarray(recurrent.T)
+        d = np.zeros((k, ends[-1]), dtype=now.dtype)
+        for i in range(t - 1, 0, -1):
+            n, s, e = active[i], ends[i], ends[i + 1]
+            met = to_met[:, s:e]
+            own = d[:, s:e]
+            for j in range(3):
+                met[j * k : (j + 1) * k] *= own
+            later = down @ met
+            later += own * z[:, s:e]
+            later += back[:, s:e]
+            d[:, ends[i - 1] : ends[i - 1] + n] = later
+        for j in range(3):
+            to_met[j * k : (j + 1) * k, : ends[1]] *= d[:, : ends[1]]
+        met = prior @ to_met.T
+        grads.gates += met[:, : 2 * k]
+        grads.state += met[:, 2 * k :]
+        to_new *= d
+        got, at = np.zeros((3 * k, len(grads.inputs)), dtype=now.dtype), token.astype(np.intp)
+        for row, values in zip(got, (*to_met[: 2 * k], *to_new)):
+            np.add.at(row, at, values)
+        grads.inputs += got.T
+        return now.T
 
 
 def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate: float) -> int:
@@ -256,7 +346,8 @@ def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate:
     """
     docs = sorted(docs, key=len, reverse=True)
     groups = [docs[i : i + streams] for i in range(0, len(docs), streams)]
-    square = np.full_like(net.weights, 1e-3)
+    square, room = np.full_like(net.weights, 1e-3), np.empty_like(net.weights)
+    grads = Network(net.hidden, net.classes, net.per_class, np.empty_like(net.weights))
     seen = 0
     for g in np.random.default_rng(len(groups)).permutation(len(groups)):
         group = groups[g]
@@ -270,13 +361,16 @@ def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate:
             n = int(np.searchsorted(-size, -t, "left"))
             span = min(max(streams * window // (2 * n), window), LONGEST * window)  # a window of few documents is longer
             here = np.minimum(size[:n] - t, span)
-            grads = Network(net.hidden, net.classes, net.per_class, np.zeros_like(net.weights))
+            grads.weights[:] = 0
             h = net.window(x[t : t + span, :n], h[:n], here, grads)
             t += span
             count = int(here.sum())
-            step = grads.weights / max(count, 64)
-            square += step * step
-            net.weights -= rate * step / np.sqrt(square)
+            step = grads.weights
+            step /= max(count, 64)
+            square += np.multiply(step, step, out=room)
+            step *= rate
+            step /= np.sqrt(square, out=room)
+            net.weights -= step
             seen += count
     return seen
 
@@ -284,30 +378,31 @@ def train(net: Network, docs: list[np.ndarray], window: int, streams: int, rate:
 def log_probability(net: Network, flat: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """Natural log probability of each document, given all token numbers and where each document begins.
 
-    All documents advance side by side, longest first; the state runs through the whole of each.
+    Documents of like length advance side by side, longest first; the state runs through the whole of each.
     """
-    size = np.diff(at)
-    order = np.argsort(-size, kind="stable")
-    size, first = size[order], at[:-1][order]
-    out = np.zeros(len(size))
-    h = np.zeros((len(size), net.hidden), dtype=np.float32)
-    states, targets, owners, held = [], [], [], 0
-    last = int(size[0]) if len(size) else 0
-    for t in range(last):
-        n = int(np.searchsorted(-size, -t, "left"))
-        token = flat[first[:n] + t]
-        states.append(h[:n])
-        targets.append(token)
-        owners.append(n)
-        held += n
-        if held >= block or t + 1 == last:
-            got, _ = net.output(np.concatenate(states), np.concatenate(targets).astype(np.int64))
-            out += np.bincount(np.concatenate([np.arange(m) for m in owners]), got, len(out))
-            states, targets, owners, held = [], [], [], 0
-        if t + 1 < last:
-            h = net.step(token, h[:n])[0]
-    result = np.empty(len(out))
-    result[order] = out
+    sizes = np.diff(at)
+    longest = np.argsort(-sizes, kind="stable")
+    recurrent = exact(net.recurrent())
+    result = np.empty(len(sizes))
+    for lo in range(0, len(longest), ABREAST):
+        order = longest[lo : lo + ABREAST]
+        size, first, every = sizes[order], at[:-1][order], np.arange(len(order))
+        out = np.zeros(len(order))
+        h = np.zeros((net.hidden, len(order)), dtype=np.float32)
+        states, targets, held, last = [], [], 0, int(size[0])
+        for t, n in enumerate(np.searchsorted(-size, -np.arange(last), "left").tolist()):
+            token = flat[first[:n] + t]
+            h = h[:, :n]
+            states.append(h)
+            targets.append(token)
+            held += n
+            if held >= block or t + 1 == last:
+                got, _ = net.output(np.concatenate(states, axis=1).T, np.concatenate(targets).astype(np.int64))
+                np.add.at(out, np.concatenate([every[: len(m)] for m in targets]), got.astype(np.float64))  # in the order of a text
+                states, targets, held = [], [], 0
+            if t + 1 < last:
+                h = net.advance(net.rows(token), h, recurrent)[0]
+        result[order] = out
     return result
 
 
@@ -321,6 +416,7 @@ def fit(texts: DataFrame, short: Shortlist, rounds: int, share: int, replicas: i
         start = net.weights.copy()
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             own, docs, held, seen, now = Network(HIDDEN, classes, PER_CLASS, start.copy()), [], 0, 0, None
 
             def learn() -> None:
@@ -390,6 +486,7 @@ def score(
         known = docs.sparkSession.sparkContext.broadcast((word[order], n[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         model = Network(HIDDEN, len(short.counts) // PER_CLASS, PER_CLASS, weights)
         ids, number, size, columns = [], [], [], []
         held = 0
