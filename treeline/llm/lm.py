@@ -284,8 +284,9 @@ class Network:
             deep /= totals[1]
             back /= totals[0]
             deep += back
-        result = np.empty_like(out)
-        result[..., order] = out
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        result = np.take(out, place, axis=-1, mode="clip")
         if grads is None:
             return result, None
         grads.to_class += class_grads[:, :k].T
@@ -316,18 +317,16 @@ class Network:
         to_met = np.concatenate([to_new * lean * r * (1 - r), (prior - new) * z * (1 - z), to_new * r])
         down = np.ascontiguousarray(recurrent.T)
         d = np.zeros((k, ends[-1]), dtype=now.dtype)
+        parts = to_met.reshape(3, k, ends[-1])
         for i in range(t - 1, 0, -1):
             n, s, e = active[i], ends[i], ends[i + 1]
-            met = to_met[:, s:e]
             own = d[:, s:e]
-            for j in range(3):
-                met[j * k : (j + 1) * k] *= own
-            later = down @ met
+            parts[:, :, s:e] *= own
+            later = down @ to_met[:, s:e]
             later += own * z[:, s:e]
             later += back[:, s:e]
             d[:, ends[i - 1] : ends[i - 1] + n] = later
-        for j in range(3):
-            to_met[j * k : (j + 1) * k, : ends[1]] *= d[:, : ends[1]]
+        parts[:, :, : ends[1]] *= d[:, : ends[1]]
         met = prior @ to_met.T
         grads.gates += met[:, : 2 * k]
         grads.state += met[:, 2 * k :]
