@@ -157,8 +157,7 @@ def distances(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select("path", F.col("text").alias("old"), F.col("names").alias("old_names"), F.col("specs").alias("old_specs"))
     both = old.join(after, "path").withColumn("names", F.array_union("old_names", "names"))
     both = both.withColumn("vocab", D.vocabulary(F.flatten(F.array("names", "old_specs", "specs"))))
-    both = D.add_claims(D.add_claims(both, "a", F.col("old"), F.col("names"), F.col("vocab")), "b", F.col("text"), F.col("names"), F.col("vocab"))
-    return both.select("path", D.meaning_distance(F.col("a"), F.col("b")).alias("distance"))
+    return both.select("path", D.text_distance(F.col("old"), F.col("text"), F.col("names"), F.col("vocab")).alias("distance"))
 
 
 def adjudicate(asked: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
